@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Name patterns. ``\z`` is the very end of the text; ``$`` would also
-# match before a final line break.
-SUFFIX = r"(\.raw|\.d)\z"
-LAST_TOKEN = r"_[^_]*\z"
+# Suffixes of raw files, and the texts that mark a standard.
+SUFFIXES = (".raw", ".d")
 HS_STANDARD = "HSstd"
 OTHER_STANDARD = "OtherStandard"
-STANDARD_LITERAL = "[Ss]tandar[dt]"
+STANDARD_TEXT = "[Ss]tandar[dt]"
 
 
 def quoted(name: str) -> str:
@@ -20,24 +18,30 @@ def quoted(name: str) -> str:
 
 
 def strip_suffix(name: Column) -> Column:
-    """Remove one trailing ``.raw`` or ``.d``."""
-    return F.regexp_replace(name, SUFFIX, "")
+    """Remove one trailing ``.raw`` or ``.d``, in that case only."""
+    raw, d = SUFFIXES
+    return (
+        F.when(F.endswith(name, F.lit(raw)), F.left(name, F.length(name) - len(raw)))
+        .when(F.endswith(name, F.lit(d)), F.left(name, F.length(name) - len(d)))
+        .otherwise(name)
+    )
 
 
 def is_control(name: Column) -> Column:
     """Control runs carry the raw-file suffix in their name; NULL stays NULL."""
-    return name.rlike(SUFFIX)
+    raw, d = SUFFIXES
+    return F.endswith(name, F.lit(raw)) | F.endswith(name, F.lit(d))
 
 
 def strip_last_token(name: Column) -> Column:
-    """Drop the part from the last underscore on."""
-    return F.regexp_replace(name, LAST_TOKEN, "")
+    """Drop the part from the last underscore on; names without one stay."""
+    last = F.substring_index(name, "_", -1)
+    return F.when(F.contains(name, F.lit("_")), F.left(name, F.length(name) - F.length(last) - 1)).otherwise(name)
 
 
 def derive_project(name: Column) -> Column:
     """The first three underscore tokens; shorter names give what they have, NULL gives ''."""
-    tokens = F.split(name, "_")
-    return F.concat_ws("_", *[F.try_element_at(tokens, F.lit(i)) for i in (1, 2, 3)])
+    return F.coalesce(F.substring_index(name, "_", 3), F.lit(""))
 
 
 def file_type(name: Column, standards_mode: str = "literal") -> Column:
@@ -46,10 +50,7 @@ def file_type(name: Column, standards_mode: str = "literal") -> Column:
     ``literal`` looks for the bracketed text itself, as SQL LIKE does;
     ``pattern`` reads the brackets as character classes.
     """
-    if standards_mode == "pattern":
-        other = name.rlike(STANDARD_LITERAL)
-    else:
-        other = F.contains(name, F.lit(STANDARD_LITERAL))
+    other = name.rlike(STANDARD_TEXT) if standards_mode == "pattern" else F.contains(name, F.lit(STANDARD_TEXT))
     return (
         F.when(F.contains(name, F.lit(HS_STANDARD)), F.lit(HS_STANDARD))
         .when(other, F.lit(OTHER_STANDARD))

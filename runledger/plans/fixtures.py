@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from runledger.config import LedgerConfig, Metric
 
+# Given with the read, so that no job has to look it up.
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
 EVENT_CONFIG = LedgerConfig(
     metrics=(
         Metric("m1", "m.1", "Metric one", "m1-graph"),
@@ -51,7 +54,7 @@ class EventSources:
 
     @classmethod
     def load(cls, spark: SparkSession, sf_dir: str) -> "EventSources":
-        return cls(spark.read.parquet(f"{sf_dir}/events.parquet"))
+        return cls(spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
     @cached_property
     def named(self) -> DataFrame:

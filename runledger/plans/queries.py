@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runledger.functions import quoted
 from runledger.operators import checks, detail, merge, metrics, projects, recent, reports, upsert
 from runledger.plans.fixtures import EVENT_CONFIG, EventSources
+from runledger.session import materialised
 from runledger.sources import audit
 from runledger.streaming import changes
 
@@ -42,6 +43,11 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_sources(s.reports, s.sample_meta, s.project_meta, CFG)
 
 
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged table as a full build leaves it: written once, then read by column."""
+    return materialised(merged_events(spark, sf_dir))
+
+
 def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.union_reports(_sources(spark, sf_dir).reports, CFG)
 
@@ -130,9 +136,11 @@ def recent_samples(spark, sf_dir):
 
 
 def _updates(s: EventSources) -> tuple[DataFrame, DataFrame, int]:
-    rec = recent.recent_samples(s.reports, s.sample_meta, CFG.recent_rows, CFG)
+    # A few rows that several steps look at.
+    rec = materialised(recent.recent_samples(s.reports, s.sample_meta, CFG.recent_rows, CFG))
     n = CFG.recent_rows * 3
-    return rec, upsert.dedup_upserts(upsert.recent_merge(s.reports, s.sample_meta, s.project_meta, rec, n, CFG)), n
+    rows = upsert.dedup_upserts(upsert.recent_merge(s.reports, s.sample_meta, s.project_meta, rec, n, CFG))
+    return rec, materialised(rows), n
 
 
 def _stale_target(s: EventSources) -> DataFrame:
@@ -267,28 +275,28 @@ _TREND_FLOATS = ("Median", "std", "Lower", "Upper")
 
 @query
 def metric_trends(spark, sf_dir):
-    return rounded(metrics.metric_trends(merged_events(spark, sf_dir), CFG), *_TREND_FLOATS)
+    return rounded(metrics.metric_trends(stored_events(spark, sf_dir), CFG), *_TREND_FLOATS)
 
 
 @query
 def rolling_trend(spark, sf_dir):
-    return rounded(metrics.rolling_trend(merged_events(spark, sf_dir), CFG, ["m1"]), *_TREND_FLOATS)
+    return rounded(metrics.rolling_trend(stored_events(spark, sf_dir), CFG, ["m1"]), *_TREND_FLOATS)
 
 
 @query
 def static_trend(spark, sf_dir):
-    return rounded(metrics.static_trend(merged_events(spark, sf_dir), CFG), *_TREND_FLOATS)
+    return rounded(metrics.static_trend(stored_events(spark, sf_dir), CFG), *_TREND_FLOATS)
 
 
 @query
 def metric_summary(spark, sf_dir):
-    return rounded(metrics.metric_summary(merged_events(spark, sf_dir), CFG), "mean", "median", "std")
+    return rounded(metrics.metric_summary(stored_events(spark, sf_dir), CFG), "mean", "median", "std")
 
 
 @query
 def metric_report(spark, sf_dir):
     # The texts round half up where C rounds the binary value; the numbers are compared.
-    rows = metrics.metric_report(merged_events(spark, sf_dir), CFG).drop("mean_text", "median_text", "std_text")
+    rows = metrics.metric_report(stored_events(spark, sf_dir), CFG).drop("mean_text", "median_text", "std_text")
     return rounded(rows, "mean", "median", "std").withColumn("ord", F.col("ord").cast("bigint"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "runledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,6 +21,8 @@ def build_session(app_name: str = "runledger", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.ui.showConsoleProgress": "false",
+        # Leaves out call sites in error messages; plans are built faster without them.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     builder = SparkSession.builder.appName(app_name)
@@ -45,3 +48,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="runledger-checkpoint-")
     sc.setCheckpointDir(folder)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Write a result that several steps read to the shared checkpoint folder.
+
+    As a columnar table it is computed once and read by column, and its lineage
+    ends there: losing an executor later recomputes nothing before it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
