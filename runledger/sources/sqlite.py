@@ -78,7 +78,7 @@ class SqliteReader(DataSourceReader):
             except sqlite3.OperationalError:
                 return [RowRange(None, None)]  # a table without row ids
         if low is None:
-            return []
+            return [RowRange(0, -1)]  # an empty table still needs one, empty, range
         return [RowRange(a, min(a + self.rows - 1, high)) for a in range(low, high + 1, self.rows)]
 
     def read(self, partition: RowRange):

@@ -16,13 +16,17 @@ from runledger.streaming.landing import source_path
 log = logging.getLogger(__name__)
 
 
+# Fixed by Spark for this format.
+_LISTING = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def watch_sources(spark: SparkSession, landing: str) -> DataFrame:
     """Stream of (path, modified): one event per new marker.
 
     The listing alone is read; the content of the marker files is pruned.
     """
     return (
-        spark.readStream.format("binaryFile").load(f"{landing.rstrip('/')}/markers/*")
+        spark.readStream.format("binaryFile").schema(_LISTING).load(f"{landing.rstrip('/')}/markers/*")
         .select(
             # The path of the source is that of its markers without the version.
             F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "/[^/]*$", "").alias("path"),
