@@ -8,8 +8,9 @@ from runledger.config import LedgerConfig
 from runledger.operators import detail, metrics, projects
 from runledger.plans.refresh import RefreshResult, audit_log, refresh
 from runledger.plans.reports import report_tables
+from runledger.session import shuffle_partitions_for
 from runledger.sources import audit, export
-from runledger.sources.databases import SNAPSHOT, SourceDatabase, validate_sources
+from runledger.sources.databases import SNAPSHOT, SourceDatabase, source_bytes, validate_sources
 from runledger.sources.snapshot import sync_sources
 from runledger.sources.store import MergedTable
 
@@ -56,6 +57,12 @@ class Ledger:
             return True
         return sync_sources(self.spark, chosen, [self.working(s).location for s in chosen])
 
+    def size_shuffles(self) -> int:
+        """Set the number of shuffle partitions by the size of the sources."""
+        n = shuffle_partitions_for(source_bytes(self.spark, self.sources))
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        return n
+
     # --- refresh --------------------------------------------------------------
 
     def refresh(self, n: int | None = None, full: bool = False) -> RefreshResult | None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger.config import LedgerConfig, Metric
 from runledger.functions import quoted, summary_text, to_number
 from runledger.functions.names import HS_STANDARD, OTHER_STANDARD
-from runledger.operators.merge import PROJECT_ID, RAW_FILE
+from runledger.operators.merge import ERROR, PROJECT_ID, RAW_FILE
 from runledger.operators.projects import split_valid_error
 from runledger.operators.skew import CHUNK, hot_groups, hot_medians, ordered_chunks, split_by
 
@@ -27,6 +27,13 @@ def resolve_metrics(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None
     return [m for m in cfg.metrics if (keys is None or m.key in keys) and m.merged_column in have]
 
 
+def series_columns(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None = None) -> DataFrame:
+    """Only the columns that series, trends and summaries read."""
+    wanted = dict.fromkeys([
+        PROJECT_ID, "DateTime", RAW_FILE, "FileType", "Date", ERROR, *(m.merged_column for m in resolve_metrics(merged, cfg, keys))])
+    return merged.select(*[quoted(c) for c in wanted])
+
+
 def metric_labels(spark, cfg: LedgerConfig) -> DataFrame:
     """The catalogue as a table: key, merged column, label and position."""
     rows = [(m.key, m.merged_column, m.label, i) for i, m in enumerate(cfg.metrics)]
@@ -47,22 +54,33 @@ def _numbers(merged: DataFrame, metrics: list[Metric]) -> list[Column]:
     return [to_number(F.col(quoted(m.merged_column)), schema[m.merged_column].dataType).alias(m.key) for m in metrics]
 
 
-def metric_long(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None = None) -> DataFrame:
-    """Valid runs, one row per run and metric with a number."""
-    metrics = resolve_metrics(merged, cfg, keys)
-    ids = [PROJECT_ID, "DateTime", RAW_FILE, "FileType"]
+_IDS = [PROJECT_ID, "DateTime", RAW_FILE, "FileType"]
+
+
+def _wide(merged: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """Valid runs with one numeric column per metric."""
     valid, _ = split_valid_error(merged)
+    return valid.select(*_IDS, *_numbers(merged, metrics))
+
+
+def _stack(wide: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """One row per run and metric with a number. A generator keeps the partitioning
+    of its input, which the unpivot operator would not."""
     if not metrics:
-        empty = valid.limit(0)
-        return empty.select(PROJECT_ID, F.lit("").alias(METRIC), *ids[1:], F.lit(None).cast("double").alias(VALUE))
-    wide = valid.select(*ids, *_numbers(merged, metrics))
+        return wide.limit(0).select(PROJECT_ID, F.lit("").alias(METRIC), *_IDS[1:], F.lit(None).cast("double").alias(VALUE))
+    cells = F.array(*[F.struct(F.lit(m.key).alias(METRIC), F.col(quoted(m.key)).alias(VALUE)) for m in metrics])
     return (
-        wide.unpivot(ids, [quoted(m.key) for m in metrics], METRIC, VALUE)
-        .where(F.col(VALUE).isNotNull())
-        .select(PROJECT_ID, METRIC, *ids[1:], VALUE)
+        wide.select(*_IDS, F.inline(cells)).where(F.col(VALUE).isNotNull())
+        .select(PROJECT_ID, METRIC, *_IDS[1:], VALUE)
     )
 
 
+def metric_long(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None = None) -> DataFrame:
+    """Valid runs, one row per run and metric with a number."""
+    metrics = resolve_metrics(merged, cfg, keys)
+    return _stack(_wide(merged, metrics), metrics)
+
+
 def points(long: DataFrame) -> DataFrame:
     """The measured points, standards included."""
     return long.select(PROJECT_ID, METRIC, "DateTime", VALUE, "FileType", RAW_FILE)
@@ -209,15 +227,27 @@ def metric_trends(
     ``rolling``: median and spread over the latest rows. ``static``: those of the
     whole group on each row. ``none``: too few rows, no trend values.
     """
-    rows = exclude_standards(metric_long(merged, cfg, keys))
+    metrics = resolve_metrics(merged, cfg, keys)
+    wide = exclude_standards(_wide(merged, metrics))
+
+    def whole_projects(df: DataFrame) -> DataFrame:
+        # Shuffled by project while a run is still one row, then stacked: the windows
+        # need no second shuffle, and names and times travel once, not per metric.
+        return _trends_per_group(_stack(df.repartition(PROJECT_ID), metrics), cfg)
+
     counts = metric_counts(merged, cfg, keys)
     # A group with a static or no trend is never split, however small the limit.
     hot = hot_groups(counts.where(F.col("n") >= cfg.rolling_threshold), GROUP, cfg, "n")
     if hot is None:
-        return _trends_per_group(rows, cfg)
-    small, large = split_by(rows, hot, GROUP)
+        return whole_projects(wide)
     total = hot.agg(F.sum("n")).first()[0]
-    return _trends_per_group(small, cfg).unionByName(_rolling_in_chunks(large, total, cfg))
+    cold, warm = split_by(wide, hot.select(PROJECT_ID).distinct(), [PROJECT_ID])
+    small, large = split_by(_stack(warm, metrics), hot, GROUP)
+    return (
+        whole_projects(cold)
+        .unionByName(_trends_per_group(small, cfg))
+        .unionByName(_rolling_in_chunks(large, total, cfg))
+    )
 
 
 def rolling_trend(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None = None) -> DataFrame:

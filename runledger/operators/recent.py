@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runledger.config import LedgerConfig
 from runledger.functions import epoch_to_timestamp, parse_timestamp, quoted, strip_suffix
 from runledger.operators.merge import CREATED, SAMPLE_ID
+from runledger.session import materialised
 
 RECENT_ID = "sample_id"
 RECENT_TIME = "Time"
@@ -22,12 +23,25 @@ def _newest(df: DataFrame, n: int) -> DataFrame:
 
 def distinct_samples(samples: DataFrame) -> DataFrame:
     """(bare file name, creation time), each pair once."""
+    return _pairs(samples).distinct()
+
+
+def _pairs(samples: DataFrame) -> DataFrame:
     return samples.select(
-        strip_suffix(F.col(SAMPLE_ID)).alias(RECENT_ID), parse_timestamp(F.col(CREATED)).alias(RECENT_TIME)
-    ).distinct()
+        strip_suffix(F.col(SAMPLE_ID)).alias(RECENT_ID), parse_timestamp(F.col(CREATED)).alias(RECENT_TIME))
 
 
 def recent_samples_meta(samples: DataFrame, n: int) -> DataFrame:
+    """Top n of the distinct samples.
+
+    When the n newest rows hold no copies, they are the answer and nothing is
+    shuffled. Only otherwise is the whole table made distinct first.
+    """
+    top = materialised(_newest(_pairs(samples), n))
+    distinct = top.distinct()
+    found, kept = top.count(), distinct.count()
+    if found < n or kept == found:
+        return distinct
     return _newest(distinct_samples(samples), n)
 
 

@@ -43,9 +43,9 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_sources(s.reports, s.sample_meta, s.project_meta, CFG)
 
 
-def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merged table as a full build leaves it: written once, then read by column."""
-    return materialised(merged_events(spark, sf_dir))
+def stored_series(spark: SparkSession, sf_dir: str, keys: list[str] | None = None) -> DataFrame:
+    """The series columns of the merged table, written once for the steps that read them."""
+    return materialised(metrics.series_columns(merged_events(spark, sf_dir), CFG, keys))
 
 
 def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,28 +275,28 @@ _TREND_FLOATS = ("Median", "std", "Lower", "Upper")
 
 @query
 def metric_trends(spark, sf_dir):
-    return rounded(metrics.metric_trends(stored_events(spark, sf_dir), CFG), *_TREND_FLOATS)
+    return rounded(metrics.metric_trends(stored_series(spark, sf_dir), CFG), *_TREND_FLOATS)
 
 
 @query
 def rolling_trend(spark, sf_dir):
-    return rounded(metrics.rolling_trend(stored_events(spark, sf_dir), CFG, ["m1"]), *_TREND_FLOATS)
+    return rounded(metrics.rolling_trend(stored_series(spark, sf_dir, ["m1"]), CFG, ["m1"]), *_TREND_FLOATS)
 
 
 @query
 def static_trend(spark, sf_dir):
-    return rounded(metrics.static_trend(stored_events(spark, sf_dir), CFG), *_TREND_FLOATS)
+    return rounded(metrics.static_trend(stored_series(spark, sf_dir), CFG), *_TREND_FLOATS)
 
 
 @query
 def metric_summary(spark, sf_dir):
-    return rounded(metrics.metric_summary(stored_events(spark, sf_dir), CFG), "mean", "median", "std")
+    return rounded(metrics.metric_summary(stored_series(spark, sf_dir), CFG), "mean", "median", "std")
 
 
 @query
 def metric_report(spark, sf_dir):
     # The texts round half up where C rounds the binary value; the numbers are compared.
-    rows = metrics.metric_report(stored_events(spark, sf_dir), CFG).drop("mean_text", "median_text", "std_text")
+    rows = metrics.metric_report(stored_series(spark, sf_dir), CFG).drop("mean_text", "median_text", "std_text")
     return rounded(rows, "mean", "median", "std").withColumn("ord", F.col("ord").cast("bigint"))
 
 

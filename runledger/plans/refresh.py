@@ -12,7 +12,7 @@ from runledger.config import LedgerConfig
 from runledger.operators.merge import RAW_FILE, merge_sources
 from runledger.operators.recent import recent_samples
 from runledger.operators.upsert import bounded, dedup_upserts, fit_target, recent_merge
-from runledger.session import materialised
+from runledger.session import materialised, temporary_tables
 from runledger.sources.audit import AuditLog
 from runledger.sources.databases import SourceDatabase, read_project_meta, read_reports, read_sample_meta, source_mtimes
 from runledger.sources.store import MergedTable
@@ -72,8 +72,12 @@ def incremental_refresh(
     The list of recent samples has at most ``n`` rows per source. It is all that
     is broadcast; source tables and merged table are scanned but not shuffled.
     """
+    with temporary_tables(table.spark):
+        return _incremental_refresh(table, inputs, mtimes, table.cfg.recent_rows if n is None else n)
+
+
+def _incremental_refresh(table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int) -> RefreshResult | None:
     cfg = table.cfg
-    n = cfg.recent_rows if n is None else n
     recent = materialised(recent_samples(inputs.reports, inputs.samples, n, cfg))
     samples = recent.count()
     if samples == 0:

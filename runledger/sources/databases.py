@@ -156,6 +156,15 @@ def _mtime(spark: SparkSession, source: SourceDatabase):
         return None
 
 
+def source_bytes(spark: SparkSession, sources: list[SourceDatabase]) -> int:
+    """Size of all files of the sources, for ``shuffle_partitions_for``."""
+    folders = [s._folder(spark) for s in sources if s.format not in ("jdbc", "catalog")]
+    if not folders:
+        return 0
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    return listing.agg(F.sum("length")).first()[0] or 0
+
+
 def source_mtimes(spark: SparkSession, sources: list[SourceDatabase]) -> DataFrame:
     """(source, mtime); NULL where it cannot be told."""
     rows = [(s.name, _mtime(spark, s)) for s in sources]
