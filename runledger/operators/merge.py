@@ -49,8 +49,9 @@ def attach_samples(aligned: DataFrame, samples: DataFrame, cfg: LedgerConfig) ->
     nothing and skip the join, and keys with very many samples get their single
     run by broadcast instead of meeting in one task.
     """
-    keyed = samples.where(F.col(SAMPLE_KEY).isNotNull())
-    unkeyed = samples.where(F.col(SAMPLE_KEY).isNull())
+    # Asked of the stored column, so that the scan can skip row groups by it.
+    keyed = samples.where(F.col(SAMPLE_ID).isNotNull())
+    unkeyed = samples.where(F.col(SAMPLE_ID).isNull())
     counts = keyed.groupBy(SAMPLE_KEY).count()
     hot = hot_groups(counts, [SAMPLE_KEY], cfg)
     if hot is None:

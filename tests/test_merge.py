@@ -50,22 +50,19 @@ def test_same_source_twice_changes_nothing(spark):
     assert rows(merge_rows(spark, more=[spark.createDataFrame(RUNS, REPORT)])) == once
 
 
-@pytest.mark.parametrize("regular", [True, False])
-@pytest.mark.parametrize("control", [True, False])
-@pytest.mark.parametrize("sample", [True, False])
-def test_presence_patterns(spark, regular, control, sample):
-    if not (regular or control or sample):
-        return
-    runs = [("P_a_1_x", 10.0, 1.0)] * regular + [("P_a_1_x.d", 20.0, 2.0)] * control
-    samples = [("P_a_1_x.raw", None, None)] * sample
-    out = merge_rows(spark, runs, samples).collect()
-    assert len(out) == 1
-    r = out[0]
-    assert r["RawFileName"] == "P_a_1_x"
-    assert r["ProjectID"] == ("P_a_1" if regular or control else "")
-    assert r["Metric"] == (1.0 if regular else None) and r["Metric_iQC"] == (2.0 if control else None)
-    second = 10 if regular else 20 if control else None
-    assert r["DateTime"] == (dt.datetime(1970, 1, 1, 0, 0, second) if second else None)
+def test_presence_patterns(spark):
+    patterns = [(r, c, m) for r in (0, 1) for c in (0, 1) for m in (0, 1) if r or c or m]
+    name = lambda p: "P_a_1_" + "".join(map(str, p))
+    runs = [(name(p), 10.0, 1.0) for p in patterns if p[0]] + [(name(p) + ".d", 20.0, 2.0) for p in patterns if p[1]]
+    out = {r["RawFileName"]: r for r in merge_rows(spark, runs, [(name(p) + ".raw", None, None) for p in patterns if p[2]]).collect()}
+    assert set(out) == {name(p) for p in patterns}
+    for regular, control, sample in patterns:
+        r = out[name((regular, control, sample))]
+        assert r["ProjectID"] == ("P_a_1" if regular or control else "")
+        assert r["Metric"] == (1.0 if regular else None) and r["Metric_iQC"] == (2.0 if control else None)
+        second = 10 if regular else 20 if control else None
+        assert r["DateTime"] == (dt.datetime(1970, 1, 1, 0, 0, second) if second else None)
+        assert (r["SampleName_ID"] is not None) == bool(sample)
 
 
 def test_metadata_wins_over_report(spark):
