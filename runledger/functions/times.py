@@ -23,8 +23,15 @@ def date_time(creation_date: Column, epoch_seconds: Column) -> Column:
 
 def time_of_day(ts: Column) -> Column:
     """Time part as text with microseconds (there is no column type for it)."""
-    return F.date_format(ts, "HH:mm:ss.SSSSSS")
+    text = ts.cast("string")
+    fraction = F.rpad(F.substring(text, 21, 6), 6, "0")
+    return F.concat(F.substring(text, 12, 8), F.lit("."), fraction)
+
+
+def format_second(ts: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss``. Date formats would go by way of the session zone."""
+    return F.left(ts.cast("string"), F.lit(19))
 
 
 def format_minute(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm")
+    return F.left(ts.cast("string"), F.lit(16))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from runledger.config import LedgerConfig
 from runledger.functions import quoted, strip_suffix
@@ -55,12 +56,15 @@ def recent_merge(
         [cut(r, cfg.name_column) for r in reports], cut(samples, SAMPLE_ID), projects, cfg)
 
 
-def fit_target(updates: DataFrame, target_columns: list[str]) -> DataFrame:
-    """Updates with the columns of the target: new ones are left out, lost ones are an error."""
-    lost = [c for c in target_columns if c not in updates.columns]
+def fit_target(updates: DataFrame, target: StructType) -> DataFrame:
+    """Updates with the columns and types of the target.
+
+    New columns are left out; lost ones are an error, and so are values that do not fit.
+    """
+    lost = [c for c in target.names if c not in updates.columns]
     if lost:
         raise ValueError(f"the sources no longer give these columns of the merged table: {lost}")
-    return updates.select(*[quoted(c) for c in target_columns])
+    return updates.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in target.fields])
 
 
 def merge_upsert(target: DataFrame, updates: DataFrame, update_rows: int, cfg: LedgerConfig) -> DataFrame:
@@ -71,7 +75,7 @@ def merge_upsert(target: DataFrame, updates: DataFrame, update_rows: int, cfg: L
     """
     keys = updates.select(RAW_FILE)
     kept = target.join(bounded(keys, update_rows, cfg), RAW_FILE, "left_anti")
-    return kept.select(*[quoted(c) for c in target.columns]).unionByName(fit_target(updates, target.columns))
+    return kept.select(*[quoted(c) for c in target.columns]).unionByName(fit_target(updates, target.schema))
 
 
 def refresh_counts(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.config import LedgerConfig, Metric
+from runledger.functions import format_second
 
 # Given with the read, so that no job has to look it up.
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -92,7 +93,7 @@ class EventSources:
             F.concat("nm", F.lit(".raw")).alias("SampleName_ID"),
             F.when(i % 11 != 0, F.col("pfx")).alias("ProjectID"),
             F.when(i % 41 == 0, F.lit("1970-01-01 00:00:00"))
-            .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("CreationDate"),
+            .otherwise(format_second(F.col("ts"))).alias("CreationDate"),
             F.when(i % 37 == 0, F.lit("corrupt")).alias("Error"),
             F.concat(F.lit("MS"), (user % 2).cast("string")).alias("MSInstrument"),
             F.when(i % 13 != 0, F.concat(F.lit("LC"), (user % 3).cast("string"))).alias("HPLCInstrument"),

@@ -85,7 +85,7 @@ def _incremental_refresh(table: MergedTable, inputs: Inputs, mtimes: DataFrame,
         return None
     before = table.row_count()
     merged = recent_merge(inputs.reports, inputs.samples, inputs.projects, recent, samples, cfg)
-    part = table.stage(dedup_upserts(fit_target(merged, table.columns())))
+    part = table.stage(dedup_upserts(fit_target(merged, table.schema())))
     given = table.staged(part)
     updates = given.count()
     # Updates are unique by file and every file is in the list of recent samples.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runledger.functions import refreshed_text
+from runledger.functions import format_second, refreshed_text
 from runledger.sources import files
 
 AUDIT_SCHEMA = "updated_at timestamp_ntz, source_mtimes string, row_count bigint"
@@ -14,7 +14,7 @@ UNAVAILABLE = "unavailable"
 
 def mtimes_json(mtimes: DataFrame) -> DataFrame:
     """One row: a JSON object from source to change time. There is one entry per source."""
-    text = F.coalesce(F.date_format("mtime", "yyyy-MM-dd HH:mm:ss"), F.lit(UNAVAILABLE))
+    text = F.coalesce(format_second(F.col("mtime")), F.lit(UNAVAILABLE))
     entries = F.sort_array(F.collect_list(F.struct("source", text.alias("at"))))
     return mtimes.agg(F.to_json(F.map_from_entries(entries)).alias("source_mtimes"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.config import LedgerConfig
+from runledger.functions import quoted
 from runledger.sources import files, sqlite
 
 FILE_FORMATS = ("parquet", "orc", "csv", "json")
@@ -94,7 +95,7 @@ class SourceDatabase:
         if self.format == "sqlite":
             return sqlite.read_sqlite(spark, self.location, table, **self.options)
         if self.format == "catalog":
-            return spark.table(f"`{self.location}`.`{table}`")
+            return spark.table(".".join(quoted(part) for part in (*self.location.split("."), table)))
         if self.format == "jdbc":
             options = {k: v for k, v in self.options.items() if k != "tables"}
             return spark.read.format("jdbc").options(url=self.location, dbtable=table, **options).load()

@@ -27,6 +27,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    fs, p = _hadoop(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names of the visible entries of a folder; [] when it is not there."""
     fs, p = _hadoop(spark, path)

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from runledger.config import LedgerConfig
 from runledger.functions import quoted
@@ -45,8 +46,8 @@ class MergedTable:
     def row_count(self) -> int:
         return self._state()[1]["rows"]
 
-    def columns(self) -> list[str]:
-        return self._load(self._state()[1]["base"]).columns
+    def schema(self) -> StructType:
+        return self._load(self._state()[1]["base"]).schema
 
     def _load(self, part: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{part}")

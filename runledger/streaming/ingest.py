@@ -29,7 +29,7 @@ def watch_sources(spark: SparkSession, landing: str) -> DataFrame:
         spark.readStream.format("binaryFile").schema(_LISTING).load(f"{landing.rstrip('/')}/markers/*")
         .select(
             # The path of the source is that of its markers without the version.
-            F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "/[^/]*$", "").alias("path"),
+            F.regexp_replace("path", "/[^/]*$", "").alias("path"),
             F.col("modificationTime").alias("modified"),
         )
     )
@@ -43,7 +43,7 @@ def change_handler(ledger: Ledger, landing: str) -> Callable[[DataFrame, int], N
     the batch is replayed from the checkpoint, and an upsert by key may run twice.
     """
     roles = {s.name: REPORT for s in ledger.reports} | {ledger.metadata.name: METADATA}
-    registry = {source_path(landing, name): (name, role) for name, role in roles.items()}
+    registry = {source_path(ledger.spark, landing, name): (name, role) for name, role in roles.items()}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         routed = route_changes(batch.select("path"), registry_frame(ledger.spark, registry))

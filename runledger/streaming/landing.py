@@ -26,6 +26,6 @@ def land_version(spark: SparkSession, landing: str, source: str, version: int, t
     files.write_text(spark, f"{root}/markers/{source}/{version}", ",".join(sorted(tables)))
 
 
-def source_path(landing: str, source: str) -> str:
-    """The path by which a source is known in change events."""
-    return f"{landing.rstrip('/')}/markers/{source}"
+def source_path(spark: SparkSession, landing: str, source: str) -> str:
+    """The path by which a source is known in change events, with scheme and host as listings give it."""
+    return files.qualified(spark, f"{landing.rstrip('/')}/markers/{source}")

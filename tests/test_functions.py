@@ -58,6 +58,18 @@ def test_epoch_does_not_depend_on_the_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_time_texts_do_not_depend_on_the_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    times = [dt.datetime(2024, 3, 10, 2, 30, 5, 1200), dt.datetime(2024, 1, 1), None]  # the first is skipped in New York
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert apply(spark, times, fn.time_of_day, "timestamp_ntz") == ["02:30:05.001200", "00:00:00.000000", None]
+        assert apply(spark, times, fn.format_second, "timestamp_ntz") == ["2024-03-10 02:30:05", "2024-01-01 00:00:00", None]
+        assert apply(spark, times, fn.format_minute, "timestamp_ntz") == ["2024-03-10 02:30", "2024-01-01 00:00", None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_to_number(spark):
     values = ["1", " 1.5 ", "-2e3", ".5", "5.", "12d", "1_000", "n/a", "", "NaN", "inf", None]
     assert apply(spark, values, lambda c: fn.to_number(c, T.StringType())) == [

@@ -49,7 +49,7 @@ def test_full_refresh(spark, tmp_path):
     assert full_refresh(t, data, mtimes(spark)).rows_final == 10
     assert full_refresh(t, data, mtimes(spark)).rows_before == 10
     assert t.read().count() == t.row_count() == 10
-    assert t.columns() == t.read().columns
+    assert t.schema() == t.read().schema
     log = audit_log(t).read().collect()
     assert len(log) == 1 and log[0]["row_count"] == 10  # a full build starts the log anew
     assert log[0]["source_mtimes"] == '{"m":"unavailable","r":"2024-01-01 00:00:00"}'
@@ -117,6 +117,17 @@ def test_new_columns_are_ignored_and_lost_ones_an_error(spark, tmp_path):
         incremental_refresh(t, less, mtimes(spark))
 
 
+def test_updates_take_the_types_of_the_table(spark, tmp_path):
+    t = table(spark, tmp_path)
+    numbers = lambda data: Inputs([data.reports[0].withColumn("Metric", F.col("Metric").cast("double"))], data.samples, data.projects)
+    full_refresh(t, numbers(inputs(spark, runs(2))), mtimes(spark))
+    incremental_refresh(t, inputs(spark, [("P_a_1_001", 1.0, "99999")]), mtimes(spark))
+    assert dict(rows(t.read(), "RawFileName", "Metric")) == {"P_a_1_000": 0.0, "P_a_1_001": 99999.0}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        incremental_refresh(t, inputs(spark, [("P_a_1_001", 1.0, "n/a")]), mtimes(spark))
+    assert t.read().count() == 2
+
+
 def test_duplicate_samples_collapse_in_an_upsert(spark, tmp_path):
     t = table(spark, tmp_path)
     full_refresh(t, inputs(spark, runs(2)), mtimes(spark))

@@ -70,7 +70,7 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     land_meta(spark, root, 1, [])
     ledger = Ledger(spark, str(tmp_path / "root"), SourceDatabase("one", root, LANDED), SourceDatabase("meta", root, LANDED), CFG)
     handle = ingest.change_handler(ledger, root)
-    batch = spark.createDataFrame([(landing.source_path(root, "one"), dt.datetime(2024, 1, 1))], "path string, modified timestamp")
+    batch = spark.createDataFrame([(landing.source_path(spark, root, "one"), dt.datetime(2024, 1, 1))], "path string, modified timestamp")
     handle(batch, 0)
     once = rows(ledger.merged())
     handle(batch, 1)
