@@ -86,16 +86,36 @@ def points(long: DataFrame) -> DataFrame:
     return long.select(PROJECT_ID, METRIC, "DateTime", VALUE, "FileType", RAW_FILE)
 
 
-def series_by_type(long: DataFrame) -> DataFrame:
+def _stack_groups(groups: DataFrame, keys: list[str], metrics: list[Metric], fields: dict[str, str]) -> DataFrame:
+    """Turn per-metric results, columns ``<prefix><i>``, into one row per group and metric."""
+    entries = F.array(*[
+        F.struct(F.lit(m.key).alias(METRIC), *[F.col(f"{prefix}{i}").alias(name) for name, prefix in fields.items()])
+        for i, m in enumerate(metrics)
+    ])
+    return groups.select(*keys, F.inline(entries))
+
+
+def series_by_type(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None = None) -> DataFrame:
     """The point series of each metric, one per file type, with the run each starts at.
 
-    Series are drawn in the order of their first run. Runs without a type have no series.
+    Series are drawn in the order of their first run. Runs without a type have no
+    series. Aggregated on the wide rows, one column set per metric, then stacked.
     """
-    first = F.min(F.struct(F.col("DateTime").isNull().alias("no_time"), "DateTime", RAW_FILE))
+    metrics = resolve_metrics(merged, cfg, keys)
+    wide = _wide(merged, metrics).where(F.col("FileType").isNotNull())
+    run = F.struct(F.col("DateTime").isNull().alias("no_time"), "DateTime", RAW_FILE)
+    aggs = []
+    for i, m in enumerate(metrics):
+        present = F.col(quoted(m.key)).isNotNull()
+        aggs += [F.count_if(present).alias(f"_n{i}"), F.min(F.when(present, run)).alias(f"_f{i}")]
+    if not aggs:
+        return wide.limit(0).select(
+            PROJECT_ID, F.lit("").alias(METRIC), "FileType", F.lit(0).cast("bigint").alias("n_points"),
+            F.col("DateTime").alias("first_time"), F.col(RAW_FILE).alias("first_file"))
+    groups = wide.groupBy(PROJECT_ID, "FileType").agg(*aggs)
     return (
-        long.where(F.col("FileType").isNotNull())
-        .groupBy(*GROUP, "FileType")
-        .agg(F.count("*").alias("n_points"), first.alias("_first"))
+        _stack_groups(groups, [PROJECT_ID, "FileType"], metrics, {"n_points": "_n", "_first": "_f"})
+        .where("n_points > 0")
         .select(
             *GROUP, "FileType", "n_points",
             F.col("_first")["DateTime"].alias("first_time"), F.col("_first")[RAW_FILE].alias("first_file"),
@@ -128,11 +148,8 @@ def metric_counts(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None =
     if not aggs:
         return wide.limit(0).select(PROJECT_ID, F.lit("").alias(METRIC), F.lit(0).cast("bigint").alias("n_points"),
                                     F.lit(0).cast("bigint").alias("n"))
-    entries = F.array(*[
-        F.struct(F.lit(m.key).alias(METRIC), F.col(f"_p{i}").alias("n_points"), F.col(f"_n{i}").alias("n"))
-        for i, m in enumerate(metrics)
-    ])
-    return wide.groupBy(PROJECT_ID).agg(*aggs).select(PROJECT_ID, F.inline(entries))
+    groups = wide.groupBy(PROJECT_ID).agg(*aggs)
+    return _stack_groups(groups, [PROJECT_ID], metrics, {"n_points": "_p", "n": "_n"})
 
 
 def trend_mode(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None = None) -> DataFrame:

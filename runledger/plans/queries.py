@@ -251,7 +251,7 @@ def points(spark, sf_dir):
 
 @query
 def series_by_type(spark, sf_dir):
-    return metrics.series_by_type(metrics.metric_long(merged_events(spark, sf_dir), CFG))
+    return metrics.series_by_type(merged_events(spark, sf_dir), CFG)
 
 
 @query

@@ -35,6 +35,6 @@ def report_tables(
         "errors": error_table(rows.orderBy(*time_order())),
         "metrics": metric_sections(rows, cfg, keys),
         "points": metrics.points(long).orderBy("metric", *time_order()),
-        "series": metrics.series_by_type(long).orderBy("metric", F.col("first_time").asc_nulls_last(), "first_file"),
+        "series": metrics.series_by_type(rows, cfg, keys).orderBy("metric", F.col("first_time").asc_nulls_last(), "first_file"),
         "trends": trends.orderBy("metric", F.col("DateTime").asc_nulls_last(), F.col("Name").asc_nulls_last()),
     }

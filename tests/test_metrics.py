@@ -34,9 +34,8 @@ def test_standards_are_left_out(spark):
 
 def test_runs_without_a_type_stay(spark):
     df = frame(spark, 7).withColumn("FileType", F.lit(None).cast("string"))
-    long = metrics.metric_long(df, CFG, ["tic"])
-    assert metrics.exclude_standards(long).count() == 7
-    assert metrics.series_by_type(long).count() == 0
+    assert metrics.exclude_standards(metrics.metric_long(df, CFG, ["tic"])).count() == 7
+    assert metrics.series_by_type(df, CFG, ["tic"]).count() == 0
 
 
 def test_missing_values_are_left_out(spark):
@@ -86,6 +85,8 @@ def test_text_numbers_and_absent_columns(spark):
         metrics.metric_long(df, CFG, ["unknown"])
     assert metrics.metric_long(df, CFG, ["gone"]).count() == 0
     assert metrics.metric_counts(df, CFG, ["gone"]).count() == 0
+    assert metrics.series_by_type(df, CFG, ["gone"]).count() == 0
+    assert metrics.metric_trends(df, CFG, ["gone"]).count() == 0
 
 
 def test_report_texts_and_order(spark):
@@ -98,7 +99,7 @@ def test_report_texts_and_order(spark):
 
 def test_series_start_at_their_first_run(spark):
     df = frame(spark, 3, start="2024-01-02").unionByName(frame(spark, 2, start="2024-01-01", file_type="HSstd"))
-    got = metrics.series_by_type(metrics.metric_long(df, CFG, ["tic"])).orderBy("first_time").collect()
+    got = metrics.series_by_type(df, CFG, ["tic"]).orderBy("first_time").collect()
     assert [(r["FileType"], r["n_points"], r["first_file"]) for r in got] == [
         ("HSstd", 2, "A_HSstd_00000"), ("Sample", 3, "A_Sample_00000")]
 

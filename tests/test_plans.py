@@ -1,0 +1,98 @@
+"""The physical plans are those intended: few shuffles, pruned scans, bounded broadcasts."""
+
+import re
+
+import pytest
+
+from runledger.operators import merge, metrics, projects, upsert
+from runledger.sources.store import MergedTable
+
+
+@pytest.fixture(scope="module")
+def stored(spark, events, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("sources"))
+    for name in ("report_a", "report_b", "sample_meta", "project_meta"):
+        getattr(events, name).write.parquet(f"{root}/{name}")
+    read = lambda n: spark.read.parquet(f"{root}/{n}")
+    return [read("report_a"), read("report_b")], read("sample_meta"), read("project_meta")
+
+
+def plan(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[0]
+
+
+def shuffles(df):
+    return re.findall(r"(?<!Broadcast)Exchange (\w+)\(", plan(df))
+
+
+def scans(df):
+    return re.findall(r"ReadSchema: struct<([^>]*)>", plan(df))
+
+
+def test_merge_shuffles_reports_once_and_samples_once(stored, cfg):
+    df = merge.merge_sources(*stored, cfg)
+    assert shuffles(df) == ["hashpartitioning", "hashpartitioning"]
+    assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
+    assert plan(df).count("SortMergeJoin") == 1 and plan(df).count("BroadcastHashJoin") == 1
+
+
+def test_large_project_table_is_not_broadcast(spark, stored, cfg):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1")
+        assert "Broadcast" not in plan(merge.merge_sources(*stored, cfg))
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_trends_shuffle_once_and_read_what_they_need(merged, cfg):
+    df = metrics.metric_trends(merged, cfg, ["m1"])
+    assert shuffles(df) == ["hashpartitioning"] and len(re.findall(r"\bSort \[", plan(df))) == 1
+    (columns,) = scans(df)
+    assert {c.split(":")[0] for c in columns.split(",")} == {
+        "m.1", "Error", "RawFileName", "ProjectID", "Date", "DateTime", "FileType"}
+
+
+def test_counts_are_taken_before_rows_are_multiplied(merged, cfg):
+    text = plan(metrics.metric_counts(merged, cfg))
+    assert text.index("Generate inline") < text.index("HashAggregate")  # printed from the top: last step first
+    assert "partial_count" in text
+
+
+def test_project_filter_reaches_the_scan(merged):
+    text = plan(projects.project_filter(merged, "P1_click_B1").select("RawFileName"))
+    assert "EqualTo(ProjectID,P1_click_B1)" in text and "Exchange" not in text
+
+
+def test_recents_are_a_top_n(events):
+    from runledger.operators.recent import recent_samples_reports
+    from runledger.plans.fixtures import EVENT_CONFIG
+
+    for df in recent_samples_reports(events.reports, 500, EVENT_CONFIG):
+        assert "TakeOrderedAndProject" in plan(df) and "hashpartitioning" not in plan(df)
+
+
+def test_upsert_does_not_shuffle_the_table(merged, cfg):
+    updates = merged.limit(10)
+    text = plan(upsert.merge_upsert(merged, updates, 10, cfg))
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
+    # Beyond the limit there is no hint; Spark then goes by the size it measures.
+    logical = upsert.merge_upsert(merged, merged, cfg.broadcast_rows + 1, cfg)._jdf.queryExecution().analyzed().toString()
+    assert "LeftAnti" in logical and "ResolvedHint" not in logical
+
+
+def test_reading_pending_rows_keeps_the_project_filter(spark, merged, cfg, tmp_path):
+    t = MergedTable(spark, str(tmp_path / "t"), cfg)
+    t.replace(merged)
+    t.upsert(t.stage(merged.limit(5)), 5, 0)
+    text = plan(projects.project_filter(t.read(), "P1_click_B1"))
+    assert text.count("EqualTo(ProjectID,P1_click_B1)") == 2 and "hashpartitioning" not in text
+
+
+def test_copies_are_reduced_before_the_shuffle(stored, cfg):
+    from runledger.operators.reports import dedup_regular, union_reports
+
+    text = plan(dedup_regular(union_reports(stored[0], cfg), cfg))
+    assert re.search(r"WindowGroupLimit.*Final[\s\S]*Exchange[\s\S]*WindowGroupLimit.*Partial", text)
