@@ -53,7 +53,7 @@ def attach_samples(aligned: DataFrame, samples: DataFrame, cfg: LedgerConfig) ->
     keyed = samples.where(F.col(SAMPLE_ID).isNotNull())
     unkeyed = samples.where(F.col(SAMPLE_ID).isNull())
     counts = keyed.groupBy(SAMPLE_KEY).count()
-    hot = hot_groups(counts, [SAMPLE_KEY], cfg)
+    hot = hot_groups(keyed, counts, [SAMPLE_KEY], cfg)
     if hot is None:
         joined = aligned.join(keyed, F.col(KEY) == F.col(SAMPLE_KEY), "full_outer")
     else:

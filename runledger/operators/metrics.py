@@ -254,7 +254,7 @@ def metric_trends(
 
     counts = metric_counts(merged, cfg, keys)
     # A group with a static or no trend is never split, however small the limit.
-    hot = hot_groups(counts.where(F.col("n") >= cfg.rolling_threshold), GROUP, cfg, "n")
+    hot = hot_groups(merged, counts.where(F.col("n") >= cfg.rolling_threshold), GROUP, cfg, "n")
     if hot is None:
         return whole_projects(wide)
     total = hot.agg(F.sum("n")).first()[0]
@@ -287,7 +287,7 @@ def metric_summary(
     NULL where there are too few runs. Groups with none do not appear.
     """
     rows = exclude_standards(metric_long(merged, cfg, keys))
-    hot = hot_groups(metric_counts(merged, cfg, keys).where("n > 0"), GROUP, cfg, "n")
+    hot = hot_groups(merged, metric_counts(merged, cfg, keys).where("n > 0"), GROUP, cfg, "n")
 
     def stats(df: DataFrame, *more: Column) -> DataFrame:
         return df.groupBy(*GROUP).agg(

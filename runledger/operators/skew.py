@@ -19,13 +19,19 @@ from runledger.session import ensure_checkpoint_dir
 CHUNK = "_chunk"
 
 
-def hot_groups(counts: DataFrame, keys: list[str], cfg: LedgerConfig, count: str = "count") -> DataFrame | None:
+def hot_groups(
+    rows: DataFrame, counts: DataFrame, keys: list[str], cfg: LedgerConfig, count: str = "count"
+) -> DataFrame | None:
     """Groups above the size limit, or None when there are none.
 
+    No group has more members than ``rows`` has rows. Their number, which a stored
+    table gives from its footers, often settles the question before any grouping.
     ``counts`` has one row per group. The limit is at least total/max_hot_groups,
     so there are at most ``max_hot_groups`` hot groups whatever the data.
     The answer keeps the column ``count``.
     """
+    if rows.count() <= cfg.hot_rows:
+        return None
     biggest, total = counts.agg(F.max(count), F.sum(count)).first()
     if biggest is None:
         return None

@@ -145,7 +145,9 @@ def test_number_of_hot_groups_is_bounded(spark):
 
     counts = spark.createDataFrame([(f"g{i}", 100) for i in range(50)] + [("big", 5000)], "k string, count bigint")
     cfg = CFG.with_(hot_rows=10, max_hot_groups=5)
-    hot = hot_groups(counts, ["k"], cfg)
+    rows_ = spark.range(10_000)
+    hot = hot_groups(rows_, counts, ["k"], cfg)
     assert [r["k"] for r in hot.collect()] == ["big"]
-    assert hot_groups(counts.where("k <> 'big'"), ["k"], cfg.with_(hot_rows=100)) is None
-    assert hot_groups(counts.limit(0), ["k"], cfg) is None
+    assert hot_groups(rows_, counts.where("k <> 'big'"), ["k"], cfg.with_(hot_rows=100)) is None
+    assert hot_groups(rows_, counts.limit(0), ["k"], cfg) is None
+    assert hot_groups(spark.range(10), counts, ["k"], cfg) is None
