@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from runledger.config import LedgerConfig
 from runledger.functions import epoch_to_timestamp, parse_timestamp, quoted, strip_suffix
 from runledger.operators.merge import CREATED, SAMPLE_ID
-from runledger.session import materialised
 
 RECENT_ID = "sample_id"
 RECENT_TIME = "Time"
+RECENT_SCHEMA = f"{RECENT_ID} string, {RECENT_TIME} timestamp_ntz"
 
 
 def _newest(df: DataFrame, n: int) -> DataFrame:
@@ -31,17 +31,18 @@ def _pairs(samples: DataFrame) -> DataFrame:
         strip_suffix(F.col(SAMPLE_ID)).alias(RECENT_ID), parse_timestamp(F.col(CREATED)).alias(RECENT_TIME))
 
 
-def recent_samples_meta(samples: DataFrame, n: int) -> DataFrame:
+def recent_samples_meta(samples: DataFrame, n: int, cfg: LedgerConfig) -> DataFrame:
     """Top n of the distinct samples.
 
     When the n newest rows hold no copies, they are the answer and nothing is
     shuffled. Only otherwise is the whole table made distinct first.
     """
-    top = materialised(_newest(_pairs(samples), n))
-    distinct = top.distinct()
-    found, kept = top.count(), distinct.count()
-    if found < n or kept == found:
-        return distinct
+    if n <= cfg.broadcast_rows:
+        # n rows at most, a number set by the user and bounded above.
+        top = _newest(_pairs(samples), n).collect()
+        distinct = set(top)
+        if len(top) < n or len(distinct) == len(top):
+            return samples.sparkSession.createDataFrame(list(distinct), RECENT_SCHEMA)
     return _newest(distinct_samples(samples), n)
 
 
@@ -64,5 +65,5 @@ def recent_samples(reports: list[DataFrame], samples: DataFrame, n: int, cfg: Le
 
     At most n rows per source, so its size is known beforehand.
     """
-    parts = [recent_samples_meta(samples, n), *recent_samples_reports(reports, n, cfg)]
+    parts = [recent_samples_meta(samples, n, cfg), *recent_samples_reports(reports, n, cfg)]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -188,7 +188,11 @@ def test_recent_samples(spark):
     meta = spark.createDataFrame([("m.raw", "1970-01-01 00:00:07"), ("m.d", "1970-01-01 00:00:07"), ("z", None)],
                                  "SampleName_ID string, CreationDate string")
     at = lambda s: dt.datetime(1970, 1, 1, 0, 0, s)
-    assert [tuple(r) for r in recent.recent_samples_meta(meta, 2).collect()] == [("m", at(7)), ("z", None)]
+    assert rows(recent.recent_samples_meta(meta, 2, CFG)) == [("m", at(7)), ("z", None)]  # copies among the newest
+    assert rows(recent.recent_samples_meta(meta, 2, CFG.with_(broadcast_rows=0))) == [("m", at(7)), ("z", None)]
+    assert rows(recent.recent_samples_meta(meta, 9, CFG)) == [("m", at(7)), ("z", None)]  # fewer than asked for
+    assert rows(recent.recent_samples_meta(meta, 1, CFG)) == [("m", at(7))]
+    assert recent.recent_samples_meta(meta.limit(0), 5, CFG).count() == 0
     assert rows(recent.recent_samples([report], meta, 2, CFG)) == [("a", at(5)), ("c", at(9)), ("m", at(7)), ("z", None)]
 
 
