@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import blocknames, linebitmaps
+from runledger.llm import binpacking, blocknames, linebitmaps
 from runledger.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +53,8 @@ SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+@query
+def op10_bin_completion(spark, sf_dir):
+    return binpacking.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
