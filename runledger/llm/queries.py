@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import binpacking, blocknames, linebitmaps
+from runledger.llm import binpacking, blocknames, linebitmaps, speculativebpe
 from runledger.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,8 @@ FROM m GROUP BY doc_id
 @query
 def op10_bin_completion(spark, sf_dir):
     return binpacking.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_speculative_bpe(spark, sf_dir):
+    return speculativebpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
