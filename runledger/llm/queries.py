@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import binpacking, blocknames, bytegru, linebitmaps, speculativebpe
+from runledger.llm import binpacking, blocknames, bytegru, divergence, linebitmaps, speculativebpe
 from runledger.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,9 @@ def op2_byte_gru(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = bytegru.predict(docs, bytegru.fit(docs))
     return out.select("doc_id", bytegru.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_divergence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return divergence.judge(docs, divergence.references(docs))
