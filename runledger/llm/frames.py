@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,8 +35,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(a, b - a)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per application; they need not share a disk with the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_runledger_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="runledger-")) / "runledger.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._runledger_shipped = True
+
+
 def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
     """Apply ``fn`` to Arrow slices of the rows; memory is bounded by the slice, not by the batch."""
+    ship_package(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -43,7 +61,7 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return docs.mapInArrow(run, schema)
 
 
-def table(spark, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

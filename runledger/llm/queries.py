@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import binpacking, blocknames, bytegru, divergence, linebitmaps, speculativebpe
+from runledger.llm import binpacking, blocknames, bytegru, divergence, linebitmaps, orderminhash, speculativebpe
 from runledger.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,8 @@ def op2_byte_gru(spark, sf_dir):
 def op3_divergence(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return divergence.judge(docs, divergence.references(docs))
+
+
+@query
+def op6_order_minhash(spark, sf_dir):
+    return orderminhash.near_duplicates(table(spark, sf_dir, "documents"))
