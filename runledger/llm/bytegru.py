@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.frames import map_texts
+from runledger.llm.frames import filter_texts, map_texts
 
 WINDOW = 64
 HIDDEN = 6
@@ -27,6 +27,8 @@ MAX_LANGS = 64
 STEPS = 500
 BATCH = 256
 UNKNOWN = "und"
+#: ``accepted`` drops what the network cannot tell. A text of two languages in equal parts has about 0.5.
+MIN_SCORE = 0.4
 #: Windows that run through the network together: small enough for a core's cache.
 LANES = 2048
 
@@ -239,22 +241,36 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     return model
 
 
+def labelled(texts: list[str | None], model: ByteGru | None, runs: bool = False) -> tuple[list[str], list[float], list[list]]:
+    """Language, score and, on request, runs of each text."""
+    lang, score, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+    at = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
+    if at:
+        prob, found = model.pooled([texts[i].encode() for i in at], runs)
+        for j, i in enumerate(at):
+            best = int(prob[j].argmax())
+            lang[i], score[i] = model.langs[best], min(1.0, float(prob[j, best]))
+            if runs:
+                spans[i] = found[j]
+    return lang, score, spans
+
+
+def accepted(docs: DataFrame, model: ByteGru | None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is known with at least ``min_score``; without a model, all rows."""
+    def keep(batch: pa.RecordBatch) -> pa.Array:
+        lang, score, _ = labelled(batch.column(batch.schema.get_field_index("text")).to_pylist(), model)
+        return pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score)], pa.bool_())
+
+    return filter_texts(docs, keep) if model else docs
+
+
 def predict(docs: DataFrame, model: ByteGru | None, runs: bool = False) -> DataFrame:
     """doc_id, lang_pred, score of every row, from the whole text alone; with ``runs`` also the labelled byte ranges.
 
     A text that is null or has no letter gets ``und`` and score 0, as does every text when there is no model. Repeated rows stay.
     """
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        lang, score, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-        at = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model else []
-        if at:
-            prob, found = model.pooled([texts[i].encode() for i in at], runs)
-            for j, i in enumerate(at):
-                best = int(prob[j].argmax())
-                lang[i], score[i] = model.langs[best], min(1.0, float(prob[j, best]))
-                if runs:
-                    spans[i] = found[j]
+        lang, score, spans = labelled(batch.column(1).to_pylist(), model, runs)
         cols = [batch.column(0), pa.array(lang), pa.array(score, pa.float64())]
         if runs:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("lang", pa.string())]))

@@ -15,22 +15,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.frames import map_texts
+from runledger.llm.frames import filter_texts, map_texts
 from runledger.llm.textstats import CLASSES, TextStats
 from runledger.session import materialised, temporary_tables
 
 COMMON_WORDS = 48
 MAX_LANGS = 64
-#: Guards: characters without blanks, and words, that a text needs to be compared.
-MIN_CHARS = 200
-MIN_WORDS = 60
-MAX_CLASS_DISTANCE = 0.29
-MAX_WORD_DISTANCE = 0.47
 #: Base rules, see the contract of the query.
 BASE_WORDS = 10
 BASE_REPEAT_PERCENT = 20
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Greatest distances, and the guards: characters without blanks, and words, that a text needs to be compared."""
+
+    max_class: float = 0.29
+    max_word: float = 0.47
+    min_chars: int = 200
+    min_words: int = 60
+
+
 @dataclass
 class References:
     """Per language: shares of character classes, common words, and shares of these words and of all others (last)."""
@@ -113,38 +118,40 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def judge(
-    docs: DataFrame, refs: References, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-    min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, columns: bool = False,
-) -> DataFrame:
-    """doc_id and COLUMNS of every row; with ``columns`` all columns of ``docs`` before them.
+def _verdicts(batch: pa.RecordBatch, refs: References, limits: Limits) -> list[pa.Array]:
+    """The arrays of COLUMNS."""
+    stats = TextStats(batch.column(batch.schema.get_field_index("text")))
+    repeat = stats.n_repeat_words()
+    failed = (stats.n_words < BASE_WORDS) | (100 * repeat > BASE_REPEAT_PERCENT * stats.n_words)
+    if refs.langs:
+        by_class, by_word = distances(stats, refs)
+        lang = batch.column(batch.schema.get_field_index("lang")).cast(pa.string())
+        own = pc.fill_null(pc.index_in(lang, pa.array(refs.langs, pa.string())), -1).to_numpy(zero_copy_only=False)
+        own = np.where(own < 0, (by_class + by_word).argmin(1), own)
+        by_class, by_word = by_class[np.arange(stats.n), own], by_word[np.arange(stats.n), own]
+    else:
+        by_class = by_word = np.zeros(stats.n)
+    no_class = (stats.word_chars < limits.min_chars) | (not refs.langs)
+    no_word = (stats.n_words < limits.min_words) | (not refs.langs)
+    kept = ~failed & (no_class | (by_class <= limits.max_class)) & (no_word | (by_word <= limits.max_word))
+    counts = [stats.n_words, stats.word_chars, stats.n_symbols, stats.n_dup_lines, repeat]
+    return [pa.array(x, pa.int64()) for x in counts] + [
+        pa.array(failed), pa.array(kept), pa.array(by_class, mask=no_class), pa.array(by_word, mask=no_word)]
+
+
+def judge(docs: DataFrame, refs: References, limits: Limits = Limits()) -> DataFrame:
+    """doc_id and COLUMNS of every row.
 
     A document is compared with its own language's reference, or, where that is null or unknown, with the nearest.
     A distance is null where the text is too short for it or there are no references; then it rejects nothing.
-    A null text has no words, so it fails the base rules. Repeated rows stay.
+    A null text has no words, so it fails the base rules. Repeated rows stay; extra columns are ignored.
     """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = batch.column(batch.schema.get_field_index("text"))
-        stats = TextStats(text)
-        repeat = stats.n_repeat_words()
-        failed = (stats.n_words < BASE_WORDS) | (100 * repeat > BASE_REPEAT_PERCENT * stats.n_words)
-        if refs.langs:
-            by_class, by_word = distances(stats, refs)
-            own = pc.fill_null(pc.index_in(batch.column(batch.schema.get_field_index("lang")).cast(pa.string()), pa.array(refs.langs, pa.string())), -1)
-            own = own.to_numpy(zero_copy_only=False)
-            own = np.where(own < 0, (by_class + by_word).argmin(1), own)
-            by_class, by_word = by_class[np.arange(stats.n), own], by_word[np.arange(stats.n), own]
-        else:
-            by_class = by_word = np.zeros(stats.n)
-        no_class, no_word = (stats.word_chars < min_chars) | (not refs.langs), (stats.n_words < min_words) | (not refs.langs)
-        kept = ~failed & (no_class | (by_class <= max_class)) & (no_word | (by_word <= max_word))
-        made = [stats.n_words, stats.word_chars, stats.n_symbols, stats.n_dup_lines, repeat]
-        cols = [pa.array(x, pa.int64()) for x in made] + [pa.array(failed), pa.array(kept)]
-        cols += [pa.array(by_class, mask=no_class), pa.array(by_word, mask=no_word)]
-        keep = [i for i, name in enumerate(batch.schema.names) if columns or name == "doc_id"]
-        return pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + cols, [batch.schema.names[i] for i in keep] + list(COLUMNS))
-
-    rows = docs.select(*[c for c in docs.columns if c not in COLUMNS]) if columns else docs.select("doc_id", "text", "lang")
-    kept = rows.schema if columns else rows.select("doc_id").schema
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return map_texts(rows, run, f"{names}, {SCHEMA}")
+        return pa.RecordBatch.from_arrays([batch.column(0), *_verdicts(batch, refs, limits)], ["doc_id", *COLUMNS])
+
+    return map_texts(docs.select("doc_id", "text", "lang"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+
+
+def accepted(docs: DataFrame, refs: References, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns."""
+    return filter_texts(docs, lambda batch: _verdicts(batch, refs, limits)[COLUMNS.index("kept")])

@@ -61,6 +61,12 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return docs.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The rows of ``docs`` for whose batches ``keep`` says true; all columns as they are."""
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_texts(docs, lambda batch: batch.filter(keep(batch)), names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -87,8 +87,8 @@ def _goes(pos: Column, drops: Column) -> Column:
     return F.getbit(word, (pos % 64).cast("int")) == 1
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the kept lines as ``text``, and ``n_lines``, ``n_dropped`` (long) beside them.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, counts: bool = True) -> DataFrame:
+    """All columns of ``docs`` with the kept lines as ``text``, and, with ``counts``, ``n_lines``, ``n_dropped`` (long) beside them.
 
     A null text stays null where the document loses nothing, which is always; it counts as one empty line.
     """
@@ -97,16 +97,15 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     joined = left.join(b, left["doc_id"].eqNullSafe(b["_doc"]) & (left["_row"] == b["_at"]), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~_goes(i, F.col("_drops"))), "\n")
-    return joined.withColumns({
-        "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("_gone", F.lit(0)).cast("long"),
-        "text": F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept)}).drop("_row", "_doc", "_at", "_drops", "_gone")
+    more = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("_gone", F.lit(0)).cast("long")} if counts else {}
+    return joined.withColumns({**more, "text": F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept)}).drop("_row", "_doc", "_at", "_drops", "_gone")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hot_rows: int = HOT_ROWS, counts: bool = True) -> DataFrame:
     """``docs`` without the lines that ``min_docs`` documents share, but for the last document of each.
 
     Lines are split at \\n. A document is a doc_id: rows that repeat one count once, and null is one doc_id,
-    the smallest. All other columns stay; ``n_lines`` and ``n_dropped`` are added (and replace columns of these names).
+    the smallest. All other columns stay; with ``counts``, ``n_lines`` and ``n_dropped`` are added (and replace columns of these names).
     An empty table gives no rows.
     """
-    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs, hot_rows))
+    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars, min_docs, hot_rows), counts)
