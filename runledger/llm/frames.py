@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.session import ensure_checkpoint_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Texts handed to a vectorised step at once, in bytes; a longer text goes alone.
 SLICE_BYTES = 8 << 20
@@ -67,6 +70,12 @@ def filter_texts(docs: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array]) ->
     return map_texts(docs, lambda batch: batch.filter(keep(batch)), names)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

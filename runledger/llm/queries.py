@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import binpacking, blocknames, bytegru, divergence, linebitmaps, orderminhash, speculativebpe
-from runledger.llm.frames import table
+from runledger.llm import binpacking, blocknames, bytegru, divergence, linebitmaps, orderminhash, speculativebpe, warc
+from runledger.llm.frames import scratch, table
+from runledger.sources.files import remove_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +85,25 @@ def op6_order_minhash(spark, sf_dir):
     return orderminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_transactions(spark, sf_dir):
+    folder = scratch(spark, "archives")
+    try:
+        return warc.archive_round_trip(table(spark, sf_dir, "pages"), folder).drop("capture_id")
+    finally:
+        remove_tree(spark, folder)
+
+
+ORACLE["op1_transactions"] = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+w AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM w
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
