@@ -9,13 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import binpacking, blocknames, bytegru, divergence, linebitmaps, orderminhash, speculativebpe, warc
+from runledger.llm import binpacking, blocknames, bytegru, divergence, lengthcurve, linebitmaps, orderminhash, speculativebpe, warc, weaklabels
 from runledger.llm.frames import scratch, table
+from runledger.session import materialised
 from runledger.sources.files import remove_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+CONTEXT_LIMITS = tuple(512 << i for i in range(9))
 
 
 def query(fn: Query) -> Query:
@@ -104,6 +106,17 @@ FROM w
 """
 
 
+@query
+def op4_weak_labels(spark, sf_dir):
+    return weaklabels.classify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_length_curve(spark, sf_dir):
+    lengths = lengthcurve.length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return lengthcurve.curve(materialised(lengths), CONTEXT_LIMITS)
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
