@@ -11,7 +11,8 @@ from runledger.plans.reports import report_tables
 from runledger.session import shuffle_partitions_for
 from runledger.sources import audit, export
 from runledger.sources.databases import SNAPSHOT, SourceDatabase, source_bytes, validate_sources
-from runledger.sources.snapshot import sync_sources
+from runledger.sources.files import GRACE_SECONDS
+from runledger.sources.snapshot import sync_sources, vacuum_snapshot
 from runledger.sources.store import MergedTable
 
 
@@ -66,6 +67,7 @@ class Ledger:
     # --- refresh --------------------------------------------------------------
 
     def refresh(self, n: int | None = None, full: bool = False) -> RefreshResult | None:
+        """Upsert all that changed in the working copies, and the newest ``n`` samples of each source if asked; or build anew."""
         reports = [self.working(s) for s in self.reports]
         return refresh(self.table, reports, self.working(self.metadata), n, full)
 
@@ -81,9 +83,15 @@ class Ledger:
     def merged(self) -> DataFrame:
         return self.table.read()
 
-    def projects(self, pattern: str | None = None, limit: int = 100) -> DataFrame:
+    def projects(self, pattern: str | None = None, limit: int | None = None) -> DataFrame:
+        """Projects, newest first: all, those that match, or the first ``limit`` of either."""
+        if pattern is None and limit is None:
+            return projects.projects_by_recency(self.merged())
         return projects.search_projects(self.merged(), pattern, limit)
 
+    def start_page(self, limit: int = 200) -> DataFrame:
+        return projects.project_page(self.merged(), limit)
+
     def project(self, project: str, match: str = "like") -> DataFrame:
         return projects.project_slice(self.merged(), project, match)
 
@@ -106,10 +114,21 @@ class Ledger:
         return report_tables(self.merged(), project, self.cfg, keys, match)
 
     def audit(self) -> DataFrame:
-        return audit_log(self.table).read()
+        """The refresh log; empty before the first build."""
+        return audit_log(self.table).read() if self.table.exists() else self.spark.createDataFrame([], audit.AUDIT_SCHEMA)
 
     def freshness(self) -> DataFrame:
         return audit.freshness(self.audit())
 
     def export_csv(self, project: str, folder: str, match: str = "like") -> str | None:
         return export.export_project_csv(self.merged(), project, folder, match)
+
+    def export_all_csv(self, folder: str) -> str:
+        return export.export_all_csv(self.merged(), folder)
+
+    # --- upkeep ---------------------------------------------------------------
+
+    def vacuum(self, keep: int = 2, grace: float = GRACE_SECONDS) -> int:
+        """Delete data of the table and of the copies that none of the newest ``keep`` states shows."""
+        copies = [self.working(s).location for s in self.sources if not s.immutable]
+        return self.table.vacuum(keep, grace) + sum(vacuum_snapshot(self.spark, c, keep, grace) for c in copies)

@@ -30,12 +30,10 @@ SAMPLE_PROJECT = "_sample_project"
 
 
 def prepare_samples(samples: DataFrame) -> DataFrame:
-    """Sample metadata with its join key; ``Error`` is added when the source lacks it."""
+    """Sample metadata with its join key."""
     missing = [c for c in (SAMPLE_ID, PROJECT_ID, CREATED) if c not in samples.columns]
     if missing:
         raise ValueError(f"sample metadata lacks {missing}; found {samples.columns}")
-    if ERROR not in samples.columns:
-        samples = samples.withColumn(ERROR, F.lit(None).cast("string"))
     return (
         samples.withColumnRenamed(PROJECT_ID, SAMPLE_PROJECT)
         .withColumn(SAMPLE_KEY, strip_suffix(F.col(SAMPLE_ID)))
@@ -114,6 +112,14 @@ def merge_base(aligned: DataFrame, samples: DataFrame, cfg: LedgerConfig) -> Dat
 def merge_sources(
     reports: list[DataFrame], samples: DataFrame, projects: DataFrame, cfg: LedgerConfig
 ) -> DataFrame:
-    """The merged table: one row per run or sample, whatever source knows it."""
+    """The merged table: one row per run or sample, whatever source knows it.
+
+    ``Error`` may stand in the sample or in the project table; when neither has it, it is added without values.
+    """
     aligned = align_control(union_reports(reports, cfg), cfg)
-    return attach_project_meta(merge_base(aligned, samples, cfg), projects)
+    rows = attach_project_meta(merge_base(aligned, samples, cfg), projects)
+    if ERROR in rows.columns:
+        return rows
+    at = rows.columns.index(RAW_FILE)
+    cols = [F.col(quoted(c)) for c in rows.columns]
+    return rows.select(*cols[:at], F.lit(None).cast("string").alias(ERROR), *cols[at:])

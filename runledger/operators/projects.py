@@ -58,10 +58,11 @@ def project_page(merged: DataFrame, limit: int = 200) -> DataFrame:
     return projects_by_recency(merged).limit(limit)
 
 
-def search_projects(merged: DataFrame, pattern: str | None, limit: int = 100) -> DataFrame:
-    """Projects whose name contains the text, in any case; all of them without a text."""
+def search_projects(merged: DataFrame, pattern: str | None, limit: int | None = 100) -> DataFrame:
+    """Projects whose name contains the text, in any case; all of them without a text. No limit when it is None."""
     hits = merged.where(contains_ci(F.col(PROJECT_ID), pattern)) if pattern else merged
-    return projects_by_recency(hits).limit(limit)
+    found = projects_by_recency(hits)
+    return found if limit is None else found.limit(limit)
 
 
 def _newest_run() -> Column:

@@ -132,14 +132,3 @@ def align_control(union: DataFrame, cfg: LedgerConfig) -> DataFrame:
         *[F.col("_r").getField(c).alias(c) for c in cols],
         *[F.col("_c").getField(c).alias(c + CONTROL_TAG) for c in cols],
     )
-
-
-def align_control_by_join(union: DataFrame, cfg: LedgerConfig) -> DataFrame:
-    """The same by window deduplication and a full outer join; kept to check the other."""
-    cols = report_columns_of(union)
-    name = quoted(cfg.name_column)
-    regular = dedup_regular(union, cfg).drop(SOURCE).withColumn(KEY, F.col(name))
-    control = suffix_columns(dedup_control(union, cfg).drop(SOURCE))
-    control = control.withColumn(KEY, strip_suffix(F.col(quoted(cfg.name_column + CONTROL_TAG))))
-    return regular.join(control, KEY, "full_outer").select(
-        KEY, *[quoted(c) for c in cols], *[quoted(c + CONTROL_TAG) for c in cols])

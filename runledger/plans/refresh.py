@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.config import LedgerConfig
-from runledger.operators.merge import RAW_FILE, merge_sources
-from runledger.operators.recent import recent_samples
+from runledger.functions import quoted, strip_suffix
+from runledger.operators.differences import changed_keys
+from runledger.operators.merge import PROJECT_ID, RAW_FILE, SAMPLE_ID, merge_sources
+from runledger.operators.recent import RECENT_ID, recent_samples
 from runledger.operators.upsert import bounded, dedup_upserts, fit_target, recent_merge
 from runledger.session import materialised, temporary_tables
 from runledger.sources.audit import AuditLog
-from runledger.sources.databases import SourceDatabase, read_project_meta, read_reports, read_sample_meta, source_mtimes
+from runledger.sources.databases import PinnedSource, SourceDatabase, read_project_meta, read_reports, read_sample_meta, source_mtimes
 from runledger.sources.store import MergedTable
 
 log = logging.getLogger(__name__)
@@ -22,7 +27,7 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class RefreshResult:
-    """What a refresh did. ``samples`` counts the recent samples looked at."""
+    """What a refresh did. ``samples`` counts the samples looked at."""
 
     full: bool
     rows_before: int
@@ -34,18 +39,62 @@ class RefreshResult:
 
 @dataclass(frozen=True)
 class Inputs:
-    """The sources of a refresh as DataFrames."""
+    """The sources of a refresh as DataFrames, each at one version.
+
+    ``versions`` names the version of each source that has any.
+    """
 
     reports: list[DataFrame]
     samples: DataFrame
     projects: DataFrame
+    versions: dict[str, str] | None = None
 
     @classmethod
     def load(
-        cls, spark: SparkSession, reports: list[SourceDatabase], metadata: SourceDatabase, cfg: LedgerConfig
-    ) -> "Inputs":
+        cls, spark: SparkSession, reports: list[SourceDatabase], metadata: SourceDatabase, cfg: LedgerConfig,
+    ) -> Inputs:
+        """All tables at the newest versions, looked up once: what lands meanwhile waits for the next refresh."""
+        pins = [s.pinned(spark) for s in reports]
+        meta = metadata.pinned(spark)
+        versions = {p.name: p.version for p in (*pins, meta) if isinstance(p, PinnedSource)}
         return cls(
-            read_reports(spark, reports, cfg), read_sample_meta(spark, metadata, cfg), read_project_meta(spark, metadata, cfg))
+            read_reports(spark, pins, cfg), read_sample_meta(spark, meta, cfg), read_project_meta(spark, meta, cfg), versions)
+
+    def changed_samples(
+        self, spark: SparkSession, reports: list[SourceDatabase], metadata: SourceDatabase, table: MergedTable,
+    ) -> DataFrame:
+        """File names (RECENT_ID) of all rows that differ from the versions the table holds."""
+        cfg, held = table.cfg, table.versions()
+
+        def before(source: SourceDatabase, which: str) -> DataFrame | None:
+            """The table at the version held; None when that is unknown or gone, then all its rows count as changed."""
+            version = held.get(source.name)
+            if version is None or source.name not in (self.versions or {}):
+                return None
+            try:
+                return source.pinned(spark, version).read(spark, which)
+            except (PySparkException, Py4JJavaError, ValueError):
+                log.info("version %s of %s is gone; all its rows count as changed", version, source.name)
+                return None
+
+        same = lambda source: source.name in held and held[source.name] == (self.versions or {}).get(source.name)
+        parts = []
+        for source, new in zip(reports, self.reports):
+            if not same(source):
+                parts.append(changed_keys(new, before(source, cfg.report_tables[0]), strip_suffix(F.col(quoted(cfg.name_column))), RECENT_ID))
+        if not same(metadata):
+            old = before(metadata, cfg.metadata_tables[1])
+            parts.append(changed_keys(self.samples, old, strip_suffix(F.col(SAMPLE_ID)), RECENT_ID))
+            projects = changed_keys(self.projects, before(metadata, cfg.metadata_tables[0]), F.col(PROJECT_ID), PROJECT_ID)
+            files = table.read().join(projects, PROJECT_ID, "left_semi").where(F.col(RAW_FILE).isNotNull())
+            parts.append(files.select(F.col(RAW_FILE).alias(RECENT_ID)))
+        return reduce(lambda a, b: a.unionByName(b), parts, spark.createDataFrame([], f"{RECENT_ID} string"))
+
+    def all_samples(self, cfg: LedgerConfig) -> DataFrame:
+        """File names of all rows of reports and samples."""
+        parts = [r.select(strip_suffix(F.col(quoted(cfg.name_column))).alias(RECENT_ID)) for r in self.reports]
+        parts.append(self.samples.select(strip_suffix(F.col(SAMPLE_ID)).alias(RECENT_ID)))
+        return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def audit_log(table: MergedTable) -> AuditLog:
@@ -59,29 +108,35 @@ def full_refresh(table: MergedTable, inputs: Inputs, mtimes: DataFrame) -> Refre
     what was written; the old table stays in place if it fails.
     """
     before = table.row_count() if table.exists() else 0
-    rows = table.replace(merge_sources(inputs.reports, inputs.samples, inputs.projects, table.cfg))
+    rows = table.replace(merge_sources(inputs.reports, inputs.samples, inputs.projects, table.cfg), inputs.versions)
     audit_log(table).append(mtimes, rows)
     return RefreshResult(True, before, rows, 0, rows, 0)
 
 
 def incremental_refresh(
-    table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int | None = None
+    table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int | None = None, changed: DataFrame | None = None
 ) -> RefreshResult | None:
-    """Upsert the newest samples of each source; None, and no log entry, when there are none.
+    """Upsert every sample that changed; None, and no log entry, when there are none.
 
-    The list of recent samples has at most ``n`` rows per source. It is all that
-    is broadcast; source tables and merged table are scanned but not shuffled.
+    ``changed`` has their file names; without it all rows of the inputs count as changed. ``n`` asks for a look-back
+    beside them: the newest ``n`` samples of each source are upserted too, changed or not. Inputs are cut to these
+    samples before the joins; the list of them is broadcast only when it is short.
     """
     with temporary_tables(table.spark):
-        return _incremental_refresh(table, inputs, mtimes, table.cfg.recent_rows if n is None else n)
+        return _incremental_refresh(table, inputs, mtimes, n, changed)
 
 
-def _incremental_refresh(table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int) -> RefreshResult | None:
+def _incremental_refresh(
+    table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int | None, changed: DataFrame | None
+) -> RefreshResult | None:
     cfg = table.cfg
-    recent = materialised(recent_samples(inputs.reports, inputs.samples, n, cfg))
+    looked = inputs.all_samples(cfg) if changed is None else changed
+    if n:
+        looked = looked.unionByName(recent_samples(inputs.reports, inputs.samples, n, cfg).select(RECENT_ID))
+    recent = materialised(looked.where(F.col(RECENT_ID).isNotNull()).distinct())
     samples = recent.count()
     if samples == 0:
-        log.info("no recent samples")
+        log.info("no changed samples")
         return None
     before = table.row_count()
     merged = recent_merge(inputs.reports, inputs.samples, inputs.projects, recent, samples, cfg)
@@ -91,7 +146,7 @@ def _incremental_refresh(table: MergedTable, inputs: Inputs, mtimes: DataFrame,
     # Updates are unique by file and every file is in the list of recent samples.
     known = table.read().where(F.col(RAW_FILE).isNotNull()).select(RAW_FILE)
     updated = known.join(bounded(given.select(RAW_FILE), updates, cfg), RAW_FILE, "left_semi").count()
-    rows = table.upsert(part, updates, updates - updated)
+    rows = table.upsert(part, updates, updates - updated, inputs.versions)
     audit_log(table).append(mtimes, rows)
     return RefreshResult(False, before, rows, updated, updates - updated, samples)
 
@@ -104,4 +159,4 @@ def refresh(
     mtimes = source_mtimes(spark, [*reports, metadata])
     if full:
         return full_refresh(table, inputs, mtimes)
-    return incremental_refresh(table, inputs, mtimes, n)
+    return incremental_refresh(table, inputs, mtimes, n, inputs.changed_samples(spark, reports, metadata, table))

@@ -79,6 +79,26 @@ class SourceDatabase:
         latest = files.Manifests(spark, self.location).latest()
         return {t: f"{self.location}/{part}" for t, part in latest[1]["tables"].items()} if latest else {}
 
+    def version(self, spark: SparkSession) -> str | None:
+        """Newest version of an immutable source; None for others, which have no versions."""
+        if self.format == LANDED:
+            return self._version(spark)
+        if self.format == SNAPSHOT:
+            numbers = files.Manifests(spark, self.location).numbers()
+            return str(numbers[-1]) if numbers else None
+        return None
+
+    def pinned(self, spark: SparkSession, version: str | None = None) -> "SourceDatabase | PinnedSource":
+        """The source at one version, by default the newest, whatever lands later. Sources without versions are themselves."""
+        version = version or self.version(spark)
+        if version is None:
+            return self
+        if self.format == SNAPSHOT:
+            found = files.Manifests(spark, self.location).read(int(version))["tables"]
+            return PinnedSource(self.name, version, {t: f"{self.location}/{part}" for t, part in found.items()})
+        folder = f"{self.location}/data/{self.name}/{version}"
+        return PinnedSource(self.name, version, {t: f"{folder}/{t}" for t in files.children(spark, folder)})
+
     def tables(self, spark: SparkSession) -> list[str]:
         """Table names. A JDBC source names its tables in the option ``tables``."""
         if self.format == "sqlite":
@@ -106,6 +126,20 @@ class SourceDatabase:
         return spark.read.format(kind).options(**self.options).load(found[table])
 
 
+@dataclass(frozen=True)
+class PinnedSource:
+    """One version of a landed source or a snapshot: paths of its parquet tables."""
+
+    name: str
+    version: str
+    paths: Mapping[str, str]
+
+    def read(self, spark: SparkSession, table: str) -> DataFrame:
+        if table not in self.paths:
+            raise ValueError(f"{self.name} has no table {table!r}; found {sorted(self.paths)}")
+        return spark.read.parquet(self.paths[table])
+
+
 def validate_source(spark: SparkSession, source: SourceDatabase, required: tuple[str, ...]) -> None:
     """Fail unless the source is there and has all required tables."""
     if not source.exists(spark):

@@ -8,6 +8,7 @@ visible. Readers take the manifest with the highest number.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -64,11 +65,40 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def age_seconds(spark: SparkSession, path: str) -> float:
+    """Time since the entry last changed."""
+    fs, p = _hadoop(spark, path)
+    return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
+
+def remove_stale(spark: SparkSession, root: str, used: set[str], grace: float) -> int:
+    """Delete the folders below ``root``/parts that are not used and older than ``grace`` seconds.
+
+    A part is written before a manifest shows it, so a young one may belong to a refresh that still runs.
+    """
+    stale = [f"{root}/parts/{p}" for p in children(spark, f"{root}/parts") if f"parts/{p}" not in used]
+    stale = [p for p in stale if age_seconds(spark, p) >= grace]
+    for p in stale:
+        remove_tree(spark, p)
+    return len(stale)
+
+
+def require(spark: SparkSession, root: str, parts: list[str]) -> None:
+    """Fail when a part that a manifest is about to show is gone."""
+    lost = [p for p in parts if not exists(spark, f"{root}/{p}")]
+    if lost:
+        raise FileNotFoundError(f"{root}: parts {lost} were removed before they could be shown")
+
+
 def remove_tree(spark: SparkSession, path: str) -> None:
     fs, p = _hadoop(spark, path)
     fs.delete(p, True)
 
 
+#: Unnamed parts younger than this stay, as a running refresh may be about to show them.
+GRACE_SECONDS = 24 * 3600.0
+
+
 class Manifests:
     """Numbered JSON files in one folder; the highest number counts."""
 

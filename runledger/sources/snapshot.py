@@ -21,6 +21,7 @@ def _copy(spark: SparkSession, source: SourceDatabase, target: str) -> None:
         part = files.new_part()
         source.read(spark, table).write.parquet(f"{target}/{part}")
         tables[table] = part
+    files.require(spark, target, list(tables.values()))
     manifests.publish(latest[0] if latest else 0, {"source": source.name, "tables": tables})
 
 
@@ -57,11 +58,8 @@ def sync_sources(
     return done
 
 
-def vacuum_snapshot(spark: SparkSession, target: str, keep: int = 2) -> int:
-    """Delete folders that none of the newest ``keep`` manifests names."""
+def vacuum_snapshot(spark: SparkSession, target: str, keep: int = 2, grace: float = files.GRACE_SECONDS) -> int:
+    """Delete folders that none of the newest ``keep`` manifests names and that are older than ``grace`` seconds."""
     manifests = files.Manifests(spark, target)
     used = {p for n in manifests.numbers()[-keep:] for p in manifests.read(n)["tables"].values()}
-    stale = [p for p in files.children(spark, f"{target}/parts") if f"parts/{p}" not in used]
-    for p in stale:
-        files.remove_tree(spark, f"{target}/parts/{p}")
-    return len(stale)
+    return files.remove_stale(spark, target.rstrip("/"), used, grace)

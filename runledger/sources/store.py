@@ -65,19 +65,34 @@ class MergedTable:
     def staged(self, part: str) -> DataFrame:
         return self._load(part)
 
-    def replace(self, merged: DataFrame) -> int:
+    def versions(self) -> dict[str, str]:
+        """Version of each source that the table holds; sources without versions are missing."""
+        return self._state()[1].get("versions", {})
+
+    def _publish(self, after: int, state: dict) -> None:
+        files.require(self.spark, self.root, [state["base"], *state["parts"]])
+        self.manifests.publish(after, state)
+
+    def _stage_base(self, rows: DataFrame) -> str:
+        """Stage rows ranged by project and time: a file holds few projects, and a question about one opens few files."""
+        return self.stage(rows.repartitionByRange(F.col(PROJECT_ID).asc_nulls_first(), F.col("DateTime").asc_nulls_first()))
+
+    def replace(self, merged: DataFrame, versions: dict[str, str] | None = None) -> int:
         """Full build. A file name that occurs twice fails it and leaves the table as it was."""
-        part = self.stage(merged)
+        part = self._stage_base(merged)
         rows = self._load(part)
         assert_unique(rows, RAW_FILE)
         number = rows.count()
         latest = self.manifests.latest()
-        self.manifests.publish(
-            latest[0] if latest else 0, {"generation": part, "base": part, "parts": [], "pending": 0, "rows": number})
+        self._publish(latest[0] if latest else 0, {
+            "generation": part, "base": part, "parts": [], "pending": 0, "rows": number, "versions": versions or {}})
         return number
 
-    def upsert(self, part: str, updates: int, inserted: int) -> int:
-        """Show a staged part of ``updates`` rows, ``inserted`` of them new. Returns the row count."""
+    def upsert(self, part: str, updates: int, inserted: int, versions: dict[str, str] | None = None) -> int:
+        """Show a staged part of ``updates`` rows, ``inserted`` of them new. Returns the row count.
+
+        ``versions`` are those of the sources after this; without them the earlier ones stay.
+        """
         number, state = self._state()
         parts, pending = [*state["parts"], part], state["pending"] + updates
         base, rows = state["base"], state["rows"] + inserted
@@ -85,9 +100,10 @@ class MergedTable:
             parts = [self.stage(self._latest(parts))]
             pending = self._load(parts[0]).count()
         if pending > self.cfg.compact_rows:
-            base, parts, pending = self.stage(self._rows(base, parts, pending)), [], 0
-        self.manifests.publish(
-            number, {"generation": state["generation"], "base": base, "parts": parts, "pending": pending, "rows": rows})
+            base, parts, pending = self._stage_base(self._rows(base, parts, pending)), [], 0
+        self._publish(number, {
+            "generation": state["generation"], "base": base, "parts": parts, "pending": pending, "rows": rows,
+            "versions": state.get("versions", {}) if versions is None else versions})
         return rows
 
     def _latest(self, parts: list[str]) -> DataFrame:
@@ -113,13 +129,10 @@ class MergedTable:
         _, state = self._state()
         return self._rows(state["base"], state["parts"], state["pending"])
 
-    def vacuum(self, keep: int = 2) -> int:
-        """Delete folders that none of the newest ``keep`` manifests names."""
+    def vacuum(self, keep: int = 2, grace: float = files.GRACE_SECONDS) -> int:
+        """Delete folders that none of the newest ``keep`` manifests names and that are older than ``grace`` seconds."""
         used = set()
         for n in self.manifests.numbers()[-keep:]:
             state = self.manifests.read(n)
             used |= {state["base"], *state["parts"]}
-        stale = [p for p in files.children(self.spark, f"{self.root}/parts") if f"parts/{p}" not in used]
-        for p in stale:
-            files.remove_tree(self.spark, f"{self.root}/parts/{p}")
-        return len(stale)
+        return files.remove_stale(self.spark, self.root, used, grace)

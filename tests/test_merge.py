@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from runledger import LedgerConfig, Metric
+from runledger.functions import quoted, strip_suffix
 from runledger.operators import checks, merge, reports
 
 CFG = LedgerConfig(metrics=(Metric("Metric", "Metric", "A metric"),))
@@ -121,12 +122,29 @@ def test_clashing_columns_are_an_error(spark):
         merge.merge_sources([spark.createDataFrame(RUNS, REPORT)], spark.createDataFrame([], SAMPLE), projects, CFG)
 
 
+def align_by_join(union, cfg):
+    """Pairing by window deduplication and a full outer join."""
+    cols = reports.report_columns_of(union)
+    name = quoted(cfg.name_column)
+    regular = reports.dedup_regular(union, cfg).drop(reports.SOURCE).withColumn(reports.KEY, F.col(name))
+    control = reports.suffix_columns(reports.dedup_control(union, cfg).drop(reports.SOURCE))
+    control = control.withColumn(reports.KEY, strip_suffix(F.col(quoted(cfg.name_column + reports.CONTROL_TAG))))
+    return regular.join(control, reports.KEY, "full_outer").select(
+        reports.KEY, *[quoted(c) for c in cols], *[quoted(c + reports.CONTROL_TAG) for c in cols])
+
+
 def test_both_ways_of_pairing_agree(spark, events, cfg):
     union = reports.union_reports(events.reports, cfg)
-    a, b = reports.align_control(union, cfg), reports.align_control_by_join(union, cfg)
+    a, b = reports.align_control(union, cfg), align_by_join(union, cfg)
     assert rows(a) == rows(b) and a.count() > 900
 
 
+def test_error_may_be_a_project_column(spark):
+    projects = spark.createDataFrame([("Proj_A_01", "2024", "broken")], "ProjectID string, TimeRange string, Error string")
+    got = merge.merge_sources([spark.createDataFrame(RUNS, REPORT)], spark.createDataFrame([], SAMPLE), projects, CFG)
+    assert rows(got, "RawFileName", "Error") == [(f"Proj_A_01_S{i}", "broken") for i in (1, 2, 3)]
+
+
 def test_dedup_is_idempotent(spark, events, cfg):
     union = reports.union_reports(events.reports, cfg)
     once = reports.dedup_regular(union, cfg)

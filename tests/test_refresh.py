@@ -89,13 +89,72 @@ def test_upsert_inserts_keeps_lost_rows_and_logs_the_gain(spark, tmp_path):
     assert last["new_rows"] == 3 and last["text"].endswith("· +3 samples")
 
 
-def test_only_the_newest_samples_are_looked_at(spark, tmp_path):
+def test_a_look_back_is_a_minimum(spark, tmp_path):
     t = table(spark, tmp_path)
     full_refresh(t, inputs(spark, runs(10)), mtimes(spark))
     zeroed = [(n, s, "0") for n, s, _ in runs(10)]
+    changed = spark.createDataFrame([("P_a_1_002",)], "sample_id string")
+    got = incremental_refresh(t, inputs(spark, zeroed), mtimes(spark), n=4, changed=changed)
+    assert got.samples == 5
+    # Run 000 had 0 before.
+    assert [r[0][-3:] for r in rows(t.read().where("Metric = '0'"), "RawFileName")] == ["000", "002", "006", "007", "008", "009"]
+    # Unless the caller knows better, every row may have changed.
     incremental_refresh(t, inputs(spark, zeroed), mtimes(spark), n=4)
-    assert t.read().where("Metric = '0'").count() == 5  # run 000 had 0 before
-    assert rows(t.read().where("Metric = '0'"), "RawFileName")[1:] == [(f"P_a_1_{i:03d}",) for i in (6, 7, 8, 9)]
+    assert t.read().where("Metric = '0'").count() == 10
+
+
+def landed(spark, landing, version, reports, samples=(), projects=(("P_a_1", "2024", "name"),)):
+    from runledger.streaming.landing import land_version
+
+    data = inputs(spark, reports, samples, projects)
+    land_version(spark, landing, "r", version, {"SingleFileReport": data.reports[0]})
+    land_version(spark, landing, "m", version, {"Metadata_Sample": data.samples, "Metadata_Project": data.projects})
+
+
+def test_a_refresh_takes_every_change(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    ledger = Ledger(spark, str(tmp_path / "root"), SourceDatabase("r", landing, "landed"), SourceDatabase("m", landing, "landed"), CFG)
+    assert ledger.freshness().count() == ledger.audit().count() == 0  # before the first build
+    many = runs(900)
+    landed(spark, landing, 1, many, [("P_a_1_003.raw", "P_a_1", "2024-01-01 00:00:00", None)])
+    ledger.bootstrap()
+    # The oldest rows change, far more than any look-back; two rows swap null and value; one sample and the project change.
+    edited = [(n, s, "-1") for n, s, _ in many[:700]] + many[700:]
+    landed(spark, landing, 2, edited, [("P_a_1_003.raw", "P_a_1", None, "bad")], (("P_a_1", "2024", "renamed"),))
+    got = ledger.refresh()
+    assert (got.rows_updated, got.rows_inserted, got.samples) == (900, 0, 900)  # all, as their project has a new name
+    assert ledger.merged().where("Metric = '-1'").count() == 700
+    assert ledger.merged().where("ProjectName = 'renamed'").count() == 900
+    assert rows(ledger.merged().where("Error = 'bad'"), "RawFileName") == [("P_a_1_003",)]
+    assert ledger.refresh() is None  # nothing has changed since
+    # A source that lands while a refresh runs is read at the version looked up first.
+    landed(spark, landing, 3, edited[:-1] + [("P_a_1_899", 7.0, "5")], [("P_a_1_003.raw", "P_a_1", None, "bad")], (("P_a_1", "2024", "renamed"),))
+    pinned = Inputs.load(spark, ledger.reports, ledger.metadata, CFG)
+    landed(spark, landing, 4, [], [])
+    assert pinned.reports[0].count() == 900 and pinned.samples.count() == 1 and set(pinned.versions.values()) == {"3"}
+
+
+def test_one_changed_row_is_one_sample(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    ledger = Ledger(spark, str(tmp_path / "root"), SourceDatabase("r", landing, "landed"), SourceDatabase("m", landing, "landed"), CFG)
+    landed(spark, landing, 1, runs(30))
+    ledger.bootstrap()
+    landed(spark, landing, 2, [(n, s, None if n.endswith("004") else m) for n, s, m in runs(30)] + [("P_a_1_500.raw", 3.0, "1")])
+    got = ledger.refresh()
+    assert (got.samples, got.rows_updated, got.rows_inserted) == (2, 1, 1)
+
+
+def test_vacuum_leaves_a_running_refresh_alone(spark, tmp_path):
+    t = table(spark, tmp_path)
+    full_refresh(t, inputs(spark, runs(3)), mtimes(spark))
+    part = t.stage(t.read().limit(1))
+    assert t.vacuum() == 0  # it is young
+    assert t.upsert(part, 1, 0) == 3 and t.read().count() == 3
+    part = t.stage(t.read().limit(1))
+    assert t.vacuum(grace=0) == 1
+    with pytest.raises(FileNotFoundError, match="removed"):
+        t.upsert(part, 1, 0)
+    assert t.read().count() == 3
 
 
 def test_empty_sources_change_nothing(spark, tmp_path):
@@ -170,7 +229,7 @@ def test_many_upserts_are_compacted(spark, tmp_path):
     assert dict(rows(t.read(), "RawFileName", "Metric")) == expected
     assert t._state()[1]["base"] != first_base and t.row_count() == t.read().count() == len(expected)
     generation = t.generation
-    assert t.vacuum() > 0
+    assert t.vacuum(grace=0) > 0
     assert dict(rows(t.read(), "RawFileName", "Metric")) == expected and t.generation == generation
 
 
@@ -223,14 +282,14 @@ def test_ledger_over_sqlite(spark, tmp_path):
     with closing(sqlite3.connect(report)) as con, con:
         con.execute("UPDATE SingleFileReport SET Metric = 7 WHERE Name = 'Proj_A_01_S3'")
         con.execute("INSERT INTO SingleFileReport VALUES ('Proj_B_02_S1', 1755449900, 5)")
-    assert ledger.refresh().rows_inserted == 0  # the copy has not moved yet
+    assert ledger.refresh() is None  # the copy has not moved yet
     assert ledger.sync()
     got = ledger.refresh()
     assert (got.rows_inserted, got.rows_final) == (1, 4)
     assert dict(rows(ledger.merged(), "RawFileName", "Metric"))["Proj_A_01_S3"] == 7.0
     assert [r[0] for r in ledger.projects().collect()] == ["Proj_B_02", "Proj_A_01"]
     assert [r[0] for r in ledger.projects("b_").collect()] == ["Proj_B_02"]
-    assert ledger.freshness().first()["new_rows"] == 1 and ledger.audit().count() == 3
+    assert ledger.freshness().first()["new_rows"] == 1 and ledger.audit().count() == 2
     assert ledger.summary().count() == 2 and ledger.trends().count() == 3
     assert ledger.project("Proj_A_01").count() == 3 and ledger.errors().count() == 0
     assert '"meta":"2' in ledger.audit().first()["source_mtimes"]
