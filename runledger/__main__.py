@@ -1,11 +1,13 @@
 """Command line: ``spark-submit -m runledger`` or ``python -m runledger``.
 
     bootstrap    check and copy the sources, build the merged table
-    refresh      copy the sources, upsert the newest samples
+    refresh      copy the sources, upsert all that changed
     stream       bootstrap when needed, then refresh on every landed version
-    overview     print the projects, newest first
-    report       print the tables of one project
-    export       write one project as CSV
+    projects     print the names of the projects, newest first
+    overview     print the projects with their counts, newest first
+    report       print the tables of one project, or write them below --out
+    export       write one project as CSV, or all without --project
+    vacuum       delete data that no recent state of the ledger shows
 
 A source is given as ``name=format:location``, such as ``ms1=sqlite:/shared/ms1.sqlite``.
 """
@@ -13,8 +15,11 @@ A source is given as ``name=format:location``, such as ``ms1=sqlite:/shared/ms1.
 from __future__ import annotations
 
 import argparse
+import json
 
-from runledger import Ledger, LedgerConfig, build_session
+from pyspark.sql import DataFrame
+
+from runledger import Ledger, LedgerConfig, Metric, build_session
 from runledger.sources.databases import SourceDatabase
 from runledger.streaming.ingest import start_refresh_stream
 
@@ -29,14 +34,15 @@ def source(text: str) -> SourceDatabase:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="runledger", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices=["bootstrap", "refresh", "stream", "overview", "report", "export"])
+    p.add_argument("command", choices=["bootstrap", "refresh", "stream", "projects", "overview", "report", "export", "vacuum"])
     p.add_argument("--root", required=True, help="folder of the ledger, shared by all executors")
     p.add_argument("--report", type=source, action="append", required=True, help="a report source; may be repeated")
     p.add_argument("--metadata", type=source, required=True)
-    p.add_argument("--recent", type=int, default=None, help="samples per source an incremental refresh looks at")
+    p.add_argument("--recent", type=int, default=None, help="newest samples per source that a refresh looks at beside all that changed")
+    p.add_argument("--config", help="JSON file with settings: fields of LedgerConfig, metrics as objects")
     p.add_argument("--project", help="for report and export")
     p.add_argument("--metrics", help="comma list of metric keys, for report")
-    p.add_argument("--out", help="folder for export")
+    p.add_argument("--out", help="folder for export and report")
     p.add_argument("--landing", help="landing folder, for stream")
     p.add_argument("--checkpoint", help="checkpoint folder of the stream")
     p.add_argument("--once", action="store_true", help="stream what has landed, then stop")
@@ -44,15 +50,33 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def load_config(path: str | None) -> LedgerConfig:
+    """The settings, with those of a JSON file in place of the defaults."""
+    if path is None:
+        return LedgerConfig()
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    if "metrics" in given:
+        given["metrics"] = tuple(Metric(**m) for m in given["metrics"])
+    return LedgerConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def print_all(table: DataFrame) -> None:
+    """Every row, a partition at a time, as tab-separated text."""
+    print("\t".join(table.columns))
+    for row in table.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = parser()
     args = p.parse_args(argv)
-    needs = {"report": ["project"], "export": ["project", "out"], "stream": ["landing", "checkpoint"]}
+    needs = {"report": ["project"], "export": ["out"], "stream": ["landing", "checkpoint"]}
     for name in needs.get(args.command, []):
         if not getattr(args, name):
             p.error(f"{args.command} needs --{name}")
     spark = build_session(master=args.master)
-    ledger = Ledger(spark, args.root, args.report, args.metadata, LedgerConfig())
+    ledger = Ledger(spark, args.root, args.report, args.metadata, load_config(args.config))
     if args.command == "bootstrap":
         print(ledger.bootstrap())
     elif args.command == "refresh":
@@ -64,16 +88,24 @@ def main(argv: list[str] | None = None) -> None:
         if not ledger.table.exists():
             ledger.bootstrap()
         start_refresh_stream(ledger, args.landing, args.checkpoint, args.once).awaitTermination()
+    elif args.command == "projects":
+        print_all(ledger.projects())
     elif args.command == "overview":
-        ledger.overview().orderBy("newest", ascending=False).show(50, truncate=False)
-        ledger.freshness().show(truncate=False)
+        print_all(ledger.overview().orderBy("newest", ascending=False))
+        print_all(ledger.freshness())
     elif args.command == "report":
         keys = args.metrics.split(",") if args.metrics else None
         for title, table in ledger.report(args.project, keys).items():
             print(title)
-            table.show(50, truncate=False)
+            if args.out:
+                table.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{title}")
+            else:
+                print_all(table)
     elif args.command == "export":
-        print(ledger.export_csv(args.project, args.out) or f"no rows for {args.project}")
+        done = ledger.export_csv(args.project, args.out) if args.project else ledger.export_all_csv(args.out)
+        print(done or f"no rows for {args.project}")
+    elif args.command == "vacuum":
+        print(f"{ledger.vacuum()} folders deleted")
 
 
 if __name__ == "__main__":

@@ -38,9 +38,36 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(path, r"(/\.?)+\z", ""), r"([^/]*)\z", 1)
 
 
+def _hundredths(frac: Column) -> Column:
+    """A fraction below 1 in hundredths: the stored binary value, half to even.
+
+    Scaled by a power of two the fraction is a whole number without loss, and a hundred of it fits in
+    64 bits. Fractions below 1/16 have finer bits and get a larger scale; those that even this one
+    cuts are below 0.004.
+    """
+    def scaled(bits: int) -> Column:
+        hundred = F.floor(frac * F.lit(float(1 << bits))).cast("bigint") * 100
+        whole, rest, half = F.shiftright(hundred, bits), hundred.bitwiseAND(F.lit((1 << bits) - 1)), F.lit(1 << (bits - 1))
+        up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+        return whole + up.cast("bigint")
+
+    return F.when(frac < 1 / 16, scaled(60)).otherwise(scaled(56))
+
+
 def format_2dp(value: Column) -> Column:
-    """Two decimals, or ``n/a`` for NULL and NaN."""
-    return F.when(value.isNull() | F.isnan(value), F.lit(NO_NUMBER)).otherwise(F.format_string("%.2f", value))
+    """Two decimals, or ``n/a`` for NULL and NaN.
+
+    The stored binary value is rounded, half to even, as C does: 0.125 gives 0.12 and 2.675, which is
+    stored as a little less, 2.67. Beyond 2^53 there is nothing to round.
+    """
+    size = F.abs(value)
+    small = size < float(1 << 53)
+    inside = F.when(small, size).otherwise(F.lit(0.0))
+    whole = F.floor(inside)
+    cents = whole.cast("bigint") * 100 + _hundredths(inside - whole)
+    sign = F.when(F.startswith(value.cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    exact = F.concat(sign, F.call_function("div", cents, F.lit(100).cast("bigint")).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(value.isNull() | F.isnan(value), F.lit(NO_NUMBER)).when(small, exact).otherwise(F.format_string("%.2f", value))
 
 
 def summary_text(label: str, value: Column) -> Column:

@@ -324,20 +324,23 @@ ORACLE: dict[str, str] = {
         FROM counted"""),
     "metric_availability": _long('SELECT "ProjectID", metric, n_points, n_points > 0 AS available FROM counted'),
     "metric_trends": _long("SELECT * FROM trends"),
-    "rolling_trend": _long("SELECT * FROM trends WHERE mode = 'rolling' AND metric = 'm1'"),
+    "rolling_trend": _long("SELECT * FROM trends WHERE mode = 'rolling'"),
     "static_trend": _long("SELECT * FROM trends WHERE mode = 'static'"),
     "metric_summary": _long("SELECT * FROM summary"),
     "metric_report": _long("""
         SELECT c."ProjectID", c.metric, k.label, CAST(k.ord AS bigint) AS ord, c.n_points, c.n AS n_trend,
-            CASE WHEN c.n >= 30 THEN 'rolling' WHEN c.n > 5 THEN 'static' ELSE 'none' END AS mode, mean, median, std
+            CASE WHEN c.n >= 30 THEN 'rolling' WHEN c.n > 5 THEN 'static' ELSE 'none' END AS mode, mean, median, std,
+            CASE WHEN mean IS NULL THEN NULL WHEN abs(mean * 100 - floor(mean * 100) - 0.5) > 1e-6 THEN 'mean: ' || printf('%.2f', mean) END AS mean_text,
+            CASE WHEN median IS NULL THEN NULL WHEN abs(median * 100 - floor(median * 100) - 0.5) > 1e-6 THEN 'median: ' || printf('%.2f', median) END AS median_text,
+            CASE WHEN std IS NULL THEN NULL WHEN abs(std * 100 - floor(std * 100) - 0.5) > 1e-6 THEN 'std dev: ' || printf('%.2f', std) END AS std_text
         FROM counted c JOIN catalogue k ON c.metric = k.metric
         LEFT JOIN summary s ON c."ProjectID" = s."ProjectID" AND c.metric = s.metric
         WHERE c.n_points > 0"""),
     "summary_texts": _long("""
-        SELECT "ProjectID", 'mean: ' || printf('%.2f', round(v, 2)) AS mean_text,
-            'std dev: ' || CASE WHEN v > 100 THEN printf('%.2f', round(v, 2)) ELSE 'n/a' END AS std_text
-        FROM (SELECT "ProjectID", max(value) AS v FROM long WHERE metric = 'm1' GROUP BY ALL)"""),
-    "latest_refresh": _AUDIT + "SELECT updated_at, row_count, new_rows FROM last",
+        SELECT "ProjectID", metric, 'mean: ' || printf('%.2f', max(value)) AS mean_text,
+            'std dev: ' || printf('%.2f', min(value / 7 - 50)) AS std_text
+        FROM long GROUP BY ALL"""),
+    "latest_refresh": _AUDIT + "SELECT updated_at, '{}' AS source_mtimes, row_count, new_rows FROM last",
     "freshness": _AUDIT + """
         SELECT updated_at, new_rows, 'Data refreshed ' || strftime(updated_at, '%Y-%m-%d %H:%M') ||
             CASE WHEN new_rows > 0 THEN ' · +' || new_rows || ' samples' ELSE '' END AS text FROM last""",
@@ -353,3 +356,12 @@ ORACLE: dict[str, str] = {
             count(*) AS n_events
         FROM events GROUP BY ALL""",
 }
+
+for _name in ("full_refresh_stored", "incremental_all_changes", "stream_refresh_stored"):
+    ORACLE[_name] = ORACLE["merged"]
+ORACLE["merged_error_in_projects"] = f"""
+    SELECT * REPLACE (CASE WHEN "ProjectName" IS NOT NULL AND suffix("ProjectID", '_B1') THEN 'broken' END AS "Error")
+    FROM ({ORACLE["merged"]})"""
+ORACLE["export_roundtrip"] = f"""
+    SELECT "RawFileName", nullif("ProjectID", '') AS "ProjectID", CAST("Date" AS varchar) AS "Date", "FileType", coalesce('id:' || "ProjectID", 'none') AS folder
+    FROM ({ORACLE["merged"]})"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 from runledger.functions import quoted
 from runledger.operators import checks, detail, merge, metrics, projects, recent, reports, upsert
 from runledger.plans.fixtures import EVENT_CONFIG, EventSources
-from runledger.session import materialised
-from runledger.sources import audit
+from runledger.ledger import Ledger
+from runledger.session import ensure_checkpoint_dir, materialised
+from runledger.sources import audit, export, files
+from runledger.sources.databases import SourceDatabase
 from runledger.streaming import changes
+from runledger.streaming.ingest import ingest, start_refresh_stream
+from runledger.streaming.landing import land_version
 
 CFG = EVENT_CONFIG
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +126,101 @@ def assert_unique_report(spark, sf_dir):
     return checks.duplicate_keys(rows, "RawFileName")
 
 
+@query
+def merged_error_in_projects(spark, sf_dir):
+    """The merge when ``Error`` is a column of the project table."""
+    s = _sources(spark, sf_dir)
+    failed = s.project_meta.withColumn("Error", F.when(F.col("ProjectID").endswith("_B1"), F.lit("broken")))
+    return plain(merge.merge_sources(s.reports, s.sample_meta.drop("Error"), failed, CFG))
+
+
+# --- stored tables --------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, name: str, build: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``build`` makes in a folder of its own below the shared checkpoint folder, which goes afterwards."""
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/{name}/{uuid.uuid4().hex}"
+    try:
+        return materialised(build(root))
+    finally:
+        files.remove_tree(spark, root)
+
+
+def _tables(s: EventSources) -> dict[str, dict[str, DataFrame]]:
+    return {"ra": {"SingleFileReport": s.report_a}, "rb": {"SingleFileReport": s.report_b},
+            "meta": {"Metadata_Sample": s.sample_meta, "Metadata_Project": s.project_meta}}
+
+
+def _earlier(s: EventSources) -> EventSources:
+    """The sources before every sixth run was there, with other values of one metric."""
+    return EventSources(s.events.where("event_id % 6 != 0").withColumn("value", F.lit(0.0)))
+
+
+def _landed_ledger(spark: SparkSession, root: str) -> Ledger:
+    source = lambda n: SourceDatabase(n, f"{root}/landing", "landed")
+    return Ledger(spark, f"{root}/ledger", [source("ra"), source("rb")], source("meta"), CFG)
+
+
+def _land(spark: SparkSession, root: str, version: int, s: EventSources) -> None:
+    for name, tables in _tables(s).items():
+        land_version(spark, f"{root}/landing", name, version, tables)
+
+
+@query
+def full_refresh_stored(spark, sf_dir):
+    """Sources as parquet folders, checked, copied and built into a stored table."""
+    def build(root: str) -> DataFrame:
+        for name, tables in _tables(_sources(spark, sf_dir)).items():
+            for table, df in tables.items():
+                df.write.parquet(f"{root}/in/{name}/{table}")
+        source = lambda n: SourceDatabase(n, f"{root}/in/{n}")
+        ledger = Ledger(spark, f"{root}/ledger", [source("ra"), source("rb")], source("meta"), CFG)
+        ledger.bootstrap()
+        return ledger.merged()
+
+    return plain(_stored(spark, "full", build))
+
+
+@query
+def incremental_all_changes(spark, sf_dir):
+    """One refresh after a version in which every run changed or is new takes all of them."""
+    def build(root: str) -> DataFrame:
+        s, ledger = _sources(spark, sf_dir), _landed_ledger(spark, root)
+        _land(spark, root, 1, _earlier(s))
+        ledger.bootstrap()
+        _land(spark, root, 2, s)
+        ledger.refresh()
+        return ledger.merged()
+
+    return plain(_stored(spark, "incremental", build))
+
+
+@query
+def stream_refresh_stored(spark, sf_dir):
+    """The same change taken by the stream over the landing folder."""
+    def build(root: str) -> DataFrame:
+        s, ledger = _sources(spark, sf_dir), _landed_ledger(spark, root)
+        _land(spark, root, 1, _earlier(s))
+        ingest(ledger, f"{root}/landing", f"{root}/stream", available_now=True).awaitTermination()
+        _land(spark, root, 2, s)
+        start_refresh_stream(ledger, f"{root}/landing", f"{root}/stream", available_now=True).awaitTermination()
+        return ledger.merged()
+
+    return plain(_stored(spark, "stream", build))
+
+
+@query
+def export_roundtrip(spark, sf_dir):
+    """All projects exported as CSV and read again."""
+    def build(root: str) -> DataFrame:
+        export.export_all_csv(merged_events(spark, sf_dir), root)
+        back = spark.read.option("header", True).csv(root)
+        return back.select("RawFileName", "ProjectID", "Date", "FileType", F.col("project").alias("folder"))
+
+    return _stored(spark, "export", build)
+
+
 # --- upsert -------------------------------------------------------------------
 
 
@@ -280,7 +380,7 @@ def metric_trends(spark, sf_dir):
 
 @query
 def rolling_trend(spark, sf_dir):
-    return rounded(metrics.rolling_trend(stored_series(spark, sf_dir, ["m1"]), CFG, ["m1"]), *_TREND_FLOATS)
+    return rounded(metrics.rolling_trend(stored_series(spark, sf_dir), CFG), *_TREND_FLOATS)
 
 
 @query
@@ -295,19 +395,19 @@ def metric_summary(spark, sf_dir):
 
 @query
 def metric_report(spark, sf_dir):
-    # The texts round half up where C rounds the binary value; the numbers are compared.
-    rows = metrics.metric_report(stored_series(spark, sf_dir), CFG).drop("mean_text", "median_text", "std_text")
-    return rounded(rows, "mean", "median", "std").withColumn("ord", F.col("ord").cast("bigint"))
+    rows = metrics.metric_report(stored_series(spark, sf_dir), CFG)
+    # Sums are free in their order, so a mean that lies on a tie of the second decimal may fall to either side.
+    texts = {f"{c}_text": F.when(F.abs(F.pmod(F.col(c) * 100, F.lit(1.0)) - 0.5) > 1e-6, F.col(f"{c}_text")) for c in ("mean", "median", "std")}
+    return rounded(rows.withColumns(texts), "mean", "median", "std").withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @query
 def summary_texts(spark, sf_dir):
-    """Legend texts of values with two decimals, where no rounding is involved."""
-    rows = metrics.metric_long(merged_events(spark, sf_dir), CFG, ["m1"])
-    best = rows.groupBy("ProjectID").agg(F.max("value").alias("v"))
+    """Legend texts of the largest and smallest value of every metric, as stored."""
+    rows = metrics.metric_long(merged_events(spark, sf_dir), CFG)
+    ends = rows.groupBy("ProjectID", "metric").agg(F.max("value").alias("hi"), F.min(F.col("value") / 7 - 50).alias("lo"))
     text = metrics.summary_text
-    return best.select("ProjectID", text("mean", F.round("v", 2)).alias("mean_text"),
-                       text("std dev", F.when(F.col("v") > 100, F.round("v", 2))).alias("std_text"))
+    return ends.select("ProjectID", "metric", text("mean", F.col("hi")).alias("mean_text"), text("std dev", F.col("lo")).alias("std_text"))
 
 
 # --- audit and changes ----------------------------------------------------------
@@ -324,7 +424,7 @@ def _audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latest_refresh(spark, sf_dir):
-    return audit.latest_refresh(_audit_rows(spark, sf_dir)).drop("source_mtimes")
+    return audit.latest_refresh(_audit_rows(spark, sf_dir))
 
 
 @query

@@ -24,13 +24,15 @@ def export_project_csv(merged: DataFrame, project: str, folder: str, match: str
 
 
 def export_all_csv(merged: DataFrame, folder: str) -> str:
-    """Every project to its own folder ``ProjectID=<id>``, in time order.
+    """Every project to its own folder ``project=<id>``, in time order, with all columns in the files.
 
+    Folder names put ``id:`` before the project, so that an empty one is told from a missing one (``none``).
     Ranges are cut over project and time, so one large project is spread over tasks.
     """
     order = [F.col(PROJECT_ID).asc(), *time_order()]
+    name = F.coalesce(F.concat(F.lit("id:"), F.col(PROJECT_ID)), F.lit("none"))
     (
-        merged.repartitionByRange(*order).sortWithinPartitions(*order)
-        .write.mode("overwrite").option("header", True).partitionBy(PROJECT_ID).csv(folder)
+        merged.repartitionByRange(*order).withColumn("project", name).sortWithinPartitions("project", *order)
+        .write.mode("overwrite").option("header", True).partitionBy("project").csv(folder)
     )
     return folder

@@ -50,15 +50,16 @@ def spark_type(declared: str) -> T.DataType:
 
 
 def to_python(value, dtype: T.DataType):
-    """SQLite keeps any type in any column: what does not fit a number column is missing."""
-    if value is None:
-        return None
+    """The stored value. SQLite keeps any type in any column; one that its column's type cannot hold unchanged is an error."""
+    if value is None or (isinstance(dtype, T.StringType) and isinstance(value, str)):
+        return value
     if isinstance(dtype, T.StringType):
-        return value.decode("utf-8", "replace") if isinstance(value, bytes) else str(value)
-    try:
-        return int(value) if isinstance(dtype, T.LongType) else float(value)
-    except (TypeError, ValueError):
-        return None
+        return value.decode("utf-8") if isinstance(value, bytes) else str(value)
+    if isinstance(dtype, T.LongType) and isinstance(value, int):
+        return value
+    if isinstance(dtype, T.DoubleType) and isinstance(value, (int, float)) and float(value) == value:
+        return float(value)
+    raise ValueError(f"{value!r} is stored in a column of type {dtype.simpleString()}; declare the column TEXT to read it")
 
 
 @dataclass

@@ -78,6 +78,15 @@ def test_to_number(spark):
     assert apply(spark, [1, None], lambda c: fn.to_number(c, T.IntegerType()), "int") == [1.0, None]
 
 
+def test_format_2dp_rounds_the_stored_value(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [0.125, 0.375, 2.675, 1.005, 0.005, 0.015, 0.0049999, -0.001, -0.0, 0.0, 1e15 + 0.125, 2.0**52 + 0.5, 9007199254740993.0, 5e-324, 0.0625, 0.06249999999999999]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 14) for _ in range(500)] + [rng.randint(0, 10**6) / 1000 for _ in range(500)]
+    assert apply(spark, values, fn.format_2dp, "double") == [f"{v:.2f}" for v in values]
+
+
 def test_format_2dp(spark):
     assert apply(spark, [123.456, 0.001, 1234567.0, None, float("nan")], fn.format_2dp, "double") == [
         "123.46", "0.00", "1234567.00", "n/a", "n/a"]

@@ -99,12 +99,16 @@ def test_export(spark, merged, tmp_path):
 
 
 def test_export_of_all_projects(spark, merged, tmp_path):
-    export.export_all_csv(merged, str(tmp_path / "all"))
+    odd = merged.limit(2).withColumn("ProjectID", F.lit("")).unionByName(merged.limit(1).withColumn("ProjectID", F.lit(None).cast("string")))
+    all_rows = merged.unionByName(odd)
+    export.export_all_csv(all_rows, str(tmp_path / "all"))
     back = spark.read.option("header", True).csv(str(tmp_path / "all"))
-    assert back.count() == merged.count()
+    assert back.count() == all_rows.count() and set(back.columns) == {*merged.columns, "project"}
     name = "P1_click_B1"
-    one = spark.read.option("header", True).csv(str(tmp_path / "all" / f"ProjectID={name}"))
-    assert one.count() == merged.where(F.col("ProjectID") == name).count()
+    one = back.where(F.col("project") == f"id:{name}")
+    assert one.count() == merged.where(F.col("ProjectID") == name).count() == one.where(F.col("ProjectID") == name).count()
+    assert back.where("project = 'id:'").count() == 2 + merged.where("ProjectID = ''").count()
+    assert back.where("project = 'none'").count() == 1 + merged.where("ProjectID IS NULL").count()
 
 
 def test_report_tables(spark, merged, cfg):

@@ -21,7 +21,7 @@ def lab(tmp_path):
     with closing(sqlite3.connect(path)) as con, con:
         con.execute('CREATE TABLE SingleFileReport ("Name" TEXT, "System.Time.s" REAL, "n" INTEGER, "any")')
         con.executemany("INSERT INTO SingleFileReport VALUES (?, ?, ?, ?)", [
-            ("a", 1.5, 1, "x"), ("b", "n/a", "many", 2), (None, None, None, None), (7, 3, 4.0, b"raw")])
+            ("a", 1.5, 1, "x"), ("b", None, None, 2), (None, None, None, None), (7, 3, 4.0, b"raw")])
         con.execute("CREATE TABLE empty (x TEXT)")
         con.execute("CREATE TABLE keyed (k TEXT PRIMARY KEY, v INT) WITHOUT ROWID")
         con.execute("INSERT INTO keyed VALUES ('a', 1), ('b', 2)")
@@ -34,7 +34,7 @@ def folder(spark, path, *tables):
     return str(path)
 
 
-def test_sqlite(spark, lab):
+def test_sqlite(spark, lab, tmp_path):
     df = sqlite.read_sqlite(spark, lab, "SingleFileReport", rowsPerTask="1")
     assert df.dtypes == [("Name", "string"), ("System.Time.s", "double"), ("n", "bigint"), ("any", "string")]
     assert rows(df) == [(None, None, None, None), ("7", 3.0, 4, "raw"), ("a", 1.5, 1, "x"), ("b", None, None, "2")]
@@ -44,6 +44,13 @@ def test_sqlite(spark, lab):
     assert sqlite.read_sqlite(spark, lab, "keyed", columns="v").columns == ["v"]
     with pytest.raises(Exception, match="no table"):
         sqlite.read_sqlite(spark, lab, "missing")
+    odd = str(tmp_path / "odd.sqlite")
+    with closing(sqlite3.connect(odd)) as con, con:
+        con.execute("CREATE TABLE odd (i INTEGER, r REAL)")
+        con.executemany("INSERT INTO odd VALUES (?, ?)", [(12.7, 1.0), (1, "n/a")])
+    for column in ("i", "r"):  # values that the column's type cannot hold are no silent change
+        with pytest.raises(Exception, match="declare the column TEXT"):
+            sqlite.read_sqlite(spark, odd, "odd", columns=column).collect()
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
@@ -103,7 +110,7 @@ def test_sync(spark, tmp_path, lab):
     assert sync_sources(spark, [source], [target])
     assert copy.read(spark, "empty").count() == 1 and reader.count() == 0  # who read before reads the old state
     assert sync_sources(spark, source, target)
-    assert vacuum_snapshot(spark, target) == 3 and copy.read(spark, "empty").count() == 1
+    assert vacuum_snapshot(spark, target) == 0 and vacuum_snapshot(spark, target, grace=0) == 3 and copy.read(spark, "empty").count() == 1
 
 
 def test_sync_that_cannot_be_complete(spark, tmp_path, lab):
