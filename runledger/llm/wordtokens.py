@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 
-import numpy as np
+from runledger.llm.speculativebpe import byte_names
 
 #: Words a worker remembers; when full, the memory starts anew. It changes the speed only.
 MEMORY = 600_000
 LONG_WORD = 64
+MARKS = ".,;:!?"
 
 
 class WordTokens:
@@ -25,12 +27,32 @@ class WordTokens:
         self._lib.no_padding()
         self._special = [t.content for t in self._lib.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {"": b""}
+        # The model knows bytes beyond ASCII by the characters that stand for them in vocabulary files.
+        self._shown = {b: c for c, b in byte_names().items()}
+        self._marks = dict(zip(MARKS, self._encoded(list(MARKS))))
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str], known: dict[str, bytes]) -> None:
+        """Ids of new words. Letters and one mark after them are never merged, and capitals are made small, so such
+        a word needs only the ids of its letters: these the library's model gives, without its other steps."""
+        rest, tokenize, shown = [], self._lib.model.tokenize, self._shown
+        for w in words:
+            mark = w[-1] if w[-1] in MARKS else ""
+            stem = w[:-1] if mark else w
+            if not stem.isalpha() or not (stem.isascii() or max(stem) <= "\xff"):
+                rest.append(w)
+                continue
+            stem = stem.lower()
+            if (ids := known.get(stem)) is None:
+                name = stem if stem.isascii() else stem.encode().decode("latin-1").translate(shown)
+                ids = known[stem] = array("I", [t.id for t in tokenize(name)]).tobytes()
+            known[w] = ids + self._marks[mark] if mark else ids
+        known.update(zip(rest, self._encoded(rest)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
+        """Unsigned 32-bit ids, in the byte order of the machine (little-endian on all that Spark runs on), of each text; null counts as empty."""
         words = []
         for text in texts:
             text = text or ""
@@ -46,8 +68,8 @@ class WordTokens:
         if len(known) + len(new) > MEMORY:
             known = self._known = {"": b""}
             new = {x for w in words if w is not None for x in w if x and len(x) <= LONG_WORD}
-        for names, to in ((list(new), known), (list(long), here := {})):
-            to.update(zip(names, self._encoded(names)))
+        self._learn(new, known)
+        here = dict(zip(long, self._encoded(list(long))))
         out = []
         for text, w in zip(texts, words):
             if w is None:
