@@ -104,7 +104,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         table /= table.sum(2, keepdims=True)
         model = VoteModel(float(np.clip(w[1].sum() / max(w.sum(), 1e-12), 1e-3, 1 - 1e-3)), table)
         new = model.posterior(patterns)
-        if np.abs(new - q).max() < 1e-9:
+        if np.abs(new - q).max(initial=0) < 1e-9:
             break
         q = new
     return model
