@@ -279,6 +279,48 @@ def static_trend(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None =
 # --- summaries ----------------------------------------------------------------
 
 
+def _one_pass(merged: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """Counts and statistics of every group by one scan and one shuffle, on the wide rows."""
+    valid, _ = split_valid_error(merged)
+    wide = valid.select(PROJECT_ID, is_standard().alias("_std"), *_numbers(merged, metrics))
+    aggs = []
+    for i, m in enumerate(metrics):
+        value = F.col(quoted(m.key))
+        trended = F.when(~F.col("_std"), value)
+        aggs += [
+            F.count(value).alias(f"_p{i}"), F.count(trended).alias(f"_n{i}"), F.avg(trended).alias(f"_a{i}"),
+            F.percentile(trended, 0.5).alias(f"_m{i}"), F.stddev_samp(trended).alias(f"_s{i}")]
+    fields = {"n_points": "_p", "n": "_n", "mean": "_a", "median": "_m", "std": "_s"}
+    return _stack_groups(wide.groupBy(PROJECT_ID).agg(*aggs), [PROJECT_ID], metrics, fields)
+
+
+def _split_pass(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None, hot: DataFrame) -> DataFrame:
+    """The same when some groups are too large for a task: their medians come from ordered chunks."""
+    small, large = split_by(exclude_standards(metric_long(merged, cfg, keys)), hot, GROUP)
+
+    def stats(df: DataFrame, *more: Column) -> DataFrame:
+        return df.groupBy(*GROUP).agg(F.avg(VALUE).alias("mean"), F.stddev_samp(VALUE).alias("std"), *more)
+
+    total = hot.agg(F.sum("n")).first()[0]
+    # The medians have one row per hot group: bounded like the list of them.
+    medians = F.broadcast(hot_medians(large, GROUP, VALUE, total, cfg))
+    summary = stats(small, F.percentile(VALUE, 0.5).alias("median")).unionByName(stats(large).join(medians, GROUP))
+    return metric_counts(merged, cfg, keys).join(summary, GROUP, "left").select(*GROUP, "n_points", "n", "mean", "median", "std")
+
+
+def _summaries(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None) -> DataFrame:
+    """n_points, n (without standards), mean, median, std of each project and metric with any number; the last three
+    only where there are enough runs."""
+    metrics = resolve_metrics(merged, cfg, keys)
+    if not metrics:
+        none = F.lit(None).cast("double")
+        return metric_counts(merged, cfg, keys).withColumns({"mean": none, "median": none, "std": none})
+    hot = hot_groups(merged, metric_counts(merged, cfg, keys).where("n > 0"), GROUP, cfg, "n")
+    rows = _one_pass(merged, metrics) if hot is None else _split_pass(merged, cfg, keys, hot)
+    enough = F.col("n") > cfg.static_floor
+    return rows.where("n_points > 0").withColumns({c: F.when(enough, F.col(c)) for c in ("mean", "median", "std")})
+
+
 def metric_summary(
     merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None = None
 ) -> DataFrame:
@@ -286,25 +328,7 @@ def metric_summary(
 
     NULL where there are too few runs. Groups with none do not appear.
     """
-    rows = exclude_standards(metric_long(merged, cfg, keys))
-    hot = hot_groups(merged, metric_counts(merged, cfg, keys).where("n > 0"), GROUP, cfg, "n")
-
-    def stats(df: DataFrame, *more: Column) -> DataFrame:
-        return df.groupBy(*GROUP).agg(
-            F.count("*").alias("n"), F.avg(VALUE).alias("mean"), F.stddev_samp(VALUE).alias("std"), *more)
-
-    median = F.percentile(VALUE, 0.5).alias("median")
-    if hot is None:
-        summary = stats(rows, median)
-    else:
-        small, large = split_by(rows, hot, GROUP)
-        total = hot.agg(F.sum("n")).first()[0]
-        # The medians have one row per hot group: bounded like the list of them.
-        medians = F.broadcast(hot_medians(large, GROUP, VALUE, total, cfg))
-        summary = stats(small, median).unionByName(stats(large).join(medians, GROUP))
-    enough = F.col("n") > cfg.static_floor
-    return summary.select(
-        *GROUP, "n", *[F.when(enough, F.col(c)).alias(c) for c in ("mean", "median", "std")])
+    return _summaries(merged, cfg, keys).where("n > 0").select(*GROUP, "n", "mean", "median", "std")
 
 
 def metric_report(
@@ -312,10 +336,9 @@ def metric_report(
 ) -> DataFrame:
     """Summary of each metric shown for a project, with label, position and legend texts."""
     labels = F.broadcast(metric_labels(merged.sparkSession, cfg).drop("column"))
-    shown = metric_counts(merged, cfg, keys).where("n_points > 0").withColumnRenamed("n", "n_trend")
-    summary = metric_summary(merged, cfg, keys).drop("n")
+    shown = _summaries(merged, cfg, keys).withColumnRenamed("n", "n_trend")
     return (
-        shown.join(summary, GROUP, "left").join(labels, METRIC)
+        shown.join(labels, METRIC)
         .select(
             PROJECT_ID, METRIC, "label", "ord", "n_points", "n_trend",
             mode_of(F.col("n_trend"), cfg).alias("mode"), "mean", "median", "std",

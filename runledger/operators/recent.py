@@ -13,7 +13,6 @@ from runledger.operators.merge import CREATED, SAMPLE_ID
 
 RECENT_ID = "sample_id"
 RECENT_TIME = "Time"
-RECENT_SCHEMA = f"{RECENT_ID} string, {RECENT_TIME} timestamp_ntz"
 
 
 def _newest(df: DataFrame, n: int) -> DataFrame:
@@ -32,17 +31,7 @@ def _pairs(samples: DataFrame) -> DataFrame:
 
 
 def recent_samples_meta(samples: DataFrame, n: int, cfg: LedgerConfig) -> DataFrame:
-    """Top n of the distinct samples.
-
-    When the n newest rows hold no copies, they are the answer and nothing is
-    shuffled. Only otherwise is the whole table made distinct first.
-    """
-    if n <= cfg.broadcast_rows:
-        # n rows at most, a number set by the user and bounded above.
-        top = _newest(_pairs(samples), n).collect()
-        distinct = set(top)
-        if len(top) < n or len(distinct) == len(top):
-            return samples.sparkSession.createDataFrame(list(distinct), RECENT_SCHEMA)
+    """Top n of the distinct samples; each task drops its own copies before the shuffle."""
     return _newest(distinct_samples(samples), n)
 
 

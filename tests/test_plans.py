@@ -66,6 +66,25 @@ def test_project_filter_reaches_the_scan(merged):
     assert "EqualTo(ProjectID,P1_click_B1)" in text and "Exchange" not in text
 
 
+def test_report_is_one_scan_and_one_shuffle(merged, cfg):
+    from runledger.operators import metrics
+
+    df = metrics.metric_report(merged, cfg)
+    assert len(scans(df)) == 1 and shuffles(df) == ["hashpartitioning"]
+
+
+def test_a_project_lies_in_few_files(spark, merged, cfg, tmp_path):
+    t = MergedTable(spark, str(tmp_path / "t"), cfg)
+    # Small data would be merged into one file.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        t.replace(merged)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = lambda df: {r[0] for r in df.select("_metadata.file_path").distinct().collect()}
+    assert len(files(t.read().where("ProjectID = 'P1_click_B1'"))) <= 2 < len(files(t.read()))
+
+
 def test_recents_are_a_top_n(events):
     from runledger.operators.recent import recent_samples_reports
     from runledger.plans.fixtures import EVENT_CONFIG
