@@ -191,6 +191,18 @@ def _mtime(spark: SparkSession, source: SourceDatabase):
         return None
 
 
+def fingerprint(spark: SparkSession, source: SourceDatabase) -> str | None:
+    """Changes when a file of the source is added, removed, resized or touched. Only the listing is read; None where there is none."""
+    if source.format in ("jdbc", "catalog"):
+        return None
+    try:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source._folder(spark))
+        each = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+        return "-".join(str(v) for v in listing.agg(F.count("*"), F.sum("length"), F.sum(each)).first())
+    except (PySparkException, Py4JJavaError):
+        return None
+
+
 def source_bytes(spark: SparkSession, sources: list[SourceDatabase]) -> int:
     """Size of all files of the sources, for ``shuffle_partitions_for``."""
     folders = [s._folder(spark) for s in sources if s.format not in ("jdbc", "catalog")]

@@ -7,22 +7,26 @@ import logging
 from pyspark.sql import SparkSession
 
 from runledger.sources import files
-from runledger.sources.databases import SourceDatabase
+from runledger.sources.databases import SourceDatabase, fingerprint
 
 log = logging.getLogger(__name__)
 
 
 def _copy(spark: SparkSession, source: SourceDatabase, target: str) -> None:
-    """Write all tables to new folders, then show them together by one manifest."""
+    """Write all tables to new folders, then show them together by one manifest. A source that has not changed is not copied."""
     manifests = files.Manifests(spark, target)
     latest = manifests.latest()
+    # Taken before the copy: what changes meanwhile differs at the next sync.
+    state = fingerprint(spark, source)
+    if latest and state is not None and latest[1].get("fingerprint") == state:
+        return
     tables = {}
     for table in source.tables(spark):
         part = files.new_part()
         source.read(spark, table).write.parquet(f"{target}/{part}")
         tables[table] = part
     files.require(spark, target, list(tables.values()))
-    manifests.publish(latest[0] if latest else 0, {"source": source.name, "tables": tables})
+    manifests.publish(latest[0] if latest else 0, {"source": source.name, "tables": tables, "fingerprint": state})
 
 
 def sync_sources(

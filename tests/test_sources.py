@@ -109,8 +109,8 @@ def test_sync(spark, tmp_path, lab):
     reader = copy.read(spark, "empty")
     assert sync_sources(spark, [source], [target])
     assert copy.read(spark, "empty").count() == 1 and reader.count() == 0  # who read before reads the old state
-    assert sync_sources(spark, source, target)
-    assert vacuum_snapshot(spark, target) == 0 and vacuum_snapshot(spark, target, grace=0) == 3 and copy.read(spark, "empty").count() == 1
+    assert sync_sources(spark, source, target) and copy.version(spark) == "2"  # nothing has changed, nothing is written
+    assert vacuum_snapshot(spark, target, keep=1) == 0 and vacuum_snapshot(spark, target, keep=1, grace=0) == 3 and copy.read(spark, "empty").count() == 1
 
 
 def test_sync_that_cannot_be_complete(spark, tmp_path, lab):
