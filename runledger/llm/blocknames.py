@@ -56,7 +56,8 @@ def text_identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot_rows: i
     """One row per row of ``docs``: ``_uid, doc_id, text_sha256, n_blocks, name``.
 
     Rows have equal texts, after lower-casing A-Z, exactly when (n_blocks, name) are equal.
-    A null text counts as empty; an empty text is one empty block. Other columns are ignored.
+    A null text counts as empty; an empty text is one empty block. Other columns are ignored. ``docs`` is scanned more
+    than once and must give its rows in the same order each time, as stored tables do.
     """
     whole = docs.select(
         "doc_id", F.monotonically_increasing_id().alias("_uid"), ascii_lower(F.coalesce("text", F.lit(""))).alias("_t"))

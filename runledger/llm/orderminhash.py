@@ -7,13 +7,15 @@ content. Documents are near duplicates when the alignment of their words has an
 or more: 1 - distance / words of the longer text. Groups are the connected components of these links.
 
 Equal word sequences are one class from the start. In a bucket of equal sketches every class is first
-compared with the smallest one, so a bucket of any size costs one comparison for each member. Buckets that
-hold more than one group after that are compared in blocks.
+compared with the smallest one, so a bucket of any size costs one comparison for each member. Members of buckets
+that hold more than one group after that are compared again in finer buckets, see ``refined_links``.
 """
 
 from __future__ import annotations
 
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,8 +32,9 @@ KMER = 5
 ORDERED = 4
 SKETCHES = 20
 SIMILARITY = 0.8
-#: Classes of a mixed bucket compared at once.
-BLOCK = 256
+#: Rows of a table of links that one task takes, and the fewest tasks.
+LINKS_PER_TASK = 200_000
+MIN_TASKS = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -228,12 +231,15 @@ def sketched(docs: DataFrame, kmer: int = KMER, ordered: int = ORDERED, n: int =
 
 
 def verified(rows: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those of the pairs ``a, b`` (of ``_uid``) whose texts align, as stored ``a, b, similarity``."""
+    """Those of the pairs ``a, b`` (of ``_uid``) whose texts align, as stored ``a, b, similarity``.
+
+    The joins say how, so that a small table takes the plan that a large one needs.
+    """
     ids = pairs.select(F.col("a").alias("_uid")).unionByName(pairs.select(F.col("b").alias("_uid"))).distinct()
-    texts = materialised(rows.select("_uid", F.col("_row.text").alias("text")).join(ids, "_uid", "left_semi"))
+    texts = materialised(rows.select("_uid", F.col("_row.text").alias("text")).join(ids.hint("merge"), "_uid", "left_semi"))
     both = (
-        pairs.join(texts.select(F.col("_uid").alias("a"), F.col("text").alias("text")), "a")
-        .join(texts.select(F.col("_uid").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other"))
+        pairs.join(texts.select(F.col("_uid").alias("a"), F.col("text").alias("text")).hint("merge"), "a")
+        .join(texts.select(F.col("_uid").alias("b"), F.col("text").alias("other")).hint("merge"), "b").select("a", "b", "text", "other"))
 
     def align(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
@@ -252,15 +258,18 @@ def components(links: DataFrame) -> DataFrame:
     Large and small stars in turn (each node, or each of its smaller neighbours, is tied to the smallest
     neighbour) until nothing changes; the number of rounds is logarithmic, and every round is stored.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    # Rounds never have more rows than twice the links; so few files as that needs make them cheap.
+    tasks = max(MIN_TASKS, 2 * links.count() // LINKS_PER_TASK)
+    stored = lambda df: materialised(df.coalesce(tasks))
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialised(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = materialised(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        low = materialised(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialised(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -268,41 +277,67 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("_node"), F.col("v").alias("_root"))
 
 
-def _rest_pairs(members: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """Pairs ``a, b`` of classes that share a bucket but, so far, no group; None when every bucket holds one group.
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, members["_uid"] == roots["_node"], "left").withColumn("_root", F.coalesce("_root", "_uid")).drop("_node")
+
+
+def _in_mixed(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Members of the buckets that hold more than one group."""
+    spread = members.groupBy(*keys).agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).where("_lo != _hi").select(*keys)
+    return materialised(members.join(materialised(spread), keys, "left_semi"))
+
+
+def _joined_roots(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` after new links: the groups that they tie together get one root."""
+    def root_of(df: DataFrame, column: str) -> DataFrame:
+        r = roots.select(F.col("_node").alias(column), F.col("_root").alias(f"_{column}"))
+        return df.join(r, column, "left").withColumn(f"_{column}", F.coalesce(f"_{column}", column))
 
-    ``members`` has ``_band, _bucket, _uid, _len, _sk`` of the buckets with two or more classes. A mixed bucket
-    is dealt into blocks by hash and each pair of blocks is one group of rows, so a task's memory does not grow
-    with the bucket. Of a pair's shared buckets only the first reports it; lengths that rule out the similarity do not.
+    ends = root_of(root_of(found.select("a", "b"), "a"), "b")
+    ties = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("_node").alias("_old"), F.col("_root").alias("_new"))
+    moved = roots.join(ties, roots["_root"] == ties["_old"], "left").select("_node", F.coalesce("_new", "_root").alias("_root"))
+    # Nodes that were roots, or had no link, and are tied to another now.
+    return materialised(moved.unionByName(ties.select(F.col("_old").alias("_node"), F.col("_new").alias("_root"))).distinct())
+
+
+def refined_links(rows: DataFrame, shared: DataFrame, tested: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) after the buckets in which one comparison for each class did not settle all.
+
+    ``shared`` has ``_band, _bucket, _uid, _len`` of buckets with two or more classes. A bucket may hold several groups,
+    as when a passage that unlike texts share supplies all k-mers of a sketch. Its classes are dealt anew by their second
+    shared mixed bucket, then by their third and so on, and each time compared with the first of their finer
+    bucket. So work stays in proportion to the classes, whatever a bucket's size, and ends when no bucket is mixed or all
+    sketches of its classes are equal.
     """
-    at = members.join(roots, members["_uid"] == roots["_node"], "left").withColumn("_root", F.coalesce("_root", "_uid")).drop("_node")
-    spread = at.groupBy("_band", "_bucket").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n"))
-    mixed = materialised(spread.where("_lo != _hi").select("_band", "_bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))
-    if mixed.isEmpty():
-        return None
-    dealt = at.join(mixed, ["_band", "_bucket"]).withColumn("_i", F.pmod(F.xxhash64("_uid"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"_x": F.least("_i", "_j"), "_y": F.greatest("_i", "_j")})
-
-    def compare(key, pdf):
-        import pandas as pd
-
-        band, _, x, y = key
-        pdf = pdf.sort_values("_uid")
-        uid, root, size, block = (pdf[c].to_numpy() for c in ("_uid", "_root", "_len", "_i"))
-        sk = np.stack(pdf["_sk"].to_numpy())
-        left, right = (np.flatnonzero(block == x), np.flatnonzero(block == y)) if x != y else (np.arange(len(uid)),) * 2
-        out = []
-        for i in left.tolist():
-            near = right[(root[right] != root[i]) & (np.minimum(size[right], size[i]) >= SIMILARITY * np.maximum(size[right], size[i]) - 1)]
-            near = near[near > i] if x == y else near
-            # The pair's first shared sketch is this bucket's.
-            near = near[(sk[near] == sk[i]).argmax(1) == band] if len(near) else near
-            out += [(uid[i], uid[j]) for j in near.tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    cols = ["_band", "_bucket", "_x", "_y"]
-    return dealt.select(*cols, "_uid", "_root", "_len", "_sk", "_i").groupBy(*cols).applyInPandas(compare, "a long, b long")
+    roots = components(links)
+    at = _in_mixed(_with_roots(shared, roots), ["_band", "_bucket"])
+    # Similar texts have like lengths: they lie in the same or in neighbouring classes of length, so they share
+    # one of two keys. Most classes meet no other group there and are done.
+    step = F.floor(F.log("_len") / (1.001 * math.log(1 / least) + 1e-3)).cast("int")
+    near = at.withColumn("_size", F.explode(F.array(step, step + 1)))
+    base = materialised(_in_mixed(near, ["_band", "_bucket", "_size"]).select("_uid", "_len", "_band", "_bucket", "_root").distinct())
+    if base.isEmpty():
+        return links, roots
+    other = base.select("_uid", F.col("_band").alias("_next"), F.col("_bucket").alias("_more"))
+    level = base.select("_uid", "_len", F.xxhash64("_band", "_bucket").alias("_g"), F.col("_band").alias("_last"))
+    while True:
+        finer = level.join(other, "_uid").where("_next > _last").select("_uid", "_len", F.xxhash64("_g", "_next", "_more").alias("_g"), F.col("_next").alias("_last"))
+        finer = materialised(_with_roots(finer, roots))
+        if (level := _in_mixed(finer, ["_g"])).isEmpty():
+            return links, roots
+        first = materialised(level.groupBy("_g").agg(F.min(F.struct("_uid", "_root", "_len")).alias("_first")))
+        far = F.least("_len", "_first._len") < least * F.greatest("_len", "_first._len") - 1
+        pairs = level.join(first, "_g").where((F.col("_root") != F.col("_first._root")) & ~far).select(
+            F.col("_uid").alias("a"), F.col("_first._uid").alias("b")).distinct()
+        pairs = materialised(pairs.join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            found = verified(rows, pairs, least)
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                # Components of the groups so far and the new links between them: a short list.
+                roots = _joined_roots(roots, found)
+        level = level.select("_uid", "_len", "_g", "_last")
 
 
 def near_duplicate_rows(docs: DataFrame, least: float = SIMILARITY, kmer: int = KMER, ordered: int = ORDERED, n: int = SKETCHES) -> DataFrame:
@@ -314,18 +349,13 @@ def near_duplicate_rows(docs: DataFrame, least: float = SIMILARITY, kmer: int =
     """
     rows = sketched(docs, kmer, ordered, n)
     names = materialised(rows.groupBy("_key").agg(F.min("_uid").alias("_class")))
-    reps = rows.select("_uid", "_len", "_sk").where("_len > 0").join(names.select(F.col("_class").alias("_uid")), "_uid", "left_semi")
+    reps = rows.select("_uid", "_len", "_sk").where("_len > 0").join(names.select(F.col("_class").alias("_uid")).hint("merge"), "_uid", "left_semi")
     spots = materialised(reps.select("_uid", "_len", F.posexplode("_sk").alias("_band", "_bucket")))
     buckets = materialised(spots.groupBy("_band", "_bucket").agg(F.min("_uid").alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
-    shared = materialised(spots.join(buckets, ["_band", "_bucket"]).select("_band", "_bucket", "_uid", "_len", "_first"))
+    shared = materialised(spots.join(buckets.hint("merge"), ["_band", "_bucket"]).select("_band", "_bucket", "_uid", "_len", "_first"))
     pairs = materialised(shared.where("_uid != _first").select(F.col("_uid").alias("a"), F.col("_first").alias("b")).distinct())
     links = verified(rows, pairs, least)
-    roots = components(links)
-    members = shared.select("_band", "_bucket", "_uid", "_len").join(rows.select("_uid", "_sk"), "_uid")
-    if (rest := _rest_pairs(members, roots)) is not None:
-        rest = materialised(rest.join(pairs, (F.greatest(rest["a"], rest["b"]) == pairs["a"]) & (F.least(rest["a"], rest["b"]) == pairs["b"]), "left_anti"))
-        links = links.unionByName(verified(rows, rest, least))
-        roots = components(links)
+    links, roots = refined_links(rows, shared.select("_band", "_bucket", "_uid", "_len"), pairs, links, least)
     ends = links.select(F.col("a").alias("_class")).unionAll(links.select(F.col("b").alias("_class")))
     degree = ends.groupBy("_class").agg(F.count("*").alias("n_links"))
 
