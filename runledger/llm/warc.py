@@ -59,16 +59,21 @@ def parse(raw: bytes) -> tuple[dict[str, list[str]], bytes]:
     return headers, rest[:size]
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The contents of the gzip members of a file; empty ones, which separate the writer's rows, are skipped."""
-    while data:
-        d = zlib.decompressobj(31)
-        out = d.decompress(data) + d.flush()
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of the gzip members of a file; empty ones, which separate the writer's rows, are skipped.
+
+    Input goes in by steps, as what follows a member is copied.
+    """
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof and at < len(view):
+            out.append(d.decompress(view[at : at + step]))
+            at += len(view[at : at + step]) - len(d.unused_data)
         if not d.eof:
             raise ValueError("the last member is cut off")
-        data = d.unused_data
-        if out:
-            yield out
+        if any(out):
+            yield b"".join(out)
 
 
 def gzip_member(data: bytes, level: int = 6) -> bytes:
