@@ -7,14 +7,15 @@ content. Documents are near duplicates when the alignment of their words has an
 or more: 1 - distance / words of the longer text. Groups are the connected components of these links.
 
 Equal word sequences are one class from the start. In a bucket of equal sketches every class is first
-compared with the smallest one, so a bucket of any size costs one comparison for each member. Members of buckets
-that hold more than one group after that are compared again in finer buckets, see ``refined_links``.
+compared with the smallest one, which settles most buckets with one comparison for each member. In buckets that hold more
+than one group after that, every two classes of different groups are compared, see ``rest_links``.
 """
 
 from __future__ import annotations
 
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,12 @@ SIMILARITY = 0.8
 #: Rows of a table of links that one task takes, and the fewest tasks.
 LINKS_PER_TASK = 200_000
 MIN_TASKS = 8
+#: Classes of a mixed bucket compared at once.
+BLOCK = 512
+#: Partners that a class reports of a block in the rounds of ``rest_links``; the last is no bound, as no block has more.
+ROUNDS = (1, 16, sys.maxsize)
+#: Counts in a bag of words.
+BAG = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,6 +145,16 @@ def sequence_keys(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def bags(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(texts x BAG) counts of words by hash, 255 standing for more. An edit moves at most one count up and one down, so the
+    larger of the sums of both differences is no more than the edit distance."""
+    out = np.zeros((len(lengths), BAG), np.uint8)
+    at = np.repeat(np.arange(len(lengths)), lengths) * BAG + (_mix(codes) % np.uint64(BAG)).astype(np.int64)
+    cell, n = np.unique(at, return_counts=True)
+    out.ravel()[cell] = np.minimum(n, 255)
+    return out
+
+
 # --- alignment -------------------------------------------------------------------
 
 
@@ -209,7 +226,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketched(docs: DataFrame, kmer: int = KMER, ordered: int = ORDERED, n: int = SKETCHES) -> DataFrame:
-    """The rows of ``docs`` (as struct ``_row``) with ``_uid``, 128 bits ``_key`` of the word sequence, ``_len`` words, sketches ``_sk``.
+    """The rows of ``docs`` (as struct ``_row``) with ``_uid``, 128 bits ``_key`` of the word sequence, ``_len`` words, sketches ``_sk``, counts ``_bag``.
 
     Stored, so that ``_uid`` is the same for all steps and a lost executor repeats no step before it.
     """
@@ -218,15 +235,17 @@ def sketched(docs: DataFrame, kmer: int = KMER, ordered: int = ORDERED, n: int =
         h, owner = kmers(codes, lengths, kmer)
         sk = sketches(h, owner, len(lengths), ordered, n).view(np.int64)
         keys = sequence_keys(codes, lengths)
+        counts = bags(codes, lengths)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(lengths, pa.int32()),
-             pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * n), pa.array(sk.ravel(), pa.int64()))],
-            ["_row", "_key", "_len", "_sk"])
+             pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * n), pa.array(sk.ravel(), pa.int64())),
+             pa.array([c.tobytes() for c in counts], pa.binary())],
+            ["_row", "_key", "_len", "_sk", "_bag"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(row, "text")
     kind = rows.schema["_row"].dataType.simpleString()
-    out = map_texts(rows, run, f"_row {kind}, _key binary, _len int, _sk array<long>")
+    out = map_texts(rows, run, f"_row {kind}, _key binary, _len int, _sk array<long>, _bag binary")
     return materialised(out.withColumn("_uid", F.monotonically_increasing_id()))
 
 
@@ -300,36 +319,76 @@ def _joined_roots(roots: DataFrame, found: DataFrame) -> DataFrame:
     return materialised(moved.unionByName(ties.select(F.col("_old").alias("_node"), F.col("_new").alias("_root"))).distinct())
 
 
-def refined_links(rows: DataFrame, shared: DataFrame, tested: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _rest_pairs(dealt: DataFrame, bags: DataFrame, most: int, least: float) -> DataFrame:
+    """``a, b, _cut``: pairs of classes of different groups that share a bucket and whose lengths and word counts allow the similarity.
+
+    ``dealt`` has ``_band, _bucket, _size, _x, _y, _i, _uid, _root, _len, _native``: a bucket's classes of like length are dealt
+    into blocks and each pair of blocks is one group of rows, so a task's memory does not grow with the bucket. Of a pair's
+    shared buckets only the first reports it. A class reports ``most`` partners of a block; where it has more, ``_cut`` is true.
+    """
+    def compare(key, pdf):
+        import pandas as pd
+
+        band, _, _, x, y = key
+        pdf = pdf.sort_values("_uid")
+        uid, root, size, native, block = (pdf[c].to_numpy() for c in ("_uid", "_root", "_len", "_native", "_i"))
+        sk = np.stack(pdf["_sk"].to_numpy())
+        bag = np.frombuffer(b"".join(pdf["_bag"]), np.uint8).reshape(len(uid), BAG).astype(np.int16)
+        at = np.arange(len(uid))
+        a, b, cut = [], [], []
+        for i in at[block == y].tolist():
+            other = at[:i] if x == y else at[block == x]
+            longest = np.maximum(size[other], size[i])
+            limit = ((1 - least) * longest + 1e-9).astype(np.int64)
+            # Those of the length class below meet each other there.
+            other = other[(root[other] != root[i]) & (native[other] | native[i]) & (np.abs(size[other] - size[i]) <= limit)]
+            # The pair's first shared sketch is this bucket's.
+            other = other[(sk[other] == sk[i]).argmax(1) == band] if len(other) else other
+            if len(other):
+                diff = bag[other] - bag[i]
+                bound = np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1))
+                other = other[bound <= ((1 - least) * np.maximum(size[other], size[i]) + 1e-9).astype(np.int64)]
+            more = len(other) > most
+            for j in other[:most].tolist():
+                a.append(max(uid[i], uid[j]))
+                b.append(min(uid[i], uid[j]))
+                cut.append(more)
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "_cut": np.array(cut, bool)})
+
+    cols = ["_band", "_bucket", "_size", "_x", "_y"]
+    full = dealt.join(bags.hint("merge"), "_uid").select(*cols, "_uid", "_root", "_len", "_native", "_i", "_sk", "_bag")
+    return full.groupBy(*cols).applyInPandas(compare, "a long, b long, _cut boolean")
+
+
+def rest_links(rows: DataFrame, shared: DataFrame, tested: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(links, roots) after the buckets in which one comparison for each class did not settle all.
 
     ``shared`` has ``_band, _bucket, _uid, _len`` of buckets with two or more classes. A bucket may hold several groups,
-    as when a passage that unlike texts share supplies all k-mers of a sketch. Its classes are dealt anew by their second
-    shared mixed bucket, then by their third and so on, and each time compared with the first of their finer
-    bucket. So work stays in proportion to the classes, whatever a bucket's size, and ends when no bucket is mixed or all
-    sketches of its classes are equal.
+    as when a passage that unlike texts share supplies all k-mers of a sketch. Of these every two classes of different
+    groups are compared, by lengths and word counts in the tasks and by alignment where those allow the similarity.
+    Rounds align few partners of each class first, so that a large group is found before all its pairs are aligned; a round
+    takes more partners than the one before, and the last one all that a block has, so no pair of different groups is left.
     """
     roots = components(links)
-    at = _in_mixed(_with_roots(shared, roots), ["_band", "_bucket"])
-    # Similar texts have like lengths: they lie in the same or in neighbouring classes of length, so they share
-    # one of two keys. Most classes meet no other group there and are done.
-    step = F.floor(F.log("_len") / (1.001 * math.log(1 / least) + 1e-3)).cast("int")
-    near = at.withColumn("_size", F.explode(F.array(step, step + 1)))
-    base = materialised(_in_mixed(near, ["_band", "_bucket", "_size"]).select("_uid", "_len", "_band", "_bucket", "_root").distinct())
-    if base.isEmpty():
+    # Similar texts have like lengths: they lie in the same or in neighbouring classes of length. A class is in the bucket of
+    # its own and of the next length class. Most classes meet no other group there and are done.
+    own = F.floor(F.log("_len") / (1.001 * math.log(1 / least) + 1e-3)).cast("int")
+    keys = ["_band", "_bucket", "_size"]
+    near = _in_mixed(_with_roots(shared, roots), ["_band", "_bucket"]).withColumn("_own", own)
+    near = near.withColumn("_size", F.explode(F.array("_own", F.col("_own") + 1))).withColumn("_native", F.col("_own") == F.col("_size")).drop("_own")
+    at = _in_mixed(near, keys)
+    if at.isEmpty():
         return links, roots
-    other = base.select("_uid", F.col("_band").alias("_next"), F.col("_bucket").alias("_more"))
-    level = base.select("_uid", "_len", F.xxhash64("_band", "_bucket").alias("_g"), F.col("_band").alias("_last"))
-    while True:
-        finer = level.join(other, "_uid").where("_next > _last").select("_uid", "_len", F.xxhash64("_g", "_next", "_more").alias("_g"), F.col("_next").alias("_last"))
-        finer = materialised(_with_roots(finer, roots))
-        if (level := _in_mixed(finer, ["_g"])).isEmpty():
-            return links, roots
-        first = materialised(level.groupBy("_g").agg(F.min(F.struct("_uid", "_root", "_len")).alias("_first")))
-        far = F.least("_len", "_first._len") < least * F.greatest("_len", "_first._len") - 1
-        pairs = level.join(first, "_g").where((F.col("_root") != F.col("_first._root")) & ~far).select(
-            F.col("_uid").alias("a"), F.col("_first._uid").alias("b")).distinct()
-        pairs = materialised(pairs.join(tested, ["a", "b"], "left_anti"))
+    bags = rows.select("_uid", "_sk", "_bag").join(at.select("_uid").distinct().hint("merge"), "_uid", "left_semi")
+    bags = materialised(bags)
+    for most in ROUNDS:
+        counts = materialised(at.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")))
+        dealt = at.join(counts.hint("merge"), keys).withColumn("_i", F.pmod(F.xxhash64("_uid"), F.col("_blocks")).cast("int"))
+        dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        dealt = dealt.withColumns({"_x": F.least("_i", "_j"), "_y": F.greatest("_i", "_j")})
+        rest = materialised(_rest_pairs(dealt, bags, most, least))
+        cut = not rest.where("_cut").isEmpty()
+        pairs = materialised(rest.select("a", "b").distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
             found = verified(rows, pairs, least)
@@ -337,7 +396,9 @@ def refined_links(rows: DataFrame, shared: DataFrame, tested: DataFrame, links:
                 links = links.unionByName(found)
                 # Components of the groups so far and the new links between them: a short list.
                 roots = _joined_roots(roots, found)
-        level = level.select("_uid", "_len", "_g", "_last")
+        if not cut or (at := _in_mixed(_with_roots(at.drop("_root"), roots), keys)).isEmpty():
+            break
+    return links, roots
 
 
 def near_duplicate_rows(docs: DataFrame, least: float = SIMILARITY, kmer: int = KMER, ordered: int = ORDERED, n: int = SKETCHES) -> DataFrame:
@@ -355,7 +416,7 @@ def near_duplicate_rows(docs: DataFrame, least: float = SIMILARITY, kmer: int =
     shared = materialised(spots.join(buckets.hint("merge"), ["_band", "_bucket"]).select("_band", "_bucket", "_uid", "_len", "_first"))
     pairs = materialised(shared.where("_uid != _first").select(F.col("_uid").alias("a"), F.col("_first").alias("b")).distinct())
     links = verified(rows, pairs, least)
-    links, roots = refined_links(rows, shared.select("_band", "_bucket", "_uid", "_len"), pairs, links, least)
+    links, roots = rest_links(rows, shared.select("_band", "_bucket", "_uid", "_len"), pairs, links, least)
     ends = links.select(F.col("a").alias("_class")).unionAll(links.select(F.col("b").alias("_class")))
     degree = ends.groupBy("_class").agg(F.count("*").alias("n_links"))
 

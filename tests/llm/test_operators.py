@@ -479,6 +479,40 @@ def test_mixed_buckets(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_families_in_a_long_passage(spark, monkeypatch, block):
+    """A passage of 75 to 79 % of each text supplies all sketches that near duplicates share, and an unlike text comes first in every bucket."""
+    monkeypatch.setattr(orderminhash, "BLOCK", block)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(77)]
+    rows = []
+    for g in range(16):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(21 + g % 5)]
+        for i in range(3):
+            w = list(own)
+            # No five own words in a row are the same in two texts of a family.
+            w[i::5] = [f"own{g}x{i}x{j}" for j in range(len(w[i::5]))]
+            rows.append((100 * i + g, " ".join(passage + w), "en", "s", 0))
+    got = orderminhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    want, found = defaultdict(set), defaultdict(set)
+    for r, g in zip(rows, linked_groups(rows)):
+        want[g].add(r[0])
+    for r in got:
+        found[r.group_id].add(r.doc_id)
+    assert len(want) == 16 and sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
+def test_bags_bound_the_distance():
+    rng = random.Random(4)
+    for _ in range(200):
+        a = [rng.choice("abcdef") for _ in range(rng.randint(1, 30))]
+        b = [rng.choice("abcdef") if rng.random() < 0.4 else x for x in a][rng.randint(0, 3) :]
+        codes, lengths = orderminhash.word_codes(pa.array([" ".join(a), " ".join(b)]))
+        x = orderminhash.bags(codes, lengths).astype(int)
+        assert x.sum(1).tolist() == lengths.tolist()
+        assert max(np.maximum(x[0] - x[1], 0).sum(), np.maximum(x[1] - x[0], 0).sum()) <= levenshtein(a, b)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40) if i != 20] + [(5, 3), (3, 5), (60, 61), (7, 7)]
     got = {r._node: r._root for r in orderminhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
