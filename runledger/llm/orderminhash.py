@@ -4,7 +4,12 @@ A document is its sequence of lower-case words. Its k-mers (five words) are labe
 occurrence number, so that repeats count. A sketch takes the few k-mers of smallest hash and keeps
 their order in the text; equal sketches therefore speak for small edit distance, not only for common
 content. Documents are near duplicates when the alignment of their words has an edit similarity of 0.8
-or more: 1 - distance / words of the longer text. Groups are the connected components of these links.
+or more: 1 - distance / words of the longer text. Groups are the connected components of the links found.
+
+Only texts that share a sketch are candidates, and the condition for that is a Jaccard similarity of about 0.8 of the labelled
+five-word k-mers, not the edit similarity: of texts of 600 words with words replaced at random places, 95 % share one at an edit
+similarity of 0.95, 48 % at 0.90, 13 % at 0.85 and 2 % at 0.80; of texts of 40 words 65 % with three words replaced (0.925).
+Edits that lie together leave more k-mers whole.
 
 Equal word sequences are one class from the start. In a bucket of equal sketches every class is first
 compared with the smallest one, which settles most buckets with one comparison for each member. In buckets that hold more
