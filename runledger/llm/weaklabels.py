@@ -2,8 +2,8 @@
 
 Overlapping heuristics vote good, bad or abstain. Expectation-maximisation over the counts of vote patterns, a table
 of bounded size, estimates how each heuristic votes on good and on bad documents, without any label. The posterior of
-its pattern is a document's label; on a bounded sample these labels train a linear scorer over hashed byte trigrams,
-which then scores every document.
+its pattern, that of the whole text, is a document's label; on a bounded sample these labels train a linear scorer over hashed
+byte trigrams, which then scores every document.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ ENDS = ".,;:!?'\")"
 BELIEF = ((0.3, 0.35, 0.35), (0.2, 0.01, 0.79))
 BELIEF_WEIGHT = 0.5
 BUCKETS = 1 << 13
-#: Documents of the training sample, and bytes of each that train. Scoring reads all documents and all bytes.
+#: Documents of the training sample, and characters of each that train, from a hashed start. Scoring reads all documents and all bytes.
 SAMPLE_DOCS = 3000
 SAMPLE_CHARS = 4096
 ITERATIONS = 300
@@ -178,9 +178,21 @@ def classify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
 
     share = min(1.0, sample_docs / max(1.0, counts.sum()))
     unit = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where((unit < share) & (F.length("text") > 0)).orderBy(unit, "doc_id").limit(2 * sample_docs)
-    texts = [r["text"] for r in sample.select(F.substring("text", 1, sample_chars).alias("text")).collect()]
-    labels = model.posterior(votes(TextStats(pa.array(texts, pa.string())))) if texts else np.zeros(0)
+    # The votes are those on the whole text; of a long one as many characters train as the sample takes, from a hashed start.
+    start = F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.greatest(F.char_length("text") - sample_chars + 1, F.lit(1))).cast("int")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes = _code(votes(TextStats(batch.column(1))))
+        parts = [t[i : i + sample_chars] for t, i in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), pa.array(parts, pa.string()), pa.array(codes, pa.int64())], ["doc_id", "unit", "text", "pattern"])
+
+    sample = rows.where((unit < share) & (F.length("text") > 0)).select("doc_id", "text", unit.alias("unit"), start.alias("start"))
+    sample = map_texts(sample, cut, f"doc_id {kind}, unit double, text string, pattern long").orderBy("unit", "doc_id").limit(2 * sample_docs)
+    taken = sample.select("text", "pattern").collect()
+    texts = [r["text"] for r in taken]
+    own = np.array([r["pattern"] for r in taken], np.int64).reshape(-1)
+    labels = model.posterior((own[:, None] // 3 ** np.arange(n)) % 3)
     scorer = train_scorer(texts, labels) if texts else LinearScorer(np.zeros(BUCKETS, np.float32), 0.0)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -377,6 +377,22 @@ def test_weak_labels_of_odd_texts(spark, docs):
     assert len(got) == len(corpus()) and all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in got)
 
 
+def test_labels_are_those_of_the_whole_text(spark, monkeypatch):
+    """A long text that turns bad after the characters that train has a bad label, and its later parts train too."""
+    rng = random.Random(2)
+    good = [" ".join(rng.choice(["The", "river", "was", "quiet", "and", "people", "walked", "along", "it."]) for _ in range(400)) + "\n" for _ in range(60)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(good)]
+    rows += [(100 + i, t[:300] + " @@## $$%%" * 3000, "en", "s", 0) for i, t in enumerate(good)]
+    seen = []
+    train = weaklabels.train_scorer
+    monkeypatch.setattr(weaklabels, "train_scorer", lambda texts, labels: seen.append((texts, labels)) or train(texts, labels, iterations=5))
+    got = {r.doc_id: r.posterior for r in weaklabels.classify(spark.createDataFrame(rows, SCHEMA), sample_chars=200).collect()}
+    texts, labels = seen[0]
+    assert len(texts) == 120 and max(map(len, texts)) == 200
+    assert sorted(labels) == pytest.approx(sorted(got.values()))
+    assert sum("@@##" in t for t in texts) > 50
+
+
 # --- near duplicates ---
 
 
