@@ -31,11 +31,12 @@ def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     return map_texts(docs.select("text"), count, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
-def curve(histogram: DataFrame, limits: tuple[int, ...] = ()) -> DataFrame:
+def curve(histogram: DataFrame, limits: tuple[int, ...] = (), shares: tuple[float, ...] = ()) -> DataFrame:
     """One row for every length of the histogram and every one of ``limits``, as context limit:
 
     docs (of exactly this length), docs_at_least, tokens_at_least (of documents of this length or more), docs_truncated (longer
-    ones), total_tokens (of all texts cut to the limit) and share_within (of documents that fit).
+    ones), total_tokens (of all texts cut to the limit) and share_within (of documents that fit; null where there are none). With
+    ``shares`` (above 0, up to 1) also quantile_of: those of them that the row's length is the quantile of, see ``quantiles``.
     """
     spark = histogram.sparkSession
     h = histogram
@@ -52,10 +53,12 @@ def curve(histogram: DataFrame, limits: tuple[int, ...] = ()) -> DataFrame:
     down = Window.partitionBy("_range").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     inner = h.withColumns({"_a": F.sum("docs").over(down), "_b": F.sum(F.col("docs") * F.col("length")).over(down)})
     at_least, tokens = F.col("_a") + F.col("_docs_after"), F.col("_b") + F.col("_tokens_after")
+    shorter, within = (F.try_divide(F.col("_docs") - at_least + n, F.col("_docs")) for n in (F.lit(0), F.col("docs")))
+    more = [F.filter(F.array(*map(F.lit, shares)), lambda q: (shorter < q) & (q <= within)).alias("quantile_of")] if shares else []
     return inner.join(ranges, "_range").select(
         F.col("length").alias("context_limit"), "docs", at_least.alias("docs_at_least"), tokens.alias("tokens_at_least"),
         (at_least - F.col("docs")).alias("docs_truncated"), (F.col("_tokens") - tokens + F.col("length") * at_least).alias("total_tokens"),
-        ((F.col("_docs") - at_least + F.col("docs")) / F.col("_docs")).alias("share_within"))
+        within.alias("share_within"), *more)
 
 
 def quantiles(points: DataFrame, shares: tuple[float, ...]) -> DataFrame:

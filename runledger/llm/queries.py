@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 CONTEXT_LIMITS = tuple(512 << i for i in range(9))
+QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
 
 
 def query(fn: Query) -> Query:
@@ -114,7 +115,7 @@ def op4_weak_labels(spark, sf_dir):
 @query
 def op5_length_curve(spark, sf_dir):
     lengths = lengthcurve.length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return lengthcurve.curve(materialised(lengths), CONTEXT_LIMITS)
+    return lengthcurve.curve(materialised(lengths), CONTEXT_LIMITS, QUANTILES)
 
 
 @query

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from runledger.llm import binpacking, blocknames, bytegru, divergence, lengthcurve, linebitmaps, orderminhash, speculativebpe, textstats, warc, weaklabels
+from runledger.llm import binpacking, blocknames, bytegru, divergence, lengthcurve, linebitmaps, orderminhash, queries, speculativebpe, textstats, warc, weaklabels
 from runledger.llm.wordtokens import WordTokens
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -194,6 +194,19 @@ def test_length_curve(spark, docs):
     assert got == {q: int(np.sort(lengths)[int(np.ceil(q * len(lengths) - 1e-9)) - 1]) for q in got}
 
 
+def test_length_curve_query(spark, docs, empty, tmp_path):
+    """The registered query has the quantiles, and rows for its limits when there are no documents."""
+    docs.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    rows = queries.op5_length_curve(spark, str(tmp_path / "some")).collect()
+    lengths = np.sort([len(LIBRARY.encode(t or "", add_special_tokens=False).ids) for _, t, *_ in corpus()])
+    got = sorted((q, r.context_limit) for r in rows for q in r.quantile_of)
+    assert got == [(q, int(lengths[int(np.ceil(q * len(lengths) - 1e-9)) - 1])) for q in queries.QUANTILES]
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    none = queries.op5_length_curve(spark, str(tmp_path / "none")).collect()
+    assert sorted(r.context_limit for r in none) == list(queries.CONTEXT_LIMITS)
+    assert {(r.docs, r.docs_at_least, r.docs_truncated, r.total_tokens, r.share_within, tuple(r.quantile_of or ())) for r in none} == {(0, 0, 0, 0, None, ())}
+
+
 # --- packing ---
 
 
