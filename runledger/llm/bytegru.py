@@ -209,7 +209,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     """Train on a sample of the labelled documents that are not held out; None when there are none.
 
     The sample, ``sample_docs`` documents of each language by hash and ``sample_chars`` characters of each,
-    has the same size for every table. Counts of the languages are taken over all rows.
+    has the same size for every table. Counts of the languages are taken over all rows. Of more than MAX_LANGS languages
+    the most frequent train; documents of the others get one of these as lang_pred, which is wrong.
     """
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
