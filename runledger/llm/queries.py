@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import binpacking, blocknames, bytegru, divergence, lengthcurve, linebitmaps, orderminhash, speculativebpe, warc, weaklabels
+from runledger.llm import binpacking, blocknames, bytegru, divergence, lengthcurve, linebitmaps, mixture, orderminhash, speculativebpe, warc, weaklabels
 from runledger.llm.frames import scratch, table
 from runledger.session import materialised
 from runledger.sources.files import remove_tree
@@ -118,6 +118,36 @@ def op5_length_curve(spark, sf_dir):
     return lengthcurve.curve(materialised(lengths), CONTEXT_LIMITS, QUANTILES)
 
 
+@query
+def op11_hash_thresholds(spark, sf_dir):
+    return mixture.decisions(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_hash_thresholds"] = r"""
+WITH t AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ' ', coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM t GROUP BY source),
+w AS (SELECT *, [2, 3, 1][place % 3 + 1] AS weight, 2 * source_size AS cap, sum(source_size) OVER () AS words FROM s),
+o AS (
+  SELECT *, (1.5::DOUBLE * words - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+l AS (SELECT arg_min(level, cap / weight) AS level FROM o WHERE weight * level <= cap),
+g AS (SELECT w.source, source_size, least(cap::DOUBLE, weight * l.level) AS target FROM w, l),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM g),
+c AS (
+  SELECT t.*, source_size, target, whole, target - whole * source_size AS budget,
+         coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS upto,
+         sum(size) OVER (PARTITION BY t.source, h) AS same, count(*) OVER (PARTITION BY t.source, h) AS n,
+         row_number() OVER (PARTITION BY t.source, h) AS nth
+  FROM t JOIN b ON t.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN upto <= budget THEN 1 WHEN upto - same > budget OR size = 0 THEN 0
+                             WHEN nth <= ceil((budget - (upto - same)) / (same / n) - 0.5) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
