@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.llm.frames import word_count
 from runledger.session import materialised
 
 #: Words of the mix over words of all documents, times that a document may occur, and weights of the sources in order, repeating.
@@ -21,13 +22,6 @@ WEIGHTS = (3, 1, 2)
 #: Bits of a document's hash, and bits that one round of sums resolves.
 HASH_BITS = 60
 LEVEL_BITS = 12
-_BLANKS = r"\x20\x09-\x0D"
-
-
-def word_count(text: Column) -> Column:
-    """Runs of anything but ASCII blanks; 0 for null. Counts by replacement, so no list of the words is made."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{_BLANKS}]*+[^{_BLANKS}]++[{_BLANKS}]*+", "x")
-    return F.length(F.translate(marked, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def _hash_of(hexadecimal: Column) -> Column:

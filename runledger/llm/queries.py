@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import binpacking, blocknames, bytegru, divergence, lengthcurve, linebitmaps, mixture, orderminhash, residuegemm, speculativebpe, warc, weaklabels
+from runledger.llm import binpacking, blocknames, bytegru, divergence, fattrie, lengthcurve, linebitmaps, mixture, orderminhash, residuegemm, speculativebpe, warc, weaklabels
 from runledger.llm.frames import scratch, table
 from runledger.session import materialised
 from runledger.sources.files import remove_tree
@@ -176,6 +176,39 @@ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, n
 """
 
 
+@query
+def op13_zfast_trie(spark, sf_dir):
+    return fattrie.prefix_nodes(fattrie.with_family_heads(fattrie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+ORACLE["op13_zfast_trie"] = r"""
+WITH o AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                         md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT *, list_reduce(list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT),
+                        lambda x, b: list_reduce([xor(x, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, k: xor(y >> 1, 3988292384 * (y & 1))), 4294967295::BIGINT) AS crc FROM o),
+r AS (
+  SELECT h.c, list_concat(list_slice(coalesce(b.own, []), 1, xor(crc, 4294967295) % 4), list_slice(h.own, xor(crc, 4294967295) % 4 + 1, len(h.own))) AS seq
+  FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+p AS (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM r),
+n AS (
+  SELECT list_slice(seq, 1, d) AS key, d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(seq) = d), '')) AS ends_sha256
+  FROM p GROUP BY ALL),
+k AS (SELECT list_slice(key, 1, d - 1) AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+         CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.key[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved
+  FROM n LEFT JOIN k ON n.key = k.key),
+u AS (SELECT *, unnest(range(0, d + 1)) AS a FROM w),
+s AS (SELECT list_slice(key, 1, a) AS key, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM u GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, v.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM w JOIN s ON w.key = s.key LEFT JOIN n v ON w.d > 0 AND v.key = list_slice(w.key, 1, w.d - 1)
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

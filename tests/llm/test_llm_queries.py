@@ -8,7 +8,7 @@ from runledger.llm.queries import ORACLE, QUERIES
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
 
 
