@@ -145,11 +145,15 @@ def _met(anchors: DataFrame, rows: DataFrame, keys: list[str], fn, schema: str)
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
-    counts = blocks(anchors, ANCHORS, "_anchor_blocks").join(blocks(rows, ROWS, "_row_blocks"), keys)
-    counts = materialised(counts)
+    if keys:
+        counts = materialised(blocks(anchors, ANCHORS, "_anchor_blocks").join(blocks(rows, ROWS, "_row_blocks"), keys))
+    else:
+        counts = None
+        n_anchors, n_rows = (max(1, -(-df.count() // size)) for df, size in ((anchors, ANCHORS), (rows, ROWS)))
 
     def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
-        at = df.join(counts, keys).withColumn(mine, F.pmod(F.xxhash64("uid"), F.col(own)).cast("int"))
+        at = df.withColumns({"_anchor_blocks": F.lit(n_anchors), "_row_blocks": F.lit(n_rows)}) if counts is None else df.join(counts, keys)
+        at = at.withColumn(mine, F.pmod(F.xxhash64("uid"), F.col(own)).cast("int"))
         return at.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_anchor_blocks", "_row_blocks")
 
     cell = [*keys, "_i", "_j"]
@@ -192,7 +196,7 @@ def negatives(anchors: DataFrame, rows: DataFrame, chosen: DataFrame, n: int = N
     """The rows of ``chosen`` (of ``positives``) with rank, negative_id, negative_score: the first ``n`` rows of another label
     whose score is ``least`` to ``most`` percent of the positive's."""
     lists = chosen.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("nth", "positive_id", "positive_score"))).alias("wanted"))  # POSITIVES at most
-    asked = anchors.join(lists, "uid").withColumn("_all", F.lit(0))
+    asked = materialised(anchors.join(lists, "uid"))
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
         none = np.iinfo(np.int64).min
@@ -226,7 +230,7 @@ def negatives(anchors: DataFrame, rows: DataFrame, chosen: DataFrame, n: int = N
         return pa.table({c: out[:, q] for q, c in enumerate(names)})
 
     schema = "uid long, anchor_id long, nth long, positive_id long, positive_score long, negative_id long, negative_score long"
-    pairs = _met(asked, rows.withColumn("_all", F.lit(0)), ["_all"], fn, schema)
+    pairs = _met(asked, rows, [], fn, schema)
     return _first(pairs, ["uid", "nth"], "negative_score", "negative_id", n, "rank")
 
 
