@@ -17,7 +17,7 @@ from runledger.session import ensure_checkpoint_dir
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = r"\x20\x09-\x0D"
 #: Texts handed to a vectorised step at once, in bytes; a longer text goes alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -59,22 +59,44 @@ def ship_package(spark: SparkSession) -> None:
     sc._runledger_shipped = True
 
 
-def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` to Arrow slices of the rows; memory is bounded by the slice, not by the batch."""
     ship_package(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield fn(part)
+            # Workers live on beside those of later stages; memory that they have free goes back.
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 
 
 def filter_texts(docs: DataFrame, keep: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
-    """The rows of ``docs`` for whose batches ``keep`` says true; all columns as they are."""
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_texts(docs, lambda batch: batch.filter(keep(batch)), names)
+    """The rows of ``docs`` for whose batches ``keep`` says true; all columns as they are, whatever their names."""
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(keep(pa.RecordBatch.from_arrays(batch.columns, names)))
+
+    return map_texts(numbered, run, numbered.schema, f"c{names.index('text')}").toDF(*names)
+
+
+def quoted(name: str) -> str:
+    """A column name of any characters as an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets one of ours."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def columns_of(row: str, names: list[str]) -> list[Column]:
+    """The columns that ``whole_row`` put together."""
+    return [F.col(row).getField(c).alias(c) for c in names]
 
 
 def scratch(spark: SparkSession, name: str) -> str:

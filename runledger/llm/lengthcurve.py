@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.frames import map_texts
-from runledger.llm.speculativebpe import encoder
+from runledger.llm.speculativebpe import SLICE, encoder, split_patterns
 
 #: Lengths in one range.
 RANGE = 1024
@@ -24,11 +24,13 @@ def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     An empty table gives no rows; other columns are ignored.
     """
+    patterns = split_patterns(tokenizer)
+
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        length, n = np.unique(encoder(tokenizer).lengths(batch.column(0).to_pylist()), return_counts=True)
+        length, n = np.unique(encoder(tokenizer, patterns).lengths(batch.column(0).to_pylist()), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(n, pa.int64())], ["length", "docs"])
 
-    return map_texts(docs.select("text"), count, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    return map_texts(docs.select("text"), count, "length long, docs long", limit=SLICE).groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
 def curve(histogram: DataFrame, limits: tuple[int, ...] = (), shares: tuple[float, ...] = ()) -> DataFrame:
