@@ -10,7 +10,8 @@ from runledger.functions import quoted, summary_text, to_number
 from runledger.functions.names import HS_STANDARD, OTHER_STANDARD
 from runledger.operators.merge import ERROR, PROJECT_ID, RAW_FILE
 from runledger.operators.projects import split_valid_error
-from runledger.operators.skew import CHUNK, hot_groups, hot_medians, ordered_chunks, split_by
+from runledger.operators.selection import medians
+from runledger.operators.skew import CHUNK, hot_groups, ordered_chunks, split_by
 
 METRIC = "metric"
 VALUE = "value"
@@ -279,33 +280,43 @@ def static_trend(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None =
 # --- summaries ----------------------------------------------------------------
 
 
-def _one_pass(merged: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """Counts and statistics of every group by one scan and one shuffle, on the wide rows."""
-    valid, _ = split_valid_error(merged)
-    wide = valid.select(PROJECT_ID, is_standard().alias("_std"), *_numbers(merged, metrics))
-    aggs = []
-    for i, m in enumerate(metrics):
-        value = F.col(quoted(m.key))
-        trended = F.when(~F.col("_std"), value)
-        aggs += [
-            F.count(value).alias(f"_p{i}"), F.count(trended).alias(f"_n{i}"), F.avg(trended).alias(f"_a{i}"),
-            F.percentile(trended, 0.5).alias(f"_m{i}"), F.stddev_samp(trended).alias(f"_s{i}")]
-    fields = {"n_points": "_p", "n": "_n", "mean": "_a", "median": "_m", "std": "_s"}
-    return _stack_groups(wide.groupBy(PROJECT_ID).agg(*aggs), [PROJECT_ID], metrics, fields)
+def _flagged(wide: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """One row per run and metric with a number, and whether the run is a standard."""
+    cells = F.array(*[F.struct(F.lit(m.key).alias(METRIC), F.col(quoted(m.key)).alias(VALUE)) for m in metrics])
+    return wide.select(PROJECT_ID, "_std", F.inline(cells)).where(F.col(VALUE).isNotNull())
 
 
-def _split_pass(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None, hot: DataFrame) -> DataFrame:
-    """The same when some groups are too large for a task: their medians come from ordered chunks."""
-    small, large = split_by(exclude_standards(metric_long(merged, cfg, keys)), hot, GROUP)
+def _moments() -> list[Column]:
+    """Counts, mean and deviation; all but the first without standards."""
+    trended = F.when(~F.col("_std"), F.col(VALUE))
+    return [F.count("*").alias("n_points"), F.count(trended).alias("n"), F.avg(trended).alias("mean"), F.stddev_samp(trended).alias("std")]
 
-    def stats(df: DataFrame, *more: Column) -> DataFrame:
-        return df.groupBy(*GROUP).agg(F.avg(VALUE).alias("mean"), F.stddev_samp(VALUE).alias("std"), *more)
 
-    total = hot.agg(F.sum("n")).first()[0]
-    # The medians have one row per hot group: bounded like the list of them.
-    medians = F.broadcast(hot_medians(large, GROUP, VALUE, total, cfg))
-    summary = stats(small, F.percentile(VALUE, 0.5).alias("median")).unionByName(stats(large).join(medians, GROUP))
-    return metric_counts(merged, cfg, keys).join(summary, GROUP, "left").select(*GROUP, "n_points", "n", "mean", "median", "std")
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Statistics of groups whose rows one task may sort; the sort spills, so nothing of a group's size is held in memory."""
+    group = Window.partitionBy(*GROUP)
+    n = F.count_if(~F.col("_std")).over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    at = F.row_number().over(group.orderBy("_std", VALUE))
+    # Standards come last, so ranks up to n are those of the others.
+    middle = (F.col("_at") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_at") == F.floor((F.col("_n") + 2) / 2))
+    value = F.when(middle & ~F.col("_std"), F.col(VALUE))
+    placed = rows.select("*", n.alias("_n"), at.alias("_at"))
+    return placed.groupBy(*GROUP).agg(*_moments(), (F.min(value) * 0.5 + F.max(value) * 0.5).alias("median"))
+
+
+def _group_statistics(merged: DataFrame, metrics: list[Metric], hot: DataFrame | None) -> DataFrame:
+    """Counts and statistics of every group. Runs are shuffled by project while they are one row; that is the only shuffle
+    but for groups in ``hot``, which are summed before theirs and have their medians selected by counting."""
+    valid, _ = split_valid_error(merged)
+    wide = valid.select(PROJECT_ID, is_standard().alias("_std"), *_numbers(merged, metrics))
+    if hot is None:
+        return _ranked(_flagged(wide.repartition(PROJECT_ID), metrics))
+    cold, warm = split_by(wide, hot.select(PROJECT_ID).distinct(), [PROJECT_ID])
+    small, large = split_by(_flagged(warm, metrics), hot, GROUP)
+    # One row per hot group: bounded like the list of them.
+    middle = F.broadcast(medians(large.where("NOT _std").select(*GROUP, VALUE), hot, GROUP, VALUE))
+    many = large.groupBy(*GROUP).agg(*_moments()).join(middle, GROUP, "left")
+    return _ranked(_flagged(cold.repartition(PROJECT_ID), metrics)).unionByName(_ranked(small)).unionByName(many)
 
 
 def _summaries(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None) -> DataFrame:
@@ -316,9 +327,8 @@ def _summaries(merged: DataFrame, cfg: LedgerConfig, keys: list[str] | None) ->
         none = F.lit(None).cast("double")
         return metric_counts(merged, cfg, keys).withColumns({"mean": none, "median": none, "std": none})
     hot = hot_groups(merged, metric_counts(merged, cfg, keys).where("n > 0"), GROUP, cfg, "n")
-    rows = _one_pass(merged, metrics) if hot is None else _split_pass(merged, cfg, keys, hot)
     enough = F.col("n") > cfg.static_floor
-    return rows.where("n_points > 0").withColumns({c: F.when(enough, F.col(c)) for c in ("mean", "median", "std")})
+    return _group_statistics(merged, metrics, hot).withColumns({c: F.when(enough, F.col(c)) for c in ("mean", "median", "std")})
 
 
 def metric_summary(
