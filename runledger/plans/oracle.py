@@ -264,6 +264,10 @@ ORACLE: dict[str, str] = {
     "upsert_result": _recent("""
         SELECT * FROM stale WHERE "RawFileName" IS NULL OR "RawFileName" NOT IN (SELECT "RawFileName" FROM updates)
         UNION ALL SELECT * FROM updates"""),
+    "upsert_touched_files": _recent("""
+        SELECT * FROM stale WHERE "RawFileName" IS NULL OR "RawFileName" NOT IN (
+            SELECT "RawFileName" FROM merged WHERE "ProjectID" = 'P1_click_B1' AND "RawFileName" IS NOT NULL)
+        UNION ALL SELECT * FROM merged WHERE "ProjectID" = 'P1_click_B1' """),
     "refresh_counts": _recent("""
         SELECT (SELECT count(*) FROM stale) AS rows_before,
             count(s."RawFileName") AS rows_updated,

@@ -15,6 +15,7 @@ from runledger.ledger import Ledger
 from runledger.session import ensure_checkpoint_dir, materialised
 from runledger.sources import audit, export, files
 from runledger.sources.databases import SourceDatabase
+from runledger.sources.store import MergedTable
 from runledger.streaming import changes
 from runledger.streaming.ingest import ingest, start_refresh_stream
 from runledger.streaming.landing import land_version
@@ -210,6 +211,23 @@ def stream_refresh_stored(spark, sf_dir):
     return plain(_stored(spark, "stream", build))
 
 
+@query
+def upsert_touched_files(spark, sf_dir):
+    """One project's runs taken into a stored table of many files; only the files that may hold them are written anew."""
+    def build(root: str) -> DataFrame:
+        s = _sources(spark, sf_dir)
+        table = MergedTable(spark, root, CFG.with_(compact_rows=1))
+        table.replace(_stale_target(s), n_files=32)
+        part = table.stage(projects.project_filter(merge.merge_sources(s.reports, s.sample_meta, s.project_meta, CFG), "P1_click_B1"))
+        given = table.staged(part)
+        n = given.count()
+        known = table.holding(given.select("RawFileName")).join(given.select("RawFileName"), "RawFileName", "left_semi").count()
+        table.upsert(part, n, n - known)
+        return table.read()
+
+    return plain(_stored(spark, "touched", build))
+
+
 @query
 def export_roundtrip(spark, sf_dir):
     """All projects exported as CSV and read again."""

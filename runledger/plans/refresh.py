@@ -144,7 +144,7 @@ def _incremental_refresh(
     given = table.staged(part)
     updates = given.count()
     # Updates are unique by file and every file is in the list of recent samples.
-    known = table.read().where(F.col(RAW_FILE).isNotNull()).select(RAW_FILE)
+    known = table.holding(given.select(RAW_FILE)).where(F.col(RAW_FILE).isNotNull())
     updated = known.join(bounded(given.select(RAW_FILE), updates, cfg), RAW_FILE, "left_semi").count()
     rows = table.upsert(part, updates, updates - updated, inputs.versions)
     audit_log(table).append(mtimes, rows)

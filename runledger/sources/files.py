@@ -11,6 +11,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -42,8 +43,26 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if not n.startswith((".", "_")))
 
 
+def _claimed(spark: SparkSession, fs, temp, final) -> bool:
+    """Give the finished file its final name unless someone has it; of several writers one succeeds.
+
+    A rename on HDFS does not replace a file. One on a local disk does, so there a hard link is made, which does not.
+    """
+    if fs.resolvePath(temp).toUri().getScheme() != "file":
+        return not fs.exists(final) and fs.rename(temp, final)
+    place = lambda p: spark._jvm.java.io.File(fs.resolvePath(p.getParent()).toUri().getPath(), p.getName()).toPath()
+    try:
+        spark._jvm.java.nio.file.Files.createLink(place(final), place(temp))
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    fs.delete(temp, False)
+    return True
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file so that it appears with its whole content or not at all."""
+    """Write a small file so that it appears with its whole content or not at all, and never in the place of another."""
     fs, final = _hadoop(spark, path)
     temp = spark._jvm.org.apache.hadoop.fs.Path(final.getParent(), f".{final.getName()}.{uuid.uuid4().hex}")
     out = fs.create(temp, True)
@@ -51,7 +70,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(final) or not fs.rename(temp, final):
+    if not _claimed(spark, fs, temp, final):
         fs.delete(temp, False)
         raise ConcurrentWriteError(f"{path} exists already")
 

@@ -3,6 +3,10 @@
 A base written by a full build, and small parts with the rows upserted since. A
 refresh of a few hundred samples writes a few hundred rows, whatever the size of
 the base. Readers leave out base rows that a part replaces.
+
+Every base part has an index of the keys of its files. Once enough rows are pending, the files that may hold
+their keys are written anew together with them, as a further base part, and the manifest names the files that are gone. The
+others are not opened.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ from runledger.functions import quoted
 from runledger.operators.checks import assert_unique
 from runledger.operators.merge import PROJECT_ID, RAW_FILE
 from runledger.operators.upsert import bounded
-from runledger.sources import files
+from runledger.sources import files, keyindex
 
 MAX_PARTS = 16
+#: Files that a manifest may name as gone, and the share of all base files; beyond, the whole base is written anew.
+MAX_GONE = 2000
+GONE_SHARE = 0.5
 _SEQ = "_seq"
 
 
@@ -29,11 +36,18 @@ class MergedTable:
         self.spark, self.root, self.cfg = spark, root.rstrip("/"), cfg
         self.manifests = files.Manifests(spark, self.root)
 
+    def _read(self, number: int) -> dict:
+        """A manifest; one of a table without key indexes names its base alone, and all its files may hold any key."""
+        state = self.manifests.read(number)
+        if isinstance(state["base"], str):
+            state |= {"base": [state["base"]], "gone": [], "index": {}}
+        return state
+
     def _state(self) -> tuple[int, dict]:
-        latest = self.manifests.latest()
-        if latest is None:
+        numbers = self.manifests.numbers()
+        if not numbers:
             raise FileNotFoundError(f"no merged table at {self.root}; run a full refresh first")
-        return latest
+        return numbers[-1], self._read(numbers[-1])
 
     def exists(self) -> bool:
         return self.manifests.latest() is not None
@@ -47,10 +61,20 @@ class MergedTable:
         return self._state()[1]["rows"]
 
     def schema(self) -> StructType:
-        return self._load(self._state()[1]["base"]).schema
+        return self._load(self._state()[1]["base"][0]).schema
+
+    def _load(self, *parts: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in parts])
 
-    def _load(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{part}")
+    def _base(self, state: dict, only: list[str] | None = None) -> DataFrame:
+        """The rows of the base files, or of those among them named; Spark opens no others."""
+        rows, name = self._load(*state["base"]), F.col("_metadata.file_name")
+        columns = [quoted(c) for c in rows.columns]
+        if only is not None:
+            rows = rows.where(name.isin([f for f in only if f not in set(state["gone"])]))
+        elif state["gone"]:
+            rows = rows.where(~name.isin(state["gone"]))
+        return rows.select(*columns)
 
     def stage(self, rows: DataFrame) -> str:
         """Write rows to a new folder that no manifest shows yet.
@@ -69,25 +93,68 @@ class MergedTable:
         """Version of each source that the table holds; sources without versions are missing."""
         return self._state()[1].get("versions", {})
 
+    @staticmethod
+    def _named(state: dict) -> list[str]:
+        """All parts that a manifest shows."""
+        return [*state["base"], *state["parts"], *(i["part"] for i in state["index"].values())]
+
     def _publish(self, after: int, state: dict) -> None:
-        files.require(self.spark, self.root, [state["base"], *state["parts"]])
+        files.require(self.spark, self.root, self._named(state))
         self.manifests.publish(after, state)
 
-    def _stage_base(self, rows: DataFrame) -> str:
-        """Stage rows ranged by project and time: a file holds few projects, and a question about one opens few files."""
-        return self.stage(rows.repartitionByRange(F.col(PROJECT_ID).asc_nulls_first(), F.col("DateTime").asc_nulls_first()))
+    def _stage_base(self, rows: DataFrame, n_files: int | None = None) -> tuple[str, dict]:
+        """Stage rows ranged by project and time, so that a question about one project opens few files, and their key index."""
+        order = [F.col(PROJECT_ID).asc_nulls_first(), F.col("DateTime").asc_nulls_first()]
+        part = self.stage(rows.repartitionByRange(n_files, *order) if n_files else rows.repartitionByRange(*order))
+        stored = self._load(part)
+        count, n = stored.count(), len(stored.inputFiles())
+        buckets = keyindex.buckets_for(count, n)
+        index = files.new_part()
+        keyindex.file_index(stored, RAW_FILE, buckets).write.parquet(f"{self.root}/{index}")
+        return part, {"part": index, "buckets": buckets, "files": n}
+
+    def touched_files(self, keys: DataFrame, state: dict | None = None) -> tuple[list[str] | None, int]:
+        """(base files that may hold one of the keys (RAW_FILE), all base files); None in place of more than MAX_GONE names."""
+        state = state or self._state()[1]
+        if not state["index"]:
+            return None, 0
+        found: set[str] = set()
+        for i in state["index"].values():
+            names = keyindex.touched_files(self._load(i["part"]), keys, RAW_FILE, i["buckets"]).limit(MAX_GONE + 1).collect()
+            found |= {r[0] for r in names}
+        found -= set(state["gone"])
+        total = sum(i["files"] for i in state["index"].values()) - len(state["gone"])
+        return (None if len(found) > MAX_GONE else sorted(found)), total
+
+    def holding(self, keys: DataFrame) -> DataFrame:
+        """RAW_FILE of all rows in the files that may hold one of the keys, and of the pending ones."""
+        _, state = self._state()
+        only, _ = self.touched_files(keys, state)
+        rows = self._base(state, only).select(RAW_FILE)
+        return rows.unionByName(self._load(*state["parts"]).select(RAW_FILE)).distinct() if state["parts"] else rows
 
-    def replace(self, merged: DataFrame, versions: dict[str, str] | None = None) -> int:
+    def replace(self, merged: DataFrame, versions: dict[str, str] | None = None, n_files: int | None = None) -> int:
         """Full build. A file name that occurs twice fails it and leaves the table as it was."""
-        part = self._stage_base(merged)
+        part, index = self._stage_base(merged, n_files)
         rows = self._load(part)
         assert_unique(rows, RAW_FILE)
         number = rows.count()
         latest = self.manifests.latest()
         self._publish(latest[0] if latest else 0, {
-            "generation": part, "base": part, "parts": [], "pending": 0, "rows": number, "versions": versions or {}})
+            "generation": part, "base": [part], "gone": [], "index": {part: index}, "parts": [], "pending": 0, "rows": number,
+            "versions": versions or {}})
         return number
 
+    def _compacted(self, state: dict, parts: list[str], pending: int) -> dict:
+        """``base``, ``gone`` and ``index`` with the pending rows among the base: only files that may hold their keys are written anew."""
+        touched, total = self.touched_files(self._load(*parts).select(RAW_FILE), state)
+        gone = None if touched is None else [*state["gone"], *touched]
+        if gone is None or len(gone) > MAX_GONE or len(gone) > GONE_SHARE * (total + len(state["gone"])):
+            part, index = self._stage_base(self._rows(state, parts, pending))
+            return {"base": [part], "gone": [], "index": {part: index}}
+        part, index = self._stage_base(self._rows(state, parts, pending, touched))
+        return {"base": [*state["base"], part], "gone": gone, "index": {**state["index"], part: index}}
+
     def upsert(self, part: str, updates: int, inserted: int, versions: dict[str, str] | None = None) -> int:
         """Show a staged part of ``updates`` rows, ``inserted`` of them new. Returns the row count.
 
@@ -95,14 +162,14 @@ class MergedTable:
         """
         number, state = self._state()
         parts, pending = [*state["parts"], part], state["pending"] + updates
-        base, rows = state["base"], state["rows"] + inserted
+        base, rows = {k: state[k] for k in ("base", "gone", "index")}, state["rows"] + inserted
         if len(parts) >= MAX_PARTS or pending > self.cfg.compact_rows:
             parts = [self.stage(self._latest(parts))]
             pending = self._load(parts[0]).count()
         if pending > self.cfg.compact_rows:
-            base, parts, pending = self._stage_base(self._rows(base, parts, pending)), [], 0
+            base, parts, pending = self._compacted(state, parts, pending), [], 0
         self._publish(number, {
-            "generation": state["generation"], "base": base, "parts": parts, "pending": pending, "rows": rows,
+            "generation": state["generation"], **base, "parts": parts, "pending": pending, "rows": rows,
             "versions": state.get("versions", {}) if versions is None else versions})
         return rows
 
@@ -115,8 +182,9 @@ class MergedTable:
         versions = Window.partitionBy(RAW_FILE).orderBy(F.col(_SEQ).desc())
         return rows.withColumn("_rn", F.row_number().over(versions)).where("_rn = 1").drop("_rn", _SEQ)
 
-    def _rows(self, base: str, parts: list[str], pending: int) -> DataFrame:
-        rows = self._load(base)
+    def _rows(self, state: dict, parts: list[str], pending: int, only: list[str] | None = None) -> DataFrame:
+        """Base rows, of all files or of those named, after the pending parts."""
+        rows = self._base(state, only)
         if not parts:
             return rows
         new = self._latest(parts)
@@ -127,12 +195,11 @@ class MergedTable:
 
     def read(self) -> DataFrame:
         _, state = self._state()
-        return self._rows(state["base"], state["parts"], state["pending"])
+        return self._rows(state, state["parts"], state["pending"])
 
     def vacuum(self, keep: int = 2, grace: float = files.GRACE_SECONDS) -> int:
         """Delete folders that none of the newest ``keep`` manifests names and that are older than ``grace`` seconds."""
         used = set()
         for n in self.manifests.numbers()[-keep:]:
-            state = self.manifests.read(n)
-            used |= {state["base"], *state["parts"]}
+            used |= set(self._named(self._read(n)))
         return files.remove_stale(self.spark, self.root, used, grace)
