@@ -167,11 +167,11 @@ def metric_availability(merged: DataFrame, cfg: LedgerConfig, keys: list[str] |
 
 # --- trends -----------------------------------------------------------------
 
-_ORDER = ["DateTime", RAW_FILE, VALUE]
+ORDER = ["DateTime", RAW_FILE, VALUE]
 
 
 def _in_time(*partition: str) -> Window:
-    return Window.partitionBy(*partition).orderBy(*[F.col(c).asc_nulls_last() for c in _ORDER])
+    return Window.partitionBy(*partition).orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
 
 
 def _rolling(window: Window, cfg: LedgerConfig) -> list[Column]:
@@ -186,7 +186,16 @@ def _middle(values: Column) -> Column:
     return (F.get(values, low) + F.get(values, high)) / 2
 
 
-def _series(rows: DataFrame) -> DataFrame:
+def trend_points(merged: DataFrame, metrics: list[Metric]) -> DataFrame:
+    """The points that trends are made of: valid runs with a number, standards left out."""
+    return exclude_standards(_stack(_wide(merged, metrics), metrics))
+
+
+def as_named(rows: DataFrame) -> DataFrame:
+    return rows.withColumnRenamed(RAW_FILE, "Name")
+
+
+def as_series(rows: DataFrame) -> DataFrame:
     return rows.select(
         *GROUP, "DateTime", VALUE, F.col(RAW_FILE).alias("Name"), "FileType", "mode",
         "Median", "std", (F.col("Median") - F.col("std")).alias("Lower"), (F.col("Median") + F.col("std")).alias("Upper"),
@@ -197,7 +206,12 @@ def _trends_per_group(rows: DataFrame, cfg: LedgerConfig) -> DataFrame:
     """Trends where one task takes a whole group: one shuffle, one sort."""
     window = _in_time(*GROUP)
     whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sized = rows.select("*", F.count("*").over(whole).alias("n"), *_rolling(window, cfg))
+    return as_series(with_trends(rows.select("*", F.count("*").over(whole).alias("n")), cfg, window, whole))
+
+
+def with_trends(rows: DataFrame, cfg: LedgerConfig, window: Window, whole: Window) -> DataFrame:
+    """``rows`` with ``n`` (runs of the group) and their mode, Median and std; ``window`` has a group in order, ``whole`` all of it."""
+    sized = rows.select("*", *_rolling(window, cfg))
     # Only small groups feed the static numbers; the others contribute NULLs.
     small = F.when(F.col("n") < cfg.rolling_threshold, F.col(VALUE))
     both = sized.select(
@@ -206,12 +220,10 @@ def _trends_per_group(rows: DataFrame, cfg: LedgerConfig) -> DataFrame:
     )
     rolling = F.col("mode") == ROLLING
     static = F.col("mode") == STATIC
-    return _series(
-        both.withColumns({
-            "Median": F.when(rolling, _middle(F.col("_latest"))).when(static, F.col("_static_median")),
-            "std": F.when(rolling, F.col("std")).when(static, F.col("_static_std")),
-        })
-    )
+    return both.withColumns({
+        "Median": F.when(rolling, _middle(F.col("_latest"))).when(static, F.col("_static_median")),
+        "std": F.when(rolling, F.col("std")).when(static, F.col("_static_std")),
+    })
 
 
 def _rolling_in_chunks(rows: DataFrame, total: int, cfg: LedgerConfig) -> DataFrame:
@@ -222,7 +234,7 @@ def _rolling_in_chunks(rows: DataFrame, total: int, cfg: LedgerConfig) -> DataFr
     rows at the chunk edges, put together in order, give exactly their frames.
     """
     reach = cfg.rolling_width - 1
-    order = [F.col(c).asc_nulls_last() for c in [*GROUP, *_ORDER]]
+    order = [F.col(c).asc_nulls_last() for c in [*GROUP, *ORDER]]
     chunks = ordered_chunks(rows, order, total, cfg)
     window = _in_time(*GROUP, CHUNK)
     whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -231,7 +243,7 @@ def _rolling_in_chunks(rows: DataFrame, total: int, cfg: LedgerConfig) -> DataFr
     edges = placed.where((F.col("_pos") <= reach) | (F.col("_pos") > F.col("_size") - reach))
     in_order = Window.partitionBy(*GROUP).orderBy(CHUNK, "_pos")
     heads = edges.select("*", *_rolling(in_order, cfg)).where(F.col("_pos") <= reach)
-    return _series(
+    return as_series(
         inner.unionByName(heads)
         .withColumns({"Median": _middle(F.col("_latest")), "mode": F.lit(ROLLING)})
     )

@@ -12,10 +12,12 @@ from runledger.functions import quoted
 from runledger.operators import checks, detail, merge, metrics, projects, recent, reports, upsert
 from runledger.plans.fixtures import EVENT_CONFIG, EventSources
 from runledger.ledger import Ledger
+from runledger.plans import refresh
 from runledger.session import ensure_checkpoint_dir, materialised
 from runledger.sources import audit, export, files
 from runledger.sources.databases import SourceDatabase
 from runledger.sources.store import MergedTable
+from runledger.sources.trends import TrendTable
 from runledger.streaming import changes
 from runledger.streaming.ingest import ingest, start_refresh_stream
 from runledger.streaming.landing import land_version
@@ -228,6 +230,30 @@ def upsert_touched_files(spark, sf_dir):
     return plain(_stored(spark, "touched", build))
 
 
+@query
+def trends_after_refresh(spark, sf_dir):
+    """Stored trends that follow an upsert of the runs of some projects: new ones, and others with a new value or an error."""
+    def build(root: str) -> DataFrame:
+        now = materialised(merged_events(spark, sf_dir))
+        event = F.element_at(F.split("RawFileName", "_"), -1).cast("bigint")
+        some = F.col("ProjectID").like("%_B1") & F.col("RawFileName").isNotNull()
+        earlier = now.where(F.coalesce(~(some & (event % 6 == 0)), F.lit(True)))
+        earlier = earlier.withColumn("m.1", F.when(some & (event % 7 == 0), F.lit(0.0)).otherwise(F.col("`m.1`")))
+        earlier = earlier.withColumn("Error", F.when(some & (event % 11 == 0), F.lit("lost")).otherwise(F.col("Error")))
+        table, trends = MergedTable(spark, f"{root}/table", CFG), TrendTable(spark, f"{root}/trends", CFG)
+        table.replace(earlier, n_files=16)
+        trends.rebuild(table)
+        for k in (6, 7, 11):
+            part = table.stage(now.where(some & (event % k == 0)))
+            given = table.staged(part)
+            n = given.count()
+            known = table.rows_of(given.select("RawFileName"), n).count()
+            refresh.upsert_with_trends(table, part, n, n - known, trends)
+        return trends.read()
+
+    return rounded(_stored(spark, "trends", build), *_TREND_FLOATS)
+
+
 @query
 def export_roundtrip(spark, sf_dir):
     """All projects exported as CSV and read again."""

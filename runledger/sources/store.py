@@ -133,6 +133,17 @@ class MergedTable:
         rows = self._base(state, only).select(RAW_FILE)
         return rows.unionByName(self._load(*state["parts"]).select(RAW_FILE)).distinct() if state["parts"] else rows
 
+    def rows_of(self, keys: DataFrame, n: int) -> DataFrame:
+        """The table's rows of the given files (RAW_FILE, unique, ``n`` of them), from the files that may hold them."""
+        _, state = self._state()
+        rows = self._rows(state, state["parts"], state["pending"], self.touched_files(keys, state)[0])
+        return rows.join(bounded(keys, n, self.cfg), RAW_FILE, "left_semi").select(*[quoted(c) for c in rows.columns])
+
+    @property
+    def number(self) -> int:
+        """Number of the manifest that counts; it rises with every change."""
+        return self._state()[0]
+
     def replace(self, merged: DataFrame, versions: dict[str, str] | None = None, n_files: int | None = None) -> int:
         """Full build. A file name that occurs twice fails it and leaves the table as it was."""
         part, index = self._stage_base(merged, n_files)
