@@ -370,3 +370,4 @@ ORACLE["export_roundtrip"] = f"""
     SELECT "RawFileName", nullif("ProjectID", '') AS "ProjectID", CAST("Date" AS varchar) AS "Date", "FileType", coalesce('id:' || "ProjectID", 'none') AS folder
     FROM ({ORACLE["merged"]})"""
 ORACLE["trends_after_refresh"] = ORACLE["metric_trends"]
+ORACLE["edited_sources_stored"] = ORACLE["merged"]

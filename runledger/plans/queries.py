@@ -19,7 +19,7 @@ from runledger.sources.databases import SourceDatabase
 from runledger.sources.store import MergedTable
 from runledger.sources.trends import TrendTable
 from runledger.streaming import changes
-from runledger.streaming.ingest import ingest, start_refresh_stream
+from runledger.streaming.ingest import ingest, start_edit_stream, start_refresh_stream
 from runledger.streaming.landing import land_version
 
 CFG = EVENT_CONFIG
@@ -213,6 +213,27 @@ def stream_refresh_stored(spark, sf_dir):
     return plain(_stored(spark, "stream", build))
 
 
+@query
+def edited_sources_stored(spark, sf_dir):
+    """Sources written over in place, found by the stream over listings, and taken by one refresh."""
+    def build(root: str) -> DataFrame:
+        def write(s: EventSources) -> None:
+            for name, tables in _tables(s).items():
+                for table, df in tables.items():
+                    df.write.mode("overwrite").parquet(f"{root}/in/{name}/{table}")
+
+        s = _sources(spark, sf_dir)
+        source = lambda n: SourceDatabase(n, f"{root}/in/{n}")
+        ledger = Ledger(spark, f"{root}/ledger", [source("ra"), source("rb")], source("meta"), CFG)
+        write(_earlier(s))
+        ledger.bootstrap()
+        write(s)
+        start_edit_stream(ledger, f"{root}/stream", available_now=True).awaitTermination()
+        return ledger.merged()
+
+    return plain(_stored(spark, "edited", build))
+
+
 @query
 def upsert_touched_files(spark, sf_dir):
     """One project's runs taken into a stored table of many files; only the files that may hold them are written anew."""

@@ -11,7 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from runledger.ledger import Ledger
 from runledger.streaming.changes import METADATA, REPORT, UNKNOWN, registry_frame, route_changes
+from runledger.sources.files import qualified
+from runledger.streaming.edits import listed_path, watch_edits
 from runledger.streaming.landing import source_path
+from runledger.streaming.quiet import QUIET_MS, after_quiet
 
 log = logging.getLogger(__name__)
 
@@ -42,8 +45,15 @@ def change_handler(ledger: Ledger, landing: str) -> Callable[[DataFrame, int], N
     it is copied once and the table refreshed once. A failure fails the query;
     the batch is replayed from the checkpoint, and an upsert by key may run twice.
     """
-    roles = {s.name: REPORT for s in ledger.reports} | {ledger.metadata.name: METADATA}
-    registry = {source_path(ledger.spark, landing, name): (name, role) for name, role in roles.items()}
+    return registry_handler(ledger, {source_path(ledger.spark, landing, name): (name, role) for name, role in source_roles(ledger).items()})
+
+
+def source_roles(ledger: Ledger) -> dict[str, str]:
+    return {s.name: REPORT for s in ledger.reports} | {ledger.metadata.name: METADATA}
+
+
+def registry_handler(ledger: Ledger, registry: dict[str, tuple[str, str]]) -> Callable[[DataFrame, int], None]:
+    """The same for any registry from path to (source, role)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         routed = route_changes(batch.select("path"), registry_frame(ledger.spark, registry))
@@ -84,4 +94,33 @@ def ingest(ledger: Ledger, landing: str, checkpoint: str, available_now: bool =
     return start_refresh_stream(ledger, landing, checkpoint, available_now)
 
 
-__all__ = ["change_handler", "ingest", "start_refresh_stream", "watch_sources"]
+def watched_paths(ledger: Ledger) -> dict[str, tuple[str, str]]:
+    """Where the files of each source that can change in place begin, as listings name them, with its name and role."""
+    roles = source_roles(ledger)
+    return {listed_path(qualified(ledger.spark, s.location)): (s.name, roles[s.name]) for s in ledger.sources if not s.immutable}
+
+
+def start_edit_stream(
+    ledger: Ledger, checkpoint: str, quiet_ms: int | None = QUIET_MS, available_now: bool = False, poll: str | None = None
+) -> StreamingQuery:
+    """Refresh whenever files of the sources are written over in place.
+
+    Sources may be folders of files or single files. A source counts once it has been quiet for ``quiet_ms``, so a burst of writes
+    costs one refresh; with None, and with ``available_now``, every difference counts at once.
+    """
+    registry = watched_paths(ledger)
+    folders = [s.location if s.format != "sqlite" else s.location.rsplit("/", 1)[0] for s in ledger.sources if not s.immutable]
+    events = watch_edits(ledger.spark, sorted(set(folders)), recursive=True)
+    # One condition for each configured source; of nested ones the longer path counts.
+    source = F.coalesce(*[F.when(F.col("path").startswith(p), F.lit(p)) for p in sorted(registry, key=len, reverse=True)], F.col("path"))
+    events = events.select(source.alias("path"), "modified")
+    if quiet_ms is not None and not available_now:
+        events = after_quiet(ledger.spark, events, quiet_ms)
+    trigger = {"availableNow": True} if available_now else {"processingTime": poll or f"{ledger.cfg.polling_seconds} seconds"}
+    return (
+        events.writeStream.foreachBatch(registry_handler(ledger, registry)).outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
+
+
+__all__ = ["change_handler", "ingest", "start_edit_stream", "start_refresh_stream", "watch_sources"]
