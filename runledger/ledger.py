@@ -66,10 +66,10 @@ class Ledger:
 
     # --- refresh --------------------------------------------------------------
 
-    def refresh(self, n: int | None = None, full: bool = False) -> RefreshResult | None:
+    def refresh(self, n: int | None = None, full: bool = False, step: tuple[str, int] | None = None) -> RefreshResult | None:
         """Upsert all that changed in the working copies, and the newest ``n`` samples of each source if asked; or build anew."""
         reports = [self.working(s) for s in self.reports]
-        return refresh(self.table, reports, self.working(self.metadata), n, full)
+        return refresh(self.table, reports, self.working(self.metadata), n, full, step)
 
     def bootstrap(self) -> RefreshResult | None:
         """Check and copy the sources and build the merged table."""

@@ -371,3 +371,20 @@ ORACLE["export_roundtrip"] = f"""
     FROM ({ORACLE["merged"]})"""
 ORACLE["trends_after_refresh"] = ORACLE["metric_trends"]
 ORACLE["edited_sources_stored"] = ORACLE["merged"]
+ORACLE["validation_outcomes"] = _with(_SOURCES, body="""
+    SELECT 'ra' AS "source", 'SingleFileReport' AS "table", 'ok' AS state, (SELECT count(*) FROM report_a) AS n_rows, false AS failed
+    UNION ALL SELECT 'rb', 'SingleFileReport', 'missing', NULL, true
+    UNION ALL SELECT 'rc', 'SingleFileReport', 'absent', NULL, true
+    UNION ALL SELECT 'meta', 'Metadata_Project', 'missing', NULL, true
+    UNION ALL SELECT 'meta', 'Metadata_Sample', 'ok', (SELECT count(*) FROM sample_meta), true""")
+ORACLE["audit_history"] = _merged("""
+    SELECT * , row_count - lag(row_count) OVER (ORDER BY refresh) AS gained, 'meta,ra,rb' AS sources FROM (
+        SELECT 1::BIGINT AS refresh, count(*) FILTER (event % 6 <> 0) AS row_count FROM (SELECT CAST(string_split("RawFileName", '_')[-1] AS BIGINT) AS event FROM merged)
+        UNION ALL SELECT 2, count(*) FILTER (event % 12 <> 0) FROM (SELECT CAST(string_split("RawFileName", '_')[-1] AS BIGINT) AS event FROM merged)
+        UNION ALL SELECT 3, count(*) FROM merged)""")
+ORACLE["report_tables_all"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS section, count(*) AS n, round(sum(CAST({what} AS DOUBLE)), 6) AS total FROM ({ORACLE[source]}) WHERE "ProjectID" = 'P1_click_B1'"""
+    for name, source, what in (
+        ("overview", "project_overview", "n_valid"), ("detail", "project_detail", "n_runs"), ("errors", "error_table", "1"),
+        ("metrics", "metric_report", "n_points"), ("points", "metric_long", "value"), ("series", "series_by_type", "n_points"),
+        ("trends", "metric_trends", '"Median"')))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from runledger.operators import checks, detail, merge, metrics, projects, recent
 from runledger.plans.fixtures import EVENT_CONFIG, EventSources
 from runledger.ledger import Ledger
 from runledger.plans import refresh
+from runledger.plans.reports import report_tables
 from runledger.session import ensure_checkpoint_dir, materialised
-from runledger.sources import audit, export, files
+from runledger.sources import audit, databases, export, files
 from runledger.sources.databases import SourceDatabase
 from runledger.sources.store import MergedTable
 from runledger.sources.trends import TrendTable
@@ -213,6 +215,52 @@ def stream_refresh_stored(spark, sf_dir):
     return plain(_stored(spark, "stream", build))
 
 
+@query
+def validation_outcomes(spark, sf_dir):
+    """A complete source, one without its table, metadata of which one table is missing, and a source that is not there."""
+    def build(root: str) -> DataFrame:
+        t = _tables(_sources(spark, sf_dir))
+        t["ra"]["SingleFileReport"].write.parquet(f"{root}/in/ra/SingleFileReport")
+        t["rb"]["SingleFileReport"].write.parquet(f"{root}/in/rb/OtherReport")
+        t["meta"]["Metadata_Sample"].write.parquet(f"{root}/in/meta/Metadata_Sample")
+        source = lambda n: SourceDatabase(n, f"{root}/in/{n}")
+        found = databases.validation_outcomes(spark, CFG, [source("ra"), source("rb"), source("rc")], source("meta"))
+        return found.select("source", "table", "state", "n_rows", F.col("error").isNotNull().alias("failed"))
+
+    return _stored(spark, "validation", build)
+
+
+@query
+def audit_history(spark, sf_dir):
+    """The log of a build and two refreshes, the last step of which is replayed."""
+    def build(root: str) -> DataFrame:
+        s, ledger = _sources(spark, sf_dir), _landed_ledger(spark, root)
+        _land(spark, root, 1, _earlier(s))
+        ledger.bootstrap()
+        _land(spark, root, 2, EventSources(s.events.where("event_id % 12 != 0")))
+        ledger.refresh(step=("stream", 0))
+        _land(spark, root, 3, s)
+        ledger.refresh(step=("stream", 1))
+        ledger.refresh(step=("stream", 1))
+        in_time = Window.orderBy("updated_at", "row_count")  # one row for each refresh
+        names = F.map_keys(F.from_json("source_mtimes", "map<string,string>"))
+        return ledger.audit().select(
+            F.row_number().over(in_time).cast("bigint").alias("refresh"), "row_count", (F.col("row_count") - F.lag("row_count").over(in_time)).alias("gained"),
+            F.array_join(F.sort_array(names), ",").alias("sources"))
+
+    return _stored(spark, "audit", build)
+
+
+@query
+def report_tables_all(spark, sf_dir):
+    """The tables of a project page by their sizes and a sum over each."""
+    tables = report_tables(materialised(merged_events(spark, sf_dir)), "P1_click_B1", CFG, match="exact")
+    sums = {"overview": "n_valid", "detail": "n_runs", "errors": "1", "metrics": "n_points", "points": "value", "series": "n_points", "trends": "Median"}
+    parts = [tables[name].agg(F.count("*").alias("n"), F.round(F.sum(F.expr(what).cast("double")), 6).alias("total")).select(F.lit(name).alias("section"), "n", "total")
+             for name, what in sums.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query
 def edited_sources_stored(spark, sf_dir):
     """Sources written over in place, found by the stream over listings, and taken by one refresh."""

@@ -18,7 +18,7 @@ from runledger.operators.merge import PROJECT_ID, RAW_FILE, SAMPLE_ID, merge_sou
 from runledger.operators.recent import RECENT_ID, recent_samples
 from runledger.operators.upsert import bounded, dedup_upserts, fit_target, recent_merge
 from runledger.session import materialised, temporary_tables
-from runledger.sources.audit import AuditLog
+from runledger.sources.audit import AuditLog, entry
 from runledger.sources.databases import PinnedSource, SourceDatabase, read_project_meta, read_reports, read_sample_meta, source_mtimes
 from runledger.sources.store import MergedTable
 from runledger.sources.trends import TrendTable
@@ -102,21 +102,21 @@ def audit_log(table: MergedTable) -> AuditLog:
     return AuditLog(table.spark, table.root, table.generation)
 
 
-def full_refresh(table: MergedTable, inputs: Inputs, mtimes: DataFrame) -> RefreshResult:
+def full_refresh(table: MergedTable, inputs: Inputs, mtimes: DataFrame, step: tuple[str, int] | None = None) -> RefreshResult:
     """Build the merged table anew and start a new refresh log.
 
     One lazy plan, one write. The uniqueness check reads only the key column of
     what was written; the old table stays in place if it fails.
     """
     before = table.row_count() if table.exists() else 0
-    rows = table.replace(merge_sources(inputs.reports, inputs.samples, inputs.projects, table.cfg), inputs.versions)
-    audit_log(table).append(mtimes, rows)
+    merged = merge_sources(inputs.reports, inputs.samples, inputs.projects, table.cfg)
+    rows = table.replace(merged, inputs.versions, audit=entry(mtimes), step=step)
     return RefreshResult(True, before, rows, 0, rows, 0)
 
 
 def incremental_refresh(
     table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int | None = None, changed: DataFrame | None = None,
-    trends: TrendTable | None = None,
+    trends: TrendTable | None = None, step: tuple[str, int] | None = None,
 ) -> RefreshResult | None:
     """Upsert every sample that changed; None, and no log entry, when there are none.
 
@@ -125,11 +125,12 @@ def incremental_refresh(
     samples before the joins; the list of them is broadcast only when it is short. ``trends`` are brought up to date with the table.
     """
     with temporary_tables(table.spark):
-        return _incremental_refresh(table, inputs, mtimes, n, changed, trends)
+        return _incremental_refresh(table, inputs, mtimes, n, changed, trends, step)
 
 
 def _incremental_refresh(
-    table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int | None, changed: DataFrame | None, trends: TrendTable | None
+    table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int | None, changed: DataFrame | None, trends: TrendTable | None,
+    step: tuple[str, int] | None,
 ) -> RefreshResult | None:
     cfg = table.cfg
     looked = inputs.all_samples(cfg) if changed is None else changed
@@ -148,31 +149,36 @@ def _incremental_refresh(
     # Updates are unique by file and every file is in the list of recent samples.
     known = table.holding(given.select(RAW_FILE)).where(F.col(RAW_FILE).isNotNull())
     updated = known.join(bounded(given.select(RAW_FILE), updates, cfg), RAW_FILE, "left_semi").count()
-    rows = upsert_with_trends(table, part, updates, updates - updated, trends, inputs.versions)
-    audit_log(table).append(mtimes, rows)
+    rows = upsert_with_trends(table, part, updates, updates - updated, trends, inputs.versions, entry(mtimes), step)
     return RefreshResult(False, before, rows, updated, updates - updated, samples)
 
 
 def upsert_with_trends(
-    table: MergedTable, part: str, updates: int, inserted: int, trends: TrendTable | None = None, versions: dict[str, str] | None = None
+    table: MergedTable, part: str, updates: int, inserted: int, trends: TrendTable | None = None, versions: dict[str, str] | None = None,
+    audit: dict | None = None, step: tuple[str, int] | None = None,
 ) -> int:
     """Upsert a staged part, then bring ``trends`` up to date from the rows replaced and brought. Returns the row count."""
     if trends is None:
-        return table.upsert(part, updates, inserted, versions)
+        return table.upsert(part, updates, inserted, versions, audit, step)
     given = table.staged(part)
     known = given.where(F.col(RAW_FILE).isNotNull()).select(RAW_FILE)
     before, held = materialised(table.rows_of(known, updates)), table.number
-    rows = table.upsert(part, updates, inserted, versions)
+    rows = table.upsert(part, updates, inserted, versions, audit, step)
     trends.follow(table, held, before, given)
     return rows
 
 
 def refresh(
-    table: MergedTable, reports: list[SourceDatabase], metadata: SourceDatabase, n: int | None = None, full: bool = False
+    table: MergedTable, reports: list[SourceDatabase], metadata: SourceDatabase, n: int | None = None, full: bool = False,
+    step: tuple[str, int] | None = None,
 ) -> RefreshResult | None:
+    """Build anew or upsert what changed. A ``step`` (stream, number) that the table has done before is not done again."""
     spark = table.spark
+    if table.has_done(step):
+        log.info("step %s is done", step)
+        return None
     inputs = Inputs.load(spark, reports, metadata, table.cfg)
     mtimes = source_mtimes(spark, [*reports, metadata])
     if full:
-        return full_refresh(table, inputs, mtimes)
-    return incremental_refresh(table, inputs, mtimes, n, inputs.changed_samples(spark, reports, metadata, table))
+        return full_refresh(table, inputs, mtimes, step)
+    return incremental_refresh(table, inputs, mtimes, n, inputs.changed_samples(spark, reports, metadata, table), step=step)

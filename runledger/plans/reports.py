@@ -9,6 +9,7 @@ from runledger.config import LedgerConfig
 from runledger.operators import metrics
 from runledger.operators.detail import in_first_seen_order, project_detail
 from runledger.operators.projects import error_table, project_filter, project_overview, time_order
+from runledger.session import materialised
 
 
 def metric_sections(rows: DataFrame, cfg: LedgerConfig, keys: list[str] | None = None) -> DataFrame:
@@ -19,7 +20,7 @@ def metric_sections(rows: DataFrame, cfg: LedgerConfig, keys: list[str] | None =
 def report_tables(
     merged: DataFrame, project: str, cfg: LedgerConfig, keys: list[str] | None = None, match: str = "like"
 ) -> dict[str, DataFrame]:
-    """Everything a project page shows, as lazy tables.
+    """Everything a project page shows, as lazy tables over one stored slice: the table is read once for all of them.
 
     ``errors`` is empty for a project without failed runs. With ``match="like"``
     a name with wildcards may take in several projects, as one slice.
@@ -27,6 +28,7 @@ def report_tables(
     rows = project_filter(merged, project, match)
     if match == "like":
         rows = rows.withColumn("ProjectID", F.lit(project))
+    rows = materialised(rows)
     long = metrics.metric_long(rows, cfg, keys)
     trends = metrics.metric_trends(rows, cfg, keys)
     return {

@@ -19,22 +19,29 @@ def mtimes_json(mtimes: DataFrame) -> DataFrame:
     return mtimes.agg(F.to_json(F.map_from_entries(entries)).alias("source_mtimes"))
 
 
+def entry(mtimes: DataFrame) -> dict[str, str]:
+    """What a refresh notes beside the row count: its time, and the change times of its sources. One row for any sources."""
+    row = mtimes_json(mtimes).select(F.localtimestamp().cast("string").alias("updated_at"), "source_mtimes").first()
+    return row.asDict()
+
+
 class AuditLog:
-    """Append-only rows, one folder per full build: a full build starts the log anew."""
+    """The refreshes since the last full build, which starts the log anew.
 
-    def __init__(self, spark: SparkSession, root: str, generation: str) -> None:
-        self.spark = spark
-        self.path = f"{root.rstrip('/')}/audit/{generation.replace('/', '-')}"
+    An entry is a part of the manifest that shows the refreshed table, so table and log change together or not at all.
+    """
 
-    def append(self, mtimes: DataFrame, row_count: int) -> None:
-        row = mtimes_json(mtimes).select(
-            F.localtimestamp().alias("updated_at"), "source_mtimes", F.lit(row_count).cast("bigint").alias("row_count"))
-        row.coalesce(1).write.mode("append").parquet(self.path)
+    def __init__(self, spark: SparkSession, root: str, generation: str) -> None:
+        self.spark, self.generation = spark, generation
+        self.folder = f"{root.rstrip('/')}/manifests"
 
     def read(self) -> DataFrame:
-        if not files.exists(self.spark, self.path):
+        if not files.exists(self.spark, self.folder):
             return self.spark.createDataFrame([], AUDIT_SCHEMA)
-        return self.spark.read.schema(AUDIT_SCHEMA).parquet(self.path)
+        manifests = self.spark.read.option("multiLine", True).schema(
+            "generation string, rows bigint, audit struct<updated_at: string, source_mtimes: string>").json(f"{self.folder}/*.json")
+        own = manifests.where((F.col("generation") == self.generation) & F.col("audit").isNotNull())
+        return own.select(F.col("audit.updated_at").cast("timestamp_ntz").alias("updated_at"), "audit.source_mtimes", F.col("rows").alias("row_count"))
 
 
 def latest_refresh(audit: DataFrame) -> DataFrame:

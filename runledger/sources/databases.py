@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -140,18 +141,60 @@ class PinnedSource:
         return spark.read.parquet(self.paths[table])
 
 
+OK, ABSENT, UNREADABLE, MISSING = "ok", "absent", "unreadable", "missing"
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What a check of a source found: the state of each required table, and why."""
+
+    source: str
+    states: Mapping[str, str]
+    error: Exception | None = None
+
+    @classmethod
+    def of(cls, spark: SparkSession, source: SourceDatabase, required: tuple[str, ...]) -> Outcome:
+        if not source.exists(spark):
+            lost = FileNotFoundError(f"{source.name} not found at {source.location}; check the source settings")
+            return cls(source.name, dict.fromkeys(required, ABSENT), lost)
+        try:
+            found = source.tables(spark)
+        except Exception as e:
+            unread = ValueError(f"{source.name} at {source.location} cannot be read: {e}")
+            unread.__cause__ = e
+            return cls(source.name, dict.fromkeys(required, UNREADABLE), unread)
+        states = {t: OK if t in found else MISSING for t in required}
+        lacking = [t for t in required if t not in found]
+        return cls(source.name, states, ValueError(
+            f"{source.name} lacks required tables {lacking}; found {found}, required {list(required)}, at {source.location}") if lacking else None)
+
+
 def validate_source(spark: SparkSession, source: SourceDatabase, required: tuple[str, ...]) -> None:
     """Fail unless the source is there and has all required tables."""
-    if not source.exists(spark):
-        raise FileNotFoundError(f"{source.name} not found at {source.location}; check the source settings")
-    try:
-        found = source.tables(spark)
-    except Exception as e:
-        raise ValueError(f"{source.name} at {source.location} cannot be read: {e}") from e
-    missing = [t for t in required if t not in found]
-    if missing:
-        raise ValueError(
-            f"{source.name} lacks required tables {missing}; found {found}, required {list(required)}, at {source.location}")
+    if error := Outcome.of(spark, source, required).error:
+        raise error
+
+
+def validation_outcomes(
+    spark: SparkSession, cfg: LedgerConfig, reports: list[SourceDatabase], metadata: SourceDatabase | None = None
+) -> DataFrame:
+    """source, table, state, n_rows, error: one row for every required table of every source, and nothing raised.
+
+    ``n_rows`` counts the table where it is there; all tables are counted by one job.
+    """
+    asked = [(s, cfg.report_tables) for s in reports] + ([(metadata, cfg.metadata_tables)] if metadata else [])
+    rows, counts = [], []
+    for source, required in asked:
+        outcome = Outcome.of(spark, source, required)
+        for table, state in outcome.states.items():
+            rows.append((source.name, table, state, str(outcome.error) if outcome.error else None))
+            if state == OK:
+                counted = source.read(spark, table).agg(F.count("*").alias("n_rows"))
+                counts.append(counted.select(F.lit(source.name).alias("source"), F.lit(table).alias("table"), "n_rows"))
+    told = spark.createDataFrame(rows, "source string, table string, state string, error string")
+    if not counts:
+        return told.select("source", "table", "state", F.lit(None).cast("bigint").alias("n_rows"), "error")
+    return told.join(reduce(lambda a, b: a.unionByName(b), counts), ["source", "table"], "left").select("source", "table", "state", "n_rows", "error")
 
 
 def validate_sources(

@@ -144,7 +144,20 @@ class MergedTable:
         """Number of the manifest that counts; it rises with every change."""
         return self._state()[0]
 
-    def replace(self, merged: DataFrame, versions: dict[str, str] | None = None, n_files: int | None = None) -> int:
+    def has_done(self, step: tuple[str, int] | None) -> bool:
+        """Has this step (stream, number) or a later one of the stream changed the table already?"""
+        return step is not None and self.exists() and self._state()[1].get("steps", {}).get(step[0], -1) >= step[1]
+
+    @staticmethod
+    def _noted(state: dict, audit: dict | None, step: tuple[str, int] | None) -> dict:
+        """The entry of the refresh log, and the last step of every stream."""
+        steps = {**state.get("steps", {}), **({step[0]: step[1]} if step else {})}
+        return {"audit": audit, "steps": steps}
+
+    def replace(
+        self, merged: DataFrame, versions: dict[str, str] | None = None, n_files: int | None = None, audit: dict | None = None,
+        step: tuple[str, int] | None = None,
+    ) -> int:
         """Full build. A file name that occurs twice fails it and leaves the table as it was."""
         part, index = self._stage_base(merged, n_files)
         rows = self._load(part)
@@ -153,7 +166,7 @@ class MergedTable:
         latest = self.manifests.latest()
         self._publish(latest[0] if latest else 0, {
             "generation": part, "base": [part], "gone": [], "index": {part: index}, "parts": [], "pending": 0, "rows": number,
-            "versions": versions or {}})
+            "versions": versions or {}, **self._noted(latest[1] if latest else {}, audit, step)})
         return number
 
     def _compacted(self, state: dict, parts: list[str], pending: int) -> dict:
@@ -166,10 +179,14 @@ class MergedTable:
         part, index = self._stage_base(self._rows(state, parts, pending, touched))
         return {"base": [*state["base"], part], "gone": gone, "index": {**state["index"], part: index}}
 
-    def upsert(self, part: str, updates: int, inserted: int, versions: dict[str, str] | None = None) -> int:
+    def upsert(
+        self, part: str, updates: int, inserted: int, versions: dict[str, str] | None = None, audit: dict | None = None,
+        step: tuple[str, int] | None = None,
+    ) -> int:
         """Show a staged part of ``updates`` rows, ``inserted`` of them new. Returns the row count.
 
-        ``versions`` are those of the sources after this; without them the earlier ones stay.
+        ``versions`` are those of the sources after this; without them the earlier ones stay. ``audit`` is noted in the refresh
+        log, and ``step`` as done, by the same manifest.
         """
         number, state = self._state()
         parts, pending = [*state["parts"], part], state["pending"] + updates
@@ -181,7 +198,7 @@ class MergedTable:
             base, parts, pending = self._compacted(state, parts, pending), [], 0
         self._publish(number, {
             "generation": state["generation"], **base, "parts": parts, "pending": pending, "rows": rows,
-            "versions": state.get("versions", {}) if versions is None else versions})
+            "versions": state.get("versions", {}) if versions is None else versions, **self._noted(state, audit, step)})
         return rows
 
     def _latest(self, parts: list[str]) -> DataFrame:

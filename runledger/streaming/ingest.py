@@ -38,21 +38,22 @@ def watch_sources(spark: SparkSession, landing: str) -> DataFrame:
     )
 
 
-def change_handler(ledger: Ledger, landing: str) -> Callable[[DataFrame, int], None]:
+def change_handler(ledger: Ledger, landing: str, stream: str | None = None) -> Callable[[DataFrame, int], None]:
     """What happens to a micro-batch of events.
 
     The batch is the unit of coalescing: however often a source changed in it,
-    it is copied once and the table refreshed once. A failure fails the query;
-    the batch is replayed from the checkpoint, and an upsert by key may run twice.
+    it is copied once and the table refreshed once. A failure fails the query, and
+    the batch is replayed from the checkpoint. With the name of the ``stream`` the table
+    knows the batches it holds, and takes none twice.
     """
-    return registry_handler(ledger, {source_path(ledger.spark, landing, name): (name, role) for name, role in source_roles(ledger).items()})
+    return registry_handler(ledger, {source_path(ledger.spark, landing, name): (name, role) for name, role in source_roles(ledger).items()}, stream)
 
 
 def source_roles(ledger: Ledger) -> dict[str, str]:
     return {s.name: REPORT for s in ledger.reports} | {ledger.metadata.name: METADATA}
 
 
-def registry_handler(ledger: Ledger, registry: dict[str, tuple[str, str]]) -> Callable[[DataFrame, int], None]:
+def registry_handler(ledger: Ledger, registry: dict[str, tuple[str, str]], stream: str | None = None) -> Callable[[DataFrame, int], None]:
     """The same for any registry from path to (source, role)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -69,7 +70,7 @@ def registry_handler(ledger: Ledger, registry: dict[str, tuple[str, str]]) -> Ca
             return
         if not ledger.sync([s for s in ledger.sources if s.name in changed]):
             raise RuntimeError(f"batch {batch_id}: not all of {sorted(changed)} could be copied")
-        ledger.refresh(full=not ledger.table.exists())
+        ledger.refresh(full=not ledger.table.exists(), step=(stream, batch_id) if stream else None)
 
     return handle
 
@@ -81,7 +82,7 @@ def start_refresh_stream(
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{ledger.cfg.polling_seconds} seconds"}
     return (
         watch_sources(ledger.spark, landing)
-        .writeStream.foreachBatch(change_handler(ledger, landing))
+        .writeStream.foreachBatch(change_handler(ledger, landing, checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
@@ -118,7 +119,7 @@ def start_edit_stream(
         events = after_quiet(ledger.spark, events, quiet_ms)
     trigger = {"availableNow": True} if available_now else {"processingTime": poll or f"{ledger.cfg.polling_seconds} seconds"}
     return (
-        events.writeStream.foreachBatch(registry_handler(ledger, registry)).outputMode("append")
+        events.writeStream.foreachBatch(registry_handler(ledger, registry, checkpoint)).outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 

@@ -129,3 +129,17 @@ def test_change_times(spark, tmp_path, lab):
                SourceDatabase("dir", folder(spark, tmp_path / "d", "t"))]
     got = {r["source"]: r["mtime"] for r in source_mtimes(spark, sources).collect()}
     assert got["lab"] is not None and got["dir"] is not None and got["gone"] is None
+
+
+def test_outcomes_name_every_table(spark, tmp_path):
+    from runledger.sources.databases import Outcome, validation_outcomes
+
+    spark.range(3).write.parquet(str(tmp_path / "a" / "SingleFileReport"))
+    spark.range(2).write.parquet(str(tmp_path / "meta" / "Metadata_Sample"))
+    a, meta, gone = (SourceDatabase(n, str(tmp_path / n)) for n in ("a", "meta", "gone"))
+    cfg = LedgerConfig()
+    got = {(r.source, r.table): (r.state, r.n_rows, r.error is None) for r in validation_outcomes(spark, cfg, [a, gone], meta).collect()}
+    assert got == {("a", "SingleFileReport"): ("ok", 3, True), ("gone", "SingleFileReport"): ("absent", None, False),
+                   ("meta", "Metadata_Project"): ("missing", None, False), ("meta", "Metadata_Sample"): ("ok", 2, False)}
+    assert validation_outcomes(spark, cfg, [gone]).first().state == "absent" and validation_outcomes(spark, cfg, []).isEmpty()
+    assert isinstance(Outcome.of(spark, gone, ("x",)).error, FileNotFoundError) and Outcome.of(spark, a, ("SingleFileReport",)).error is None

@@ -89,3 +89,24 @@ def test_ingest_copies_mutable_sources_first(spark, tmp_path):
     q.awaitTermination(60)
     assert ledger.merged().count() == 1
     assert ledger.working(ledger.reports[0]).tables(spark) == ["SingleFileReport"]
+
+
+def test_replayed_batch_adds_no_entry_to_the_log(spark, tmp_path):
+    root = str(tmp_path / "landing")
+    land(spark, root, "one", 1, [("a_b_c_1", 1.0, 1.0)])
+    land_meta(spark, root, 1, [])
+    ledger = Ledger(spark, str(tmp_path / "root"), SourceDatabase("one", root, LANDED), SourceDatabase("meta", root, LANDED), CFG)
+    handle = ingest.change_handler(ledger, root, "stream")
+    batch = spark.createDataFrame([(landing.source_path(spark, root, "one"), dt.datetime(2024, 1, 1))], "path string, modified timestamp")
+    handle(batch, 0)
+    land(spark, root, "one", 2, [("a_b_c_1", 1.0, 2.0)])
+    handle(batch, 1)
+    before = ledger.table.number, rows(ledger.audit(), "row_count")
+    handle(batch, 1)  # the table was shown, but the checkpoint not written
+    assert (ledger.table.number, rows(ledger.audit(), "row_count")) == before and len(before[1]) == 2
+    # Another stream has steps of its own, and a full build keeps what is done but starts the log anew.
+    land(spark, root, "one", 3, [("a_b_c_1", 1.0, 3.0)])
+    ingest.change_handler(ledger, root, "other")(batch, 0)
+    assert ledger.audit().count() == 3 and ledger.merged().first()["Metric"] == 3.0
+    ledger.refresh(full=True)
+    assert ledger.audit().count() == 1 and ledger.table.has_done(("stream", 1)) and not ledger.table.has_done(("stream", 2))
