@@ -13,17 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.frames import filter_texts, map_texts
+from runledger.session import materialised
 
 WINDOW = 64
 HIDDEN = 6
 #: The training sample has about this many documents of a language, and this many characters of each at most.
 SAMPLE_DOCS = 500
 SAMPLE_CHARS = 1024
-MAX_LANGS = 64
+#: Documents of the sample in all; where there are more languages than give each SAMPLE_DOCS, each gets fewer.
+SAMPLE_TOTAL = 32_000
 STEPS = 500
 BATCH = 256
 UNKNOWN = "und"
@@ -208,23 +210,28 @@ class ByteGru:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, steps: int = STEPS) -> ByteGru | None:
     """Train on a sample of the labelled documents that are not held out; None when there are none.
 
-    The sample, ``sample_docs`` documents of each language by hash and ``sample_chars`` characters of each,
-    has the same size for every table. Counts of the languages are taken over all rows. Of more than MAX_LANGS languages
-    the most frequent train; documents of the others get one of these as lang_pred, which is wrong.
+    The sample is ``sample_docs`` documents of each language by hash of doc_id and text, and ``sample_chars`` characters of each
+    from a hashed start, but no more than SAMPLE_TOTAL documents in all. Counts of the languages are taken over all rows, and every
+    language has its part of the sample; only where there are more languages than SAMPLE_TOTAL, some have none.
     """
     known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    counts = materialised(known.groupBy("lang").agg(F.count("*").alias("_n")))
+    n_langs = counts.count()
+    if not n_langs:
+        return None
+    each = max(1, min(sample_docs, SAMPLE_TOTAL // n_langs))
+    unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    start = F.pmod(F.xxhash64("doc_id", F.lit("start"), "text"), F.greatest(F.length("text") - sample_chars, F.lit(1))).cast("int") + 1
+    drawn = known.join(counts, "lang").where(unit <= F.least(F.lit(1.0), F.lit(1.5 * each + 8) / F.col("_n")))
+    drawn = drawn.select("lang", F.substring(F.col("text"), start, F.lit(sample_chars)).alias("text"), unit.alias("u"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    rows = drawn.withColumn("_nth", nth).where(F.col("_nth") <= each).orderBy("_nth", "lang").limit(SAMPLE_TOTAL).collect()
+    by: dict[str, list[bytes]] = {}
+    for r in rows:
+        by.setdefault(r["lang"], []).append(r["text"].encode())
+    langs = sorted(by)
+    if not langs:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * sample_docs / n))).otherwise(share)
-    unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - sample_chars, F.lit(1))).cast("int") + 1
-    rows = known.where(unit < share).select("lang", F.substring(F.col("text"), start, F.lit(sample_chars)).alias("text"), unit.alias("u"))
-    rows = rows.orderBy("u", "text").limit(2 * sample_docs * len(counts)).collect()
-    langs = sorted(lang for lang, _ in counts)
-    by = {lang: [r["text"].encode() for r in rows if r["lang"] == lang][:sample_docs] for lang in langs}
     x, used, y = [], [], []
     for i, lang in enumerate(langs):
         a, u, _ = windows(by[lang])

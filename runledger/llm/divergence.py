@@ -20,7 +20,9 @@ from runledger.llm.textstats import CLASSES, TextStats
 from runledger.session import materialised, temporary_tables
 
 COMMON_WORDS = 48
-MAX_LANGS = 64
+#: A language with fewer words in all has no reference, as its shares would be chance; and no more references than this, those of most words.
+MIN_REFERENCE_WORDS = 2000
+MAX_REFERENCES = 10_000
 #: Base rules, see the contract of the query.
 BASE_WORDS = 10
 BASE_REPEAT_PERCENT = 20
@@ -46,11 +48,11 @@ class References:
     shares: list[np.ndarray]
 
 
-def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> References:
-    """Count all documents with a language. The result has at most MAX_LANGS * (common_words + classes) numbers.
+def references(docs: DataFrame, common_words: int = COMMON_WORDS, min_words: int = MIN_REFERENCE_WORDS) -> References:
+    """Count all documents with a language; a language of ``min_words`` words or more gets a reference.
 
-    Words count in lower case. Of more than MAX_LANGS languages the most frequent have references;
-    documents of the others are compared with the nearest.
+    Words count in lower case. The result has at most MAX_REFERENCES * (common_words + classes) numbers, however many values of
+    ``lang`` there are. Documents of a language without a reference are not judged by distance.
     """
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         stats = TextStats(batch.column(0))
@@ -72,7 +74,8 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> References:
         counts = materialised(map_texts(known, count, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
         rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
         per = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-        top = counts.withColumn("_rank", rank).where(F.col("_rank") <= common_words)
+        enough = per.where((F.col("kind") == 1) & (F.col("total") >= min_words)).orderBy(F.desc("total"), "lang").limit(MAX_REFERENCES).select("lang")
+        top = counts.join(enough, "lang", "left_semi").withColumn("_rank", rank).where(F.col("_rank") <= common_words)
         rows = top.join(per, ["lang", "kind"]).collect()
     words: dict[str, list] = {}
     classes: dict[str, dict] = {}
@@ -82,7 +85,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> References:
         else:
             classes.setdefault(r["lang"], {})[r["key"]] = r["n"] / max(1, r["total"])
     size = {r["lang"]: r["total"] for r in rows if r["kind"] == 1}
-    langs = sorted(sorted(size, key=lambda x: (-size[x], x))[:MAX_LANGS])
+    langs = sorted(size)
     ordered = {x: sorted(words[x]) for x in langs}
     shares = [np.array([s for _, _, s in ordered[x]]) for x in langs]
     return References(
@@ -99,18 +102,23 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
-def distances(stats: TextStats, refs: References) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x languages) distances of character classes and of common words."""
-    n, chars = stats.n, np.maximum(stats.classes.sum(1), 1)[:, None]
-    words = np.maximum(stats.n_words, 1)[:, None]
-    by_class, by_word = np.zeros((n, len(refs.langs))), np.zeros((n, len(refs.langs)))
+def distances(stats: TextStats, refs: References, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of character classes and of common words of each text to the reference of number ``lang``; where that is -1, to the
+    reference for which they are the least together."""
+    by_class, by_word = np.full(stats.n, 2.0), np.full(stats.n, 2.0)
     vocabulary = pc.utf8_lower(stats.vocabulary)
-    for j in range(len(refs.langs)):
-        by_class[:, j] = js_distance(stats.classes / chars, refs.classes[j])
+    for j in range(len(refs.langs)) if (lang < 0).any() else np.unique(lang[lang < len(refs.langs)]).tolist():
+        at = np.flatnonzero((lang == j) | (lang < 0))
+        a = js_distance(stats.classes[at] / np.maximum(stats.classes[at].sum(1), 1)[:, None], refs.classes[j])
         k = len(refs.words[j])
         place = pc.fill_null(pc.index_in(vocabulary, pa.array(refs.words[j], vocabulary.type)), k).to_numpy(zero_copy_only=False)
-        hist = np.bincount(stats.owner * (k + 1) + place[stats.word], minlength=n * (k + 1)).reshape(n, k + 1)
-        by_word[:, j] = js_distance(hist / words, refs.shares[j])
+        number = np.full(stats.n, -1)
+        number[at] = np.arange(len(at))
+        mine = number[stats.owner] >= 0
+        hist = np.bincount(number[stats.owner[mine]] * (k + 1) + place[stats.word[mine]], minlength=len(at) * (k + 1)).reshape(len(at), k + 1)
+        b = js_distance(hist / np.maximum(stats.n_words[at], 1)[:, None], refs.shares[j])
+        nearer = (a + b) < by_class[at] + by_word[at]
+        by_class[at[nearer]], by_word[at[nearer]] = a[nearer], b[nearer]
     return by_class, by_word
 
 
@@ -123,16 +131,13 @@ def _verdicts(batch: pa.RecordBatch, refs: References, limits: Limits) -> list[p
     stats = TextStats(batch.column(batch.schema.get_field_index("text")))
     repeat = stats.n_repeat_words()
     failed = (stats.n_words < BASE_WORDS) | (100 * repeat > BASE_REPEAT_PERCENT * stats.n_words)
-    if refs.langs:
-        by_class, by_word = distances(stats, refs)
-        lang = batch.column(batch.schema.get_field_index("lang")).cast(pa.string())
-        own = pc.fill_null(pc.index_in(lang, pa.array(refs.langs, pa.string())), -1).to_numpy(zero_copy_only=False)
-        own = np.where(own < 0, (by_class + by_word).argmin(1), own)
-        by_class, by_word = by_class[np.arange(stats.n), own], by_word[np.arange(stats.n), own]
-    else:
-        by_class = by_word = np.zeros(stats.n)
-    no_class = (stats.word_chars < limits.min_chars) | (not refs.langs)
-    no_word = (stats.n_words < limits.min_words) | (not refs.langs)
+    lang = batch.column(batch.schema.get_field_index("lang")).cast(pa.string())
+    own = pc.fill_null(pc.index_in(lang, pa.array(refs.langs, pa.string())), -2).to_numpy(zero_copy_only=False)
+    own = np.where(lang.is_null().to_numpy(zero_copy_only=False), -1, own)
+    judged = (own > -2) & bool(refs.langs)
+    by_class, by_word = distances(stats, refs, np.where(judged, own, len(refs.langs)))
+    no_class = ~judged | (stats.word_chars < limits.min_chars)
+    no_word = ~judged | (stats.n_words < limits.min_words)
     kept = ~failed & (no_class | (by_class <= limits.max_class)) & (no_word | (by_word <= limits.max_word))
     counts = [stats.n_words, stats.word_chars, stats.n_symbols, stats.n_dup_lines, repeat]
     return [pa.array(x, pa.int64()) for x in counts] + [
@@ -142,8 +147,8 @@ def _verdicts(batch: pa.RecordBatch, refs: References, limits: Limits) -> list[p
 def judge(docs: DataFrame, refs: References, limits: Limits = Limits()) -> DataFrame:
     """doc_id and COLUMNS of every row.
 
-    A document is compared with its own language's reference, or, where that is null or unknown, with the nearest.
-    A distance is null where the text is too short for it or there are no references; then it rejects nothing.
+    A document is compared with its own language's reference, or, where that is null, with the nearest.
+    A distance is null where the text is too short for it or its language has no reference; then it rejects nothing.
     A null text has no words, so it fails the base rules. Repeated rows stay; extra columns are ignored.
     """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -177,9 +177,9 @@ def classify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     model = expectation_maximisation(patterns, counts)
 
     share = min(1.0, sample_docs / max(1.0, counts.sum()))
-    unit = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     # The votes are those on the whole text; of a long one as many characters train as the sample takes, from a hashed start.
-    start = F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.greatest(F.char_length("text") - sample_chars + 1, F.lit(1))).cast("int")
+    start = F.pmod(F.xxhash64(F.lit("start"), "doc_id", "text"), F.greatest(F.char_length("text") - sample_chars + 1, F.lit(1))).cast("int")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = _code(votes(TextStats(batch.column(1))))
@@ -190,6 +190,9 @@ def classify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     sample = rows.where((unit < share) & (F.length("text") > 0)).select("doc_id", "text", unit.alias("unit"), start.alias("start"))
     sample = map_texts(sample, cut, f"doc_id {kind}, unit double, text string, pattern long").orderBy("unit", "doc_id").limit(2 * sample_docs)
     taken = sample.select("text", "pattern").collect()
+    if not taken:  # few rows, or rows that are all alike: those of the smallest hashes
+        rest = rows.where(F.length("text") > 0).select("doc_id", "text", unit.alias("unit"), start.alias("start")).orderBy("unit", "doc_id").limit(sample_docs)
+        taken = map_texts(rest, cut, f"doc_id {kind}, unit double, text string, pattern long").select("text", "pattern").collect()
     texts = [r["text"] for r in taken]
     own = np.array([r["pattern"] for r in taken], np.int64).reshape(-1)
     labels = model.posterior((own[:, None] // 3 ** np.arange(n)) % 3)
