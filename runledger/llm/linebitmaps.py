@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.frames import ascii_lower, hot_hashes
+from runledger.llm.frames import ascii_lower, columns_of, hot_hashes, whole_row
 from runledger.session import materialised
 
 MIN_CHARS = 40
@@ -92,13 +92,15 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, counts: bool = True) -> D
 
     A null text stays null where the document loses nothing, which is always; it counts as one empty line.
     """
-    left = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = docs.select(whole_row(docs).alias("_whole"), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
     b = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_at"), F.col("drops").alias("_drops"), F.col("n_dropped").alias("_gone"))
     joined = left.join(b, left["doc_id"].eqNullSafe(b["_doc"]) & (left["_row"] == b["_at"]), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~_goes(i, F.col("_drops"))), "\n")
     more = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("_gone", F.lit(0)).cast("long")} if counts else {}
-    return joined.withColumns({**more, "text": F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept)}).drop("_row", "_doc", "_at", "_drops", "_gone")
+    new = {**more, "text": F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept)}
+    out = [new.pop(c).alias(c) if c in new else column for c, column in zip(docs.columns, columns_of("_whole", docs.columns))]
+    return joined.select(*out, *[v.alias(c) for c, v in new.items()])
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hot_rows: int = HOT_ROWS, counts: bool = True) -> DataFrame:
