@@ -9,7 +9,7 @@ Every piece then gets its place from its number among the pieces of its length.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, insort
 from collections import Counter
 
 import numpy as np
@@ -23,9 +23,11 @@ from runledger.session import materialised
 
 CAPACITY = 4096
 END_ID = 1
-#: Fillings looked at per branching and branchings in all. The best packing found by then stays, so every piece is packed.
+#: Fillings tried at a branching, branchings in all, and pairs of pieces weighed for the fillings of one branching. The best packing
+#: found by then stays, so every piece is packed.
 WIDTH = 8
-NODES = 400
+NODES = 800
+PAIRS = 100_000
 #: Rows that share one salt when pieces of a length are numbered.
 SALT_ROWS = 200_000
 
@@ -74,130 +76,164 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fill_first(hist: Counter, sizes: list[int], capacity: int) -> tuple[tuple[int, int], ...]:
-    """The largest piece left, then always the largest that still fits."""
-    out, room, i = [], capacity, len(sizes)
-    while (i := bisect_right(sizes, room, 0, i)) and room:
-        x = sizes[i - 1]
-        n = min(hist[x], room // x)
-        if n:
-            out.append((x, n))
-            room -= n * x
-        i -= 1
-    return tuple(out)
+def best_fit(hist: dict[int, int], capacity: int) -> Packing:
+    """Best fit decreasing: every piece goes where it leaves the least room, else into a new sequence.
 
-
-def times(hist: dict[int, int], filling: tuple[tuple[int, int], ...]) -> int:
-    return min(hist[x] // n for x, n in filling)
-
-
-def take(hist: Counter, sizes: list[int], filling: tuple[tuple[int, int], ...], n: int) -> tuple[Counter, list[int]]:
-    hist = hist.copy()
-    for x, k in filling:
-        hist[x] -= k * n
-        if not hist[x]:
-            del hist[x]
-    return hist, [x for x in sizes if x in hist]
-
-
-def best_fit(hist: Counter, sizes: list[int], capacity: int) -> Packing:
-    """Largest first, filled as full as the greedy order allows: the packing that search has to beat."""
-    hist, sizes, out = hist.copy(), list(sizes), []
-    while sizes:
-        filling = fill_first(hist, sizes, capacity)
-        n = times(hist, filling)
-        out.append((n, filling))
-        for x, k in filling:
-            hist[x] -= k * n
-            if not hist[x]:
-                del hist[x]
-                del sizes[bisect_right(sizes, x) - 1]
-    return out
-
-
-def undominated(filling: tuple[tuple[int, int], ...], hist: Counter, sizes: list[int], room: int) -> bool:
+    Sequences filled alike are kept as one entry. The sequence with the least room that takes a piece takes the next ones of that
+    length, too, as its room is then less still.
+    """
+    alike: dict[int, Counter] = {}
+    rooms: list[int] = []
+
+    def put(room: int, filling: tuple, n: int) -> None:
+        if room not in alike:
+            alike[room] = Counter()
+            insort(rooms, room)
+        alike[room][filling] += n
+
+    for x in sorted(hist, reverse=True):
+        left = hist[x]
+        while left:
+            i = bisect_left(rooms, x)
+            if i == len(rooms):
+                k = capacity // x
+                n = max(1, left // k)
+                put(capacity - min(k, left) * x, ((x, min(k, left)),), n)
+                left -= n * min(k, left)
+                continue
+            room = rooms[i]
+            filling, have = next(iter(alike[room].items()))
+            k = min(room // x, left)
+            n = min(have, left // k)
+            alike[room][filling] -= n
+            if not alike[room][filling]:
+                del alike[room][filling]
+            if not alike[room]:
+                del alike[room], rooms[i]
+            put(room - k * x, (*filling, (x, k)), n)
+            left -= n * k
+    return [(n, filling) for same in alike.values() for filling, n in same.items()]
+
+
+def undominated(filling: tuple[tuple[int, int], ...], count: np.ndarray, room: int) -> bool:
     """May no piece, or pair of pieces, be exchanged for one larger piece that is left and fits?
 
     A filling for which one may is dominated: the exchange leaves smaller pieces for the others.
     """
     used = dict(filling)
-    spare = lambda x: hist[x] > used.get(x, 0)
     parts = [x for x, n in filling[1:] for _ in range(min(n, 2))]
     sums = set(parts) | {a + b for i, a in enumerate(parts) for b in parts[i + 1 :]} | {0}
     for s in sums:
-        lo, hi = bisect_right(sizes, s), bisect_right(sizes, s + room)
-        if any(spare(x) for x in sizes[lo:hi]):
+        spare = np.flatnonzero(count[s + 1 : s + room + 1]) + s + 1
+        if any(count[x] > used.get(int(x), 0) for x in spare):
             return False
     return True
 
 
-def fillings(hist: Counter, sizes: list[int], capacity: int, waste: int, width: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings around the largest piece that waste at most ``waste``, fullest first."""
-    first = sizes[-1]
-    found: list[tuple[int, tuple]] = []
-    steps = 0
-
-    def grow(chosen: list, room: int, below: int) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 200 * width or len(found) >= 4 * width:
-            return
-        i = bisect_right(sizes, min(room, below))
-        fits = False
-        for x in reversed(sizes[max(0, i - 2 * width) : i]):
-            free = hist[x] - (x == first)
-            for n in range(min(free, room // x), 0, -1):
-                fits = True
-                grow([*chosen, (x, n)], room - n * x, x - 1)
-                if n > 1 and room - n * x < sizes[0]:
-                    continue
-                break
-        if not fits and room <= waste:
-            counts = Counter()
-            for x, n in [(first, 1), *chosen]:
-                counts[x] += n
-            filling = tuple(sorted(counts.items(), reverse=True))
-            if undominated(filling, hist, sizes, room):
-                found.append((room, filling))
+def fillings(count: np.ndarray, capacity: int, waste: int, width: int) -> list[tuple[tuple[int, int], ...]]:
+    """Undominated fillings around the largest piece that waste at most ``waste``, fullest first.
 
-    grow([], capacity - first, first)
-    return [f for _, f in sorted(set(found), key=lambda r: (r[0], [-x for x, _ in r[1]]))[:width]]
+    ``count`` has the pieces left of every length. Each piece, and each pair of pieces, that fits beside the largest one is completed by
+    the largest that still fit; the fullest of these are looked at in detail.
+    """
+    first = int(np.flatnonzero(count)[-1])
+    count = count.copy()
+    count[first] -= 1
+    largest = np.maximum.accumulate(np.where(count > 0, np.arange(len(count)), 0))
+    room = capacity - first
+    sizes = np.flatnonzero(count[: room + 1])[::-1]
+    if not len(sizes):
+        return [((first, 1),)]
+    rows = sizes[: max(1, PAIRS // len(sizes))]
+    one, two = np.concatenate([sizes, np.repeat(rows, len(sizes))]), np.concatenate([np.zeros_like(sizes), np.tile(sizes, len(rows))])
+    left = room - one - two
+    ok = (left >= 0) & (two <= one) & ((two != one) | (count[one] > 1))
+    one, two, left = one[ok], two[ok], left[ok]
+    for _ in range(capacity):
+        piece = largest[left]
+        if not piece.any():
+            break
+        left = left - piece
+    # Of equally full ones those with the larger pieces first, which are the harder to place later.
+    most = min(len(left), 8 * width)
+    near = np.argpartition(left * (capacity + 1) - one, most - 1)[:most] if most < len(left) else np.arange(len(left))
+    near = near[np.lexsort((-two[near], -one[near], left[near]))]
+    found: dict[tuple, int] = {}
+    for i in near.tolist():
+        rest, used = room, Counter({first: 1})
+        own = Counter()
+        for x in (int(one[i]), int(two[i])):
+            if x and own[x] < count[x]:
+                own[x] += 1
+                rest -= x
+        x = int(largest[rest])
+        while x:
+            n = min(int(count[x]) - own[x], rest // x)
+            if n > 0:
+                own[x] += n
+                rest -= n * x
+            x = int(largest[min(rest, x - 1)]) if rest else 0
+        filling = tuple(sorted((used + own).items(), reverse=True))
+        if rest <= waste and filling not in found and undominated(filling, count + (np.arange(len(count)) == first), rest):
+            found[filling] = rest
+            if len(found) == width:
+                break
+    return sorted(found, key=lambda f: (found[f], [-x for x, _ in f]))
 
 
 def pack_histogram(hist: dict[int, int], capacity: int = CAPACITY, width: int = WIDTH, nodes: int = NODES) -> Packing:
     """(how often, ((length, pieces), ...)) of a packing into as few sequences as the search finds.
 
-    The greedy best-fit packing is the first incumbent. Where it needs more than the lower bound,
-    depth-first search branches over fillings around the largest piece and leaves a branch when
-    its waste exceeds what a packing better than the incumbent may waste in all.
+    The best-fit packing is the first incumbent. Where it needs more than the lower bound, depth-first search branches over
+    the fillings around the largest piece, each as often as the counts allow or once, and leaves a branch when its waste exceeds what a
+    packing better than the incumbent may waste in all. Now and then what is left at a branching is packed by best fit; a better
+    incumbent narrows the search but ends no branch. The search holds one histogram and undoes its steps.
     """
-    root = Counter({x: n for x, n in hist.items() if n})
-    sizes = sorted(root)
-    best = best_fit(root, sizes, capacity)
-    count = lambda p: sum(n for n, _ in p)
-    bound, total, left = lower_bound(root, capacity), sum(x * n for x, n in root.items()), nodes
-    stack: list[tuple[Counter, list[int], Packing, int]] = [(root, sizes, [], 0)]
-    while stack and left and count(best) > bound:
-        hist_, sizes_, done, wasted = stack.pop()
-        allowed = (count(best) - 1) * capacity - total
-        if wasted > allowed:
+    count = np.zeros(capacity + 1, np.int64)
+    for x, n in hist.items():
+        count[x] += n
+    total = sum(x * n for x, n in hist.items())
+    sequences = lambda p: sum(n for n, _ in p)
+    rest = lambda: {int(x): int(count[x]) for x in np.flatnonzero(count)}
+    best = best_fit(rest(), capacity)
+    least = sequences(best)
+    bound = lower_bound(rest(), capacity)
+
+    def apply(step: tuple[int, tuple], sign: int) -> None:
+        for x, k in step[1]:
+            count[x] -= sign * step[0] * k
+
+    def branches(wasted: int):
+        for filling in fillings(count, capacity, (least - 1) * capacity - total - wasted, width):
+            room = capacity - sum(x * k for x, k in filling)
+            n = min(int(count[x]) // k for x, k in filling)
+            for m in sorted({n, 1}, reverse=True):
+                yield m, filling, wasted + m * room
+
+    path: list[tuple[int, tuple]] = []
+    stack = [branches(0)] if least > bound and total else []
+    while stack and nodes and least > bound:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                apply(path.pop(), -1)
             continue
-        if not sizes_:
-            best = done
+        n, filling, wasted = step
+        if wasted > (least - 1) * capacity - total:
             continue
-        left -= 1
-        if left % 16 == 0 and count(tail := [*done, *best_fit(hist_, sizes_, capacity)]) < count(best):
-            best = tail
+        apply((n, filling), 1)
+        path.append((n, filling))
+        if not count.any():
+            best, least = list(path), sequences(path)
+            apply(path.pop(), -1)
             continue
-        nexts = []
-        for filling in fillings(hist_, sizes_, capacity, allowed - wasted, width):
-            n = times(hist_, filling)
-            room = capacity - sum(x * k for x, k in filling)
-            if room:
-                n = min(n, max(1, (allowed - wasted) // room))
-            if wasted + n * room <= allowed:
-                nexts.append((*take(hist_, sizes_, filling, n), [*done, (n, filling)], wasted + n * room))
-        stack.extend(reversed(nexts))
+        nodes -= 1
+        if nodes % 8 == 0:
+            tail = [*path, *best_fit(rest(), capacity)]
+            if sequences(tail) < least:
+                best, least = tail, sequences(tail)
+        stack.append(branches(wasted))
     return best
 
 

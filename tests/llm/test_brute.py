@@ -1,0 +1,140 @@
+"""Predictions and weak labels against plain Python over whole texts."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from runledger.llm import bytegru, weaklabels
+from test_operators import SCHEMA, naive_stats, sentence
+
+
+def plain_forward(model, text):
+    """Mean label probabilities of the letter bytes, byte by byte with Python's floats."""
+    p = {k: v.astype(float).tolist() for k, v in model.p.items()}
+    k, size, raw = len(p["uf"][0]), bytegru.WINDOW, text.encode()
+    clip = lambda v, lo, hi: min(max(v, lo), hi)
+    sums, letters = [0.0] * len(model.langs), 0
+    for a in range(0, len(raw), size):
+        window, states = raw[a : a + size], {}
+        for d in "fb":
+            h, out = [0.0] * k, {}
+            for t in range(len(window)) if d == "f" else range(len(window) - 1, -1, -1):
+                x = [row[window[t]] for row in p["x" + d]]
+                g = [sum(u * v for u, v in zip(row, h)) for row in p["u" + d]]
+                z = [clip(x[i] + g[i], 0, 1) for i in range(k)]
+                r = [clip(x[k + i] + g[k + i], 0, 1) for i in range(k)]
+                n = [clip(x[2 * k + i] + r[i] * (g[2 * k + i] + p["c" + d][i][0]), -1, 1) for i in range(k)]
+                h = [n[i] + z[i] * (h[i] - n[i]) for i in range(k)]
+                out[t] = h
+            states[d] = out
+        for t, byte in enumerate(window):
+            if not (65 <= byte <= 90 or 97 <= byte <= 122 or byte >= 128):
+                continue
+            logit = [p["b"][j][0] + sum(sum(w * v for w, v in zip(p["o" + d][j], states[d][t])) for d in "fb") for j in range(len(sums))]
+            e = [math.exp(v - max(logit)) for v in logit]
+            sums = [s + v / sum(e) for s, v in zip(sums, e)]
+            letters += 1
+    return [s / letters for s in sums]
+
+
+def test_predictions_are_those_of_a_plain_forward_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = bytegru.fit(docs, sample_docs=60, steps=60)
+    rng = random.Random(6)
+    rows = [r for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
+    some = sorted(rows, key=lambda r: len(r.text))
+    some = rng.sample(some[: len(some) // 2], 25) + [next(r for r in some if len(r.text.encode()) > 5000)]
+    got = {r.doc_id: r for r in bytegru.predict(docs, model).collect()}
+    for r in some:
+        want = plain_forward(model, r.text)
+        best = max(want)
+        assert got[r.doc_id].score == pytest.approx(best, abs=2e-3)
+        near = [lang for lang, v in zip(model.langs, want) if v > best - 4e-3]
+        assert got[r.doc_id].lang_pred in near
+    for r in docs.collect():
+        assert (got[r.doc_id].lang_pred == "und") == (not r.text or not any(map(str.isalpha, r.text)))
+
+
+def plain_votes(text):
+    words = text.split(" ")  # the texts of this test have no other blanks than these and newlines
+    words = [w for part in words for w in part.split("\n") if w]
+    n_words, chars, symbols, dup, repeat = naive_stats(text)
+    if not n_words:
+        return "b" + "-" * 10
+    lines = [x for x in text.split("\n") if x.strip()]
+    low, up = sum("a" <= c <= "z" for c in text), sum("A" <= c <= "Z" for c in text)
+    share = lambda test: sum(map(test, words)) / n_words
+
+    def vote(v, lo, hi, below, above):
+        return "b" if v < below or v > above else "g" if lo <= v <= hi else "-"
+
+    inf = math.inf
+    return "".join([
+        vote(n_words, 80, 20000, 20, inf), vote(symbols / n_words, 0, 0.02, -inf, 0.15), vote(repeat / n_words, 0, 0.03, -inf, 0.2),
+        vote(dup / max(1, len(lines)), 0, 0, -inf, 0.3), vote(up / max(1, low + up), 0.005, 0.08, -inf, 0.3), vote(chars / n_words, 3.5, 7.5, 2.5, 11),
+        vote(share(lambda w: len(w) <= 3), 0.15, 0.6, 0.06, 0.85), vote(share(lambda w: w.endswith("!!") or (len(w) > 2 and w.isupper())), 0, 0.02, -inf, 0.2),
+        vote(share(lambda w: not any(map(str.isalnum, w))), 0, 0.02, -inf, 0.15),
+        vote(share(lambda w: not (w[-1].isalnum() or w[-1] in weaklabels.ENDS)), 0, 0.02, -inf, 0.15),
+        vote(sum(a == b for a, b in zip(words, words[1:])) / n_words, 0, 0.02, -inf, 0.2)])
+
+
+def plain_em(votes):
+    """Posterior of each text, by expectation-maximisation over single texts."""
+    code, n, m = {"-": weaklabels.ABSTAIN, "b": weaklabels.BAD, "g": weaklabels.GOOD}, len(votes), len(votes[0])
+    v = [[code[c] for c in x] for x in votes]
+    q = [1 / (1 + math.exp(-(sum(c == weaklabels.GOOD for c in x) - sum(c == weaklabels.BAD for c in x) - 2.0))) for x in v]
+    scale = [1 + weaklabels.BELIEF_WEIGHT * n * s for s in (0.1, 0.9)]
+    for _ in range(200):
+        table = []
+        for k in range(m):
+            per = []
+            for c in range(2):
+                w = [weaklabels.BELIEF[c][j] * scale[c] for j in range(3)]
+                for x, p in zip(v, q):
+                    w[x[k]] += p if c else 1 - p
+                per.append([y / sum(w) for y in w])
+            table.append(per)
+        prior = min(max(sum(q) / n, 1e-3), 1 - 1e-3)
+        new = []
+        for x in v:
+            good = math.log(prior) + sum(math.log(table[k][1][x[k]]) for k in range(m))
+            bad = math.log(1 - prior) + sum(math.log(table[k][0][x[k]]) for k in range(m))
+            new.append(1 / (1 + math.exp(min(max(bad - good, -500), 500))))
+        done = max(abs(a - b) for a, b in zip(new, q)) < 1e-9
+        q = new
+        if done:
+            break
+    return q
+
+
+def test_weak_labels_against_plain_python(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = []
+    for i in range(160):
+        kind = i % 4
+        t = sentence(rng, rng.randint(5, 150)).capitalize() + "."
+        if kind == 1:
+            t = " ".join(["###", "!!", "BUY NOW!!"] * rng.randint(3, 30)) + " " + t
+        if kind == 2:
+            t = "\n".join(["the same line again and again"] * rng.randint(2, 12)) + "\n" + t
+        if kind == 3:
+            t = " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))
+        texts.append(t)
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    kept = []
+    real = weaklabels.train_scorer
+    monkeypatch.setattr(weaklabels, "train_scorer", lambda *a: kept.append(real(*a)) or kept[-1])
+    rows = sorted(weaklabels.classify(docs).collect(), key=lambda r: r.doc_id)
+    votes = [plain_votes(t) for t in texts]
+    assert [r.votes for r in rows] == votes and len(Counter(votes)) > 5
+    assert [r.posterior for r in rows] == pytest.approx(plain_em(votes), abs=1e-6)
+    # Scores: the mean weight of all trigrams of the whole text.
+    weights, bias, bits = kept[0].weights.tolist(), kept[0].bias, weaklabels.BUCKETS.bit_length() - 1
+    for r, t in zip(rows, texts):
+        raw = t.encode()
+        at = [((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 2654435761 % 2**32) >> (32 - bits) for i in range(len(raw) - 2)]
+        mean = float(np.mean([weights[b] for b in at])) if at else 0.0
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(mean + bias))), abs=1e-5) and r.good == (r.score >= 0.5)
