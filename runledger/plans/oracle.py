@@ -367,7 +367,7 @@ ORACLE["merged_error_in_projects"] = f"""
     SELECT * REPLACE (CASE WHEN "ProjectName" IS NOT NULL AND suffix("ProjectID", '_B1') THEN 'broken' END AS "Error")
     FROM ({ORACLE["merged"]})"""
 ORACLE["export_roundtrip"] = f"""
-    SELECT "RawFileName", nullif("ProjectID", '') AS "ProjectID", CAST("Date" AS varchar) AS "Date", "FileType", coalesce('id:' || "ProjectID", 'none') AS folder
+    SELECT * REPLACE (nullif("ProjectID", '') AS "ProjectID"), coalesce('id:' || "ProjectID", 'none') AS folder
     FROM ({ORACLE["merged"]})"""
 ORACLE["trends_after_refresh"] = ORACLE["metric_trends"]
 ORACLE["edited_sources_stored"] = ORACLE["merged"]

@@ -325,13 +325,14 @@ def trends_after_refresh(spark, sf_dir):
 
 @query
 def export_roundtrip(spark, sf_dir):
-    """All projects exported as CSV and read again."""
+    """All projects exported as CSV and read again, all columns."""
     def build(root: str) -> DataFrame:
-        export.export_all_csv(merged_events(spark, sf_dir), root)
-        back = spark.read.option("header", True).csv(root)
-        return back.select("RawFileName", "ProjectID", "Date", "FileType", F.col("project").alias("folder"))
+        rows = merged_events(spark, sf_dir)
+        export.export_all_csv(rows, root)
+        back = spark.read.schema(rows.schema).option("header", True).csv(root)
+        return back.select(*[quoted(c) for c in rows.columns], F.col("project").alias("folder"))
 
-    return _stored(spark, "export", build)
+    return plain(_stored(spark, "export", build))
 
 
 # --- upsert -------------------------------------------------------------------
