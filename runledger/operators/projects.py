@@ -65,7 +65,7 @@ def search_projects(merged: DataFrame, pattern: str | None, limit: int | None =
     return found if limit is None else found.limit(limit)
 
 
-def _newest_run() -> Column:
+def newest_run() -> Column:
     """Greatest for the last row in time order, where runs without a time come last."""
     return F.struct(F.col("DateTime").isNull().alias("no_time"), "DateTime", RAW_FILE)
 
@@ -73,7 +73,7 @@ def _newest_run() -> Column:
 def last_measured(merged: DataFrame) -> DataFrame:
     """Newest run of each project, failed runs included."""
     return (
-        merged.groupBy(PROJECT_ID).agg(F.max(_newest_run()).alias("_last"))
+        merged.groupBy(PROJECT_ID).agg(F.max(newest_run()).alias("_last"))
         .select(PROJECT_ID, F.col("_last")[RAW_FILE].alias("last_measured"), F.col("_last")["DateTime"].alias("last_measured_time"))
         .withColumn("last_measured_text", last_measured_text(F.col("last_measured"), F.col("last_measured_time")))
     )
@@ -87,7 +87,7 @@ def project_overview(merged: DataFrame, cfg: LedgerConfig) -> DataFrame:
             F.count_if(~is_error()).alias("n_valid"),
             F.count_if(is_error()).alias("n_error"),
             F.max("DateTime").alias("newest"),
-            F.max(_newest_run()).alias("_last"),
+            F.max(newest_run()).alias("_last"),
         )
         .select(
             PROJECT_ID, "n_valid", "n_error", "newest",

@@ -388,3 +388,4 @@ ORACLE["report_tables_all"] = " UNION ALL ".join(
         ("overview", "project_overview", "n_valid"), ("detail", "project_detail", "n_runs"), ("errors", "error_table", "1"),
         ("metrics", "metric_report", "n_points"), ("points", "metric_long", "value"), ("series", "series_by_type", "n_points"),
         ("trends", "metric_trends", '"Median"')))
+ORACLE["summary_after_refresh"] = ORACLE["project_overview"]

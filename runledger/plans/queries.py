@@ -19,6 +19,7 @@ from runledger.session import ensure_checkpoint_dir, materialised
 from runledger.sources import audit, databases, export, files
 from runledger.sources.databases import SourceDatabase
 from runledger.sources.store import MergedTable
+from runledger.sources.summary import SummaryTable
 from runledger.sources.trends import TrendTable
 from runledger.streaming import changes
 from runledger.streaming.ingest import ingest, start_edit_stream, start_refresh_stream
@@ -299,25 +300,44 @@ def upsert_touched_files(spark, sf_dir):
     return plain(_stored(spark, "touched", build))
 
 
+def _followed(spark: SparkSession, sf_dir: str, root: str, follower: TrendTable | SummaryTable) -> None:
+    """A stored table and what follows it, through upserts of the runs of some projects: new ones, and others with a new value, error or time."""
+    now = materialised(merged_events(spark, sf_dir))
+    event = F.element_at(F.split("RawFileName", "_"), -1).cast("bigint")
+    some = F.col("ProjectID").like("%_B1") & F.col("RawFileName").isNotNull()
+    earlier = now.where(F.coalesce(~(some & (event % 6 == 0)), F.lit(True)))
+    earlier = earlier.withColumn("m.1", F.when(some & (event % 7 == 0), F.lit(0.0)).otherwise(F.col("`m.1`")))
+    earlier = earlier.withColumn("Error", F.when(some & (event % 11 == 0), F.lit("lost")).otherwise(F.col("Error")))
+    earlier = earlier.withColumn("DateTime", F.when(some & (event % 13 == 0), F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")).otherwise(F.col("DateTime")))
+    table = MergedTable(spark, f"{root}/table", CFG)
+    table.replace(earlier, n_files=16)
+    follower.rebuild(table)
+    for k in (6, 7, 11, 13):
+        part = table.stage(now.where(some & (event % k == 0)))
+        given = table.staged(part)
+        n = given.count()
+        known = table.rows_of(given.select("RawFileName"), n).count()
+        own = {"trends": follower} if isinstance(follower, TrendTable) else {"summary": follower}
+        refresh.upsert_with_trends(table, part, n, n - known, **own)
+
+
+@query
+def summary_after_refresh(spark, sf_dir):
+    """Stored summaries of the projects after upserts that also take newest runs away; the start page and overview read these alone."""
+    def build(root: str) -> DataFrame:
+        summary = SummaryTable(spark, f"{root}/summary", CFG)
+        _followed(spark, sf_dir, root, summary)
+        return summary.read()
+
+    return _stored(spark, "summary", build)
+
+
 @query
 def trends_after_refresh(spark, sf_dir):
-    """Stored trends that follow an upsert of the runs of some projects: new ones, and others with a new value or an error."""
+    """Stored trends after the same upserts."""
     def build(root: str) -> DataFrame:
-        now = materialised(merged_events(spark, sf_dir))
-        event = F.element_at(F.split("RawFileName", "_"), -1).cast("bigint")
-        some = F.col("ProjectID").like("%_B1") & F.col("RawFileName").isNotNull()
-        earlier = now.where(F.coalesce(~(some & (event % 6 == 0)), F.lit(True)))
-        earlier = earlier.withColumn("m.1", F.when(some & (event % 7 == 0), F.lit(0.0)).otherwise(F.col("`m.1`")))
-        earlier = earlier.withColumn("Error", F.when(some & (event % 11 == 0), F.lit("lost")).otherwise(F.col("Error")))
-        table, trends = MergedTable(spark, f"{root}/table", CFG), TrendTable(spark, f"{root}/trends", CFG)
-        table.replace(earlier, n_files=16)
-        trends.rebuild(table)
-        for k in (6, 7, 11):
-            part = table.stage(now.where(some & (event % k == 0)))
-            given = table.staged(part)
-            n = given.count()
-            known = table.rows_of(given.select("RawFileName"), n).count()
-            refresh.upsert_with_trends(table, part, n, n - known, trends)
+        trends = TrendTable(spark, f"{root}/trends", CFG)
+        _followed(spark, sf_dir, root, trends)
         return trends.read()
 
     return rounded(_stored(spark, "trends", build), *_TREND_FLOATS)

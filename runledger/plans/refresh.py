@@ -21,6 +21,7 @@ from runledger.session import materialised, temporary_tables
 from runledger.sources.audit import AuditLog, entry
 from runledger.sources.databases import PinnedSource, SourceDatabase, read_project_meta, read_reports, read_sample_meta, source_mtimes
 from runledger.sources.store import MergedTable
+from runledger.sources.summary import SummaryTable
 from runledger.sources.trends import TrendTable
 
 log = logging.getLogger(__name__)
@@ -116,21 +117,21 @@ def full_refresh(table: MergedTable, inputs: Inputs, mtimes: DataFrame, step: tu
 
 def incremental_refresh(
     table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int | None = None, changed: DataFrame | None = None,
-    trends: TrendTable | None = None, step: tuple[str, int] | None = None,
+    trends: TrendTable | None = None, step: tuple[str, int] | None = None, summary: SummaryTable | None = None,
 ) -> RefreshResult | None:
     """Upsert every sample that changed; None, and no log entry, when there are none.
 
     ``changed`` has their file names; without it all rows of the inputs count as changed. ``n`` asks for a look-back
     beside them: the newest ``n`` samples of each source are upserted too, changed or not. Inputs are cut to these
-    samples before the joins; the list of them is broadcast only when it is short. ``trends`` are brought up to date with the table.
+    samples before the joins; the list of them is broadcast only when it is short. ``trends`` and ``summary`` are brought up to date with the table.
     """
     with temporary_tables(table.spark):
-        return _incremental_refresh(table, inputs, mtimes, n, changed, trends, step)
+        return _incremental_refresh(table, inputs, mtimes, n, changed, trends, step, summary)
 
 
 def _incremental_refresh(
     table: MergedTable, inputs: Inputs, mtimes: DataFrame, n: int | None, changed: DataFrame | None, trends: TrendTable | None,
-    step: tuple[str, int] | None,
+    step: tuple[str, int] | None, summary: SummaryTable | None,
 ) -> RefreshResult | None:
     cfg = table.cfg
     looked = inputs.all_samples(cfg) if changed is None else changed
@@ -149,22 +150,24 @@ def _incremental_refresh(
     # Updates are unique by file and every file is in the list of recent samples.
     known = table.holding(given.select(RAW_FILE)).where(F.col(RAW_FILE).isNotNull())
     updated = known.join(bounded(given.select(RAW_FILE), updates, cfg), RAW_FILE, "left_semi").count()
-    rows = upsert_with_trends(table, part, updates, updates - updated, trends, inputs.versions, entry(mtimes), step)
+    rows = upsert_with_trends(table, part, updates, updates - updated, trends, inputs.versions, entry(mtimes), step, summary)
     return RefreshResult(False, before, rows, updated, updates - updated, samples)
 
 
 def upsert_with_trends(
     table: MergedTable, part: str, updates: int, inserted: int, trends: TrendTable | None = None, versions: dict[str, str] | None = None,
-    audit: dict | None = None, step: tuple[str, int] | None = None,
+    audit: dict | None = None, step: tuple[str, int] | None = None, summary: SummaryTable | None = None,
 ) -> int:
-    """Upsert a staged part, then bring ``trends`` up to date from the rows replaced and brought. Returns the row count."""
-    if trends is None:
+    """Upsert a staged part, then bring ``trends`` and ``summary`` up to date from the rows replaced and brought. Returns the row count."""
+    followers = [f for f in (trends, summary) if f is not None]
+    if not followers:
         return table.upsert(part, updates, inserted, versions, audit, step)
     given = table.staged(part)
     known = given.where(F.col(RAW_FILE).isNotNull()).select(RAW_FILE)
     before, held = materialised(table.rows_of(known, updates)), table.number
     rows = table.upsert(part, updates, inserted, versions, audit, step)
-    trends.follow(table, held, before, given)
+    for follower in followers:
+        follower.follow(table, held, before, given)
     return rows
 
 
