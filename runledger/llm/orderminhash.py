@@ -6,10 +6,11 @@ their order in the text; equal sketches therefore speak for small edit distance,
 content. Documents are near duplicates when the alignment of their words has an edit similarity of 0.8
 or more: 1 - distance / words of the longer text. Groups are the connected components of the links found.
 
-Only texts that share a sketch are candidates, and the condition for that is a Jaccard similarity of about 0.8 of the labelled
-five-word k-mers, not the edit similarity: of texts of 600 words with words replaced at random places, 95 % share one at an edit
-similarity of 0.95, 48 % at 0.90, 13 % at 0.85 and 2 % at 0.80; of texts of 40 words 65 % with three words replaced (0.925).
-Edits that lie together leave more k-mers whole.
+Families of sketches find candidates. One has k-mers of five words, four to a sketch. One has k-mers of three words, two to a
+sketch, and is made for the edit similarity: texts of which every fifth word differs, at random places, still share one of its sketches in
+19 cases of 20. In texts of more than LONG words runs of three words recur by chance, so these have k-mers of five words, two to a
+sketch, instead: they share one in 98 % of cases where every tenth word differs, 82 % at 15 in 100 and 54 % at every fifth.
+Lengths and hashed word counts, which bound the edit distance from below, rule out candidates before their texts are read.
 
 Equal word sequences are one class from the start. In a bucket of equal sketches every class is first
 compared with the smallest one, which settles most buckets with one comparison for each member. In buckets that hold more
@@ -20,31 +21,36 @@ from __future__ import annotations
 
 
 import math
-import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from runledger.llm.frames import map_texts
+from runledger.llm.frames import map_texts, whole_row
 from runledger.session import materialised
 
 KMER = 5
-#: k-mers in a sketch, and sketches. Two texts whose labelled k-mers have a Jaccard similarity of 0.8 share at
-#: least one of them with probability 0.9999, of 0.7 with 0.996.
 ORDERED = 4
-SKETCHES = 20
+#: Words above which runs of three words recur by chance.
+LONG = 2000
+#: (words of a k-mer, k-mers of a sketch, sketches, texts of at least so many words, of at most so many) of each family. The last two
+#: overlap by so much that any two similar texts have one of them in common.
+FAMILIES = ((KMER, ORDERED, 2, 0, None), (3, 2, 28, 0, LONG), (KMER, 2, 20, int(0.8 * LONG), None))
 SIMILARITY = 0.8
+#: Bytes of text sketched at once; more words of a slice are then hashed once.
+SLICE = 4 << 20
 #: Rows of a table of links that one task takes, and the fewest tasks.
 LINKS_PER_TASK = 200_000
 MIN_TASKS = 8
-#: Classes of a mixed bucket compared at once.
+#: Classes that one task aligns.
+CELL_ROWS = 2000
+#: Classes of a block, and bytes of their texts, at which a bucket is dealt into more blocks.
 BLOCK = 512
-#: Partners that a class reports of a block in the rounds of ``rest_links``; the last is no bound, as no block has more.
-ROUNDS = (1, 16, sys.maxsize)
+BLOCK_BYTES = 8 << 20
 #: Counts in a bag of words.
 BAG = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +109,7 @@ def kmers(codes: np.ndarray, lengths: np.ndarray, kmer: int = KMER) -> tuple[np.
         return _mix(h + nth * np.uint64(0xD1B54A32D192ED03)), owner
 
 
-def sketches(h: np.ndarray, owner: np.ndarray, texts: int, ordered: int = ORDERED, n: int = SKETCHES) -> np.ndarray:
+def sketches(h: np.ndarray, owner: np.ndarray, texts: int, ordered: int = ORDERED, n: int = 20) -> np.ndarray:
     """(texts x n) sketch keys: of each order, the ``ordered`` smallest k-mers of a text, combined in text order.
 
     An order is a multiplication of the hashes. A threshold that leaves each text some 8 times as many k-mers
@@ -203,57 +209,141 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return limit + 1
 
 
-def _overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
-    """The distance is at least this: words of the longer text that find no partner in the other."""
-    x, y = np.sort(a), np.sort(b)
-    if len(x) > len(y):
-        x, y = y, x
-    # Occurrence numbers make the multisets sets.
-    nx = np.arange(len(x)) - np.searchsorted(x, x)
-    rank = np.searchsorted(y, x) + nx
-    hit = (rank < len(y)) & (y[np.minimum(rank, len(y) - 1)] == x) if len(y) else np.zeros(len(x), bool)
-    return len(y) - int(hit.sum())
+#: Words of the runs that are compared before an alignment; the longer ones tell texts of few different words apart.
+GRAMS = (1, 3, 4)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+class Text:
+    """A code sequence with its runs of 1, 3 and 4 words as sorted multisets. A member's number among its equals makes them sets."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self._runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def runs(self, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        if gram not in self._runs:
+            with np.errstate(over="ignore"):
+                grams = self.codes[: max(0, len(self.codes) - gram + 1)].astype(np.uint64)
+                for i in range(1, gram):
+                    grams = _mix((grams ^ self.codes[i : i + len(grams)]) * _MIX)
+            self._runs[gram] = self._multiset(grams)
+        return self._runs[gram]
+
+    @staticmethod
+    def _multiset(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.sort(x)
+        return x, np.arange(len(x)) - np.searchsorted(x, x)
+
+
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Size of the intersection of two multisets."""
+    (x, nth), (y, _) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    if not len(x):
+        return 0
+    rank = np.searchsorted(y, x) + nth
+    return int(((rank < len(y)) & (y[np.minimum(rank, len(y) - 1)] == x)).sum())
+
+
+def _overlap_bound(a: Text, b: Text, limit: int | None = None) -> int:
+    """The distance is at least this: an edit changes at most q runs of q words, so it takes a q-th of the longer text's runs that find no partner.
+    Beyond ``limit`` no longer runs are looked at."""
+    longest, least = max(len(a.codes), len(b.codes)), 0
+    for q in GRAMS:
+        missing = max(0, longest - q + 1) - _common(a.runs(q), b.runs(q))
+        least = max(least, -(-missing // q))
+        if limit is not None and least > limit:
+            break
+    return least
+
+
+def similarity(a: np.ndarray | Text, b: np.ndarray | Text, least: float = SIMILARITY) -> float:
     """Edit similarity of two code sequences if at least ``least``, else 0."""
-    longest = max(len(a), len(b))
+    a, b = (x if isinstance(x, Text) else Text(x) for x in (a, b))
+    longest = max(len(a.codes), len(b.codes))
     if not longest:
         return 1.0
     limit = int((1 - least) * longest + 1e-9)
-    if abs(len(a) - len(b)) > limit or _overlap_bound(a, b) > limit:
+    if abs(len(a.codes) - len(b.codes)) > limit or _overlap_bound(a, b, limit) > limit:
         return 0.0
-    d = edit_distance(a, b, limit)
+    d = edit_distance(a.codes, b.codes, limit)
     return 1 - d / longest if d <= limit else 0.0
 
 
 # --- Spark -----------------------------------------------------------------------
 
 
-def sketched(docs: DataFrame, kmer: int = KMER, ordered: int = ORDERED, n: int = SKETCHES) -> DataFrame:
-    """The rows of ``docs`` (as struct ``_row``) with ``_uid``, 128 bits ``_key`` of the word sequence, ``_len`` words, sketches ``_sk``, counts ``_bag``.
+def sketched(docs: DataFrame, families: tuple[tuple, ...] = FAMILIES) -> DataFrame:
+    """The rows of ``docs`` (as struct ``_row``) with ``_uid``, 128 bits ``_key`` of the word sequence, ``_len`` words, sketches ``_sk`` (0 for those of other families), counts ``_bag``.
 
     Stored, so that ``_uid`` is the same for all steps and a lost executor repeats no step before it.
     """
+    total = sum(f[2] for f in families)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes, lengths = word_codes(batch.column(1))
-        h, owner = kmers(codes, lengths, kmer)
-        sk = sketches(h, owner, len(lengths), ordered, n).view(np.int64)
+        parts = []
+        for kmer, ordered, n, least, most in families:
+            mine = (lengths >= least) & (lengths <= (most or lengths.max(initial=0)))
+            part = np.zeros((len(lengths), n), np.uint64)
+            if mine.any():
+                h, owner = kmers(codes[np.repeat(mine, lengths)], lengths[mine], kmer)
+                part[mine] = np.maximum(sketches(h, owner, int(mine.sum()), ordered, n), 1)
+            parts.append(part)
+        sk = np.concatenate(parts, 1).view(np.int64)
         keys = sequence_keys(codes, lengths)
         counts = bags(codes, lengths)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(lengths, pa.int32()),
-             pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * n), pa.array(sk.ravel(), pa.int64())),
+             pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * total), pa.array(sk.ravel(), pa.int64())),
              pa.array([c.tobytes() for c in counts], pa.binary())],
             ["_row", "_key", "_len", "_sk", "_bag"])
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, "text")
-    kind = rows.schema["_row"].dataType.simpleString()
-    out = map_texts(rows, run, f"_row {kind}, _key binary, _len int, _sk array<long>, _bag binary")
+    rows = docs.select(whole_row(docs).alias("_row"), "text")
+    more = StructType.fromDDL("_key binary, _len int, _sk array<long>, _bag binary")
+    out = map_texts(rows, run, StructType([rows.schema["_row"], *more.fields]), limit=SLICE)
     return materialised(out.withColumn("_uid", F.monotonically_increasing_id()))
 
 
+def bag_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The edit distance of each pair of bags (rows of counts) is at least this."""
+    diff = a.astype(np.int16) - b
+    return np.maximum(np.maximum(diff, 0).sum(-1), np.maximum(-diff, 0).sum(-1))
+
+
+def most_edits(a, b, least: float):
+    """Edits that two texts of so many words may have at that similarity."""
+    return ((1 - least) * np.maximum(a, b) + 1e-9).astype(np.int64)
+
+
+def like_lengths(a: Column, b: Column, least: float) -> Column:
+    """Do the numbers of words of two texts allow the similarity?"""
+    return F.abs(a - b) <= F.floor((1 - least) * F.greatest(a, b) + 1e-9)
+
+
+def length_class(words: Column, least: float) -> Column:
+    """Similar texts lie in the same or in neighbouring classes."""
+    return F.floor(F.log(words) / (1.001 * math.log(1 / least) + 1e-3)).cast("int")
+
+
+def possible(rows: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs ``a, b`` whose lengths and word counts allow the similarity, stored."""
+    def side(name: str) -> DataFrame:
+        return rows.select(F.col("_uid").alias(name), F.col("_len").alias(f"_len_{name}"), F.col("_bag").alias(f"_bag_{name}"))
+
+    near = like_lengths(F.col("_len_a"), F.col("_len_b"), least)
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(near)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BAG) for i in (4, 5))
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(bag_bound(x, y) <= most_edits(n, m, least)))
+
+    return materialised(both.select("a", "b", "_len_a", "_len_b", "_bag_a", "_bag_b").mapInArrow(run, "a long, b long"))
+
+
 def verified(rows: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Those of the pairs ``a, b`` (of ``_uid``) whose texts align, as stored ``a, b, similarity``.
 
@@ -324,104 +414,142 @@ def _joined_roots(roots: DataFrame, found: DataFrame) -> DataFrame:
     return materialised(moved.unionByName(ties.select(F.col("_old").alias("_node"), F.col("_new").alias("_root"))).distinct())
 
 
-def _rest_pairs(dealt: DataFrame, bags: DataFrame, most: int, least: float) -> DataFrame:
-    """``a, b, _cut``: pairs of classes of different groups that share a bucket and whose lengths and word counts allow the similarity.
+class _Groups:
+    """Union-find over the groups of one task."""
+
+    def __init__(self, root: np.ndarray):
+        _, self.of = np.unique(root, return_inverse=True)
+
+    def tie(self, i: int, j: int) -> None:
+        self.of[self.of == self.of[j]] = self.of[i]
+
+
+def _open_pairs(i: int, other: np.ndarray, band: int, c: dict[str, np.ndarray], groups: _Groups, least: float) -> np.ndarray:
+    """Those of ``other`` that class i may be similar to, in another group, with this bucket as the first that both share."""
+    longest = np.maximum(c["_len"][other], c["_len"][i])
+    near = np.abs(c["_len"][other] - c["_len"][i]) <= ((1 - least) * longest + 1e-9).astype(np.int64)
+    # Those of the length class below meet each other there.
+    other = other[near & (groups.of[other] != groups.of[i]) & (c["_native"][other] | c["_native"][i])]
+    other = other[((c["_sk"][other] == c["_sk"][i]) & (c["_sk"][i] != 0)).argmax(1) == band] if len(other) else other
+    return other[bag_bound(c["_bag"][other], c["_bag"][i]) <= most_edits(c["_len"][other], c["_len"][i], least)] if len(other) else other
+
+
+def _columns(pdf) -> dict[str, np.ndarray]:
+    c = {n: pdf[n].to_numpy() for n in ("_uid", "_root", "_len", "_native", "_i")}
+    c["_sk"] = np.stack(pdf["_sk"].to_numpy())
+    c["_bag"] = np.frombuffer(b"".join(pdf["_bag"]), np.uint8).reshape(len(pdf), BAG)
+    return c
+
+
+def _cell_links(dealt: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """``a, b``: links between groups, found in the cells of ``dealt``; no more for a cell than it has classes.
 
-    ``dealt`` has ``_band, _bucket, _size, _x, _y, _i, _uid, _root, _len, _native``: a bucket's classes of like length are dealt
-    into blocks and each pair of blocks is one group of rows, so a task's memory does not grow with the bucket. Of a pair's
-    shared buckets only the first reports it. A class reports ``most`` partners of a block; where it has more, ``_cut`` is true.
+    A cell is a block of a bucket, or two of them. Classes that lengths and word counts leave a partner in their cell are
+    sifted out first; only their texts are read and aligned. A link ties two groups, and pairs within a group are passed over, so what is
+    found spans the groups.
     """
-    def compare(key, pdf):
+    cell = ["_band", "_bucket", "_size", "_x", "_y"]
+    kept = [*cell, "_uid", "_root", "_len", "_native", "_i", "_sk", "_bag"]
+
+    def places(c: dict[str, np.ndarray], x: int, y: int):
+        at = np.arange(len(c["_uid"]))
+        for i in at[c["_i"] == y].tolist():
+            yield i, at[:i][c["_i"][:i] == x] if x == y else at[c["_i"] == x]
+
+    def sift(key, pdf):
+        c = _columns(pdf)
+        groups, hit = _Groups(c["_root"]), np.zeros(len(pdf), bool)
+        for i, other in places(c, key[3], key[4]):
+            found = _open_pairs(i, other, key[0], c, groups, least)
+            hit[found] = True
+            hit[i] |= len(found) > 0
+        return pdf[hit]
+
+    def align(key, pdf):
         import pandas as pd
 
-        band, _, _, x, y = key
         pdf = pdf.sort_values("_uid")
-        uid, root, size, native, block = (pdf[c].to_numpy() for c in ("_uid", "_root", "_len", "_native", "_i"))
-        sk = np.stack(pdf["_sk"].to_numpy())
-        bag = np.frombuffer(b"".join(pdf["_bag"]), np.uint8).reshape(len(uid), BAG).astype(np.int16)
-        at = np.arange(len(uid))
-        a, b, cut = [], [], []
-        for i in at[block == y].tolist():
-            other = at[:i] if x == y else at[block == x]
-            longest = np.maximum(size[other], size[i])
-            limit = ((1 - least) * longest + 1e-9).astype(np.int64)
-            # Those of the length class below meet each other there.
-            other = other[(root[other] != root[i]) & (native[other] | native[i]) & (np.abs(size[other] - size[i]) <= limit)]
-            # The pair's first shared sketch is this bucket's.
-            other = other[(sk[other] == sk[i]).argmax(1) == band] if len(other) else other
-            if len(other):
-                diff = bag[other] - bag[i]
-                bound = np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1))
-                other = other[bound <= ((1 - least) * np.maximum(size[other], size[i]) + 1e-9).astype(np.int64)]
-            more = len(other) > most
-            for j in other[:most].tolist():
-                a.append(max(uid[i], uid[j]))
-                b.append(min(uid[i], uid[j]))
-                cut.append(more)
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64), "_cut": np.array(cut, bool)})
-
-    cols = ["_band", "_bucket", "_size", "_x", "_y"]
-    full = dealt.join(bags.hint("merge"), "_uid").select(*cols, "_uid", "_root", "_len", "_native", "_i", "_sk", "_bag")
-    return full.groupBy(*cols).applyInPandas(compare, "a long, b long, _cut boolean")
-
-
-def rest_links(rows: DataFrame, shared: DataFrame, tested: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+        c = _columns(pdf)
+        codes, lengths = word_codes(pa.array(pdf["text"], pa.string()))
+        texts = [Text(x) for x in np.split(codes, np.cumsum(lengths)[:-1])]
+        groups, found = _Groups(c["_root"]), []
+        for i, other in places(c, key[3], key[4]):
+            other = _open_pairs(i, other, key[0], c, groups, least)
+            while len(other):
+                j, other = other[0], other[1:]
+                if similarity(texts[i], texts[j], least):
+                    found.append((max(c["_uid"][i], c["_uid"][j]), min(c["_uid"][i], c["_uid"][j])))
+                    groups.tie(i, j)
+                    other = other[groups.of[other] != groups.of[i]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    told = rows.select("_uid", "_sk", "_bag").join(dealt.select("_uid").distinct().hint("merge"), "_uid", "left_semi")
+    full = dealt.join(told.hint("merge"), "_uid").select(*kept)
+    some = materialised(full.groupBy(*cell).applyInPandas(sift, full.schema))
+    texts = rows.select("_uid", F.col("_row.text").alias("text")).join(some.select("_uid").distinct().hint("merge"), "_uid", "left_semi")
+    # Tasks by the work there is; by their bytes, few would do.
+    tasks = max(MIN_TASKS, some.count() // CELL_ROWS)
+    return materialised(some.join(texts.hint("merge"), "_uid").repartition(tasks, *cell).groupBy(*cell).applyInPandas(align, "a long, b long"))
+
+
+def rest_links(rows: DataFrame, shared: DataFrame, links: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(links, roots) after the buckets in which one comparison for each class did not settle all.
 
     ``shared`` has ``_band, _bucket, _uid, _len`` of buckets with two or more classes. A bucket may hold several groups,
     as when a passage that unlike texts share supplies all k-mers of a sketch. Of these every two classes of different
-    groups are compared, by lengths and word counts in the tasks and by alignment where those allow the similarity.
-    Rounds align few partners of each class first, so that a large group is found before all its pairs are aligned; a round
-    takes more partners than the one before, and the last one all that a block has, so no pair of different groups is left.
+    groups are compared. A bucket's classes of like length are dealt into blocks of bounded size: first each block is settled
+    by itself, then, where a bucket still holds more than one group, every two blocks meet. So no pair of different groups is left.
     """
     roots = components(links)
-    # Similar texts have like lengths: they lie in the same or in neighbouring classes of length. A class is in the bucket of
-    # its own and of the next length class. Most classes meet no other group there and are done.
-    own = F.floor(F.log("_len") / (1.001 * math.log(1 / least) + 1e-3)).cast("int")
+    # A class is in the bucket of its own and of the next class of length. Most meet no other group there and are done.
+    own = length_class(F.col("_len"), least)
     keys = ["_band", "_bucket", "_size"]
     near = _in_mixed(_with_roots(shared, roots), ["_band", "_bucket"]).withColumn("_own", own)
     near = near.withColumn("_size", F.explode(F.array("_own", F.col("_own") + 1))).withColumn("_native", F.col("_own") == F.col("_size")).drop("_own")
     at = _in_mixed(near, keys)
-    if at.isEmpty():
-        return links, roots
-    bags = rows.select("_uid", "_sk", "_bag").join(at.select("_uid").distinct().hint("merge"), "_uid", "left_semi")
-    bags = materialised(bags)
-    for most in ROUNDS:
-        counts = materialised(at.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")))
-        dealt = at.join(counts.hint("merge"), keys).withColumn("_i", F.pmod(F.xxhash64("_uid"), F.col("_blocks")).cast("int"))
-        dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        dealt = dealt.withColumns({"_x": F.least("_i", "_j"), "_y": F.greatest("_i", "_j")})
-        rest = materialised(_rest_pairs(dealt, bags, most, least))
-        cut = not rest.where("_cut").isEmpty()
-        pairs = materialised(rest.select("a", "b").distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
-            found = verified(rows, pairs, least)
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                # Components of the groups so far and the new links between them: a short list.
-                roots = _joined_roots(roots, found)
-        if not cut or (at := _in_mixed(_with_roots(at.drop("_root"), roots), keys)).isEmpty():
+    # A word and its code take some 16 bytes. A class keeps its block through both steps.
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("_len") * 16 / BLOCK_BYTES)).cast("int")
+    counts = materialised(at.groupBy(*keys).agg(blocks.alias("_blocks")))
+    at = at.join(counts.hint("merge"), keys).withColumn("_i", F.pmod(F.xxhash64("_uid"), F.col("_blocks")).cast("int"))
+    for alone in (True, False):
+        if at.isEmpty():
             break
+        if alone:
+            dealt = at.withColumns({"_x": F.col("_i"), "_y": F.col("_i")})
+        else:
+            dealt = at.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_i != _j")
+            dealt = dealt.withColumns({"_x": F.least("_i", "_j"), "_y": F.greatest("_i", "_j")}).drop("_j")
+        # Cells of one group have nothing to compare.
+        found = _cell_links(_in_mixed(dealt.drop("_blocks"), [*keys, "_x", "_y"]), rows, least)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = _joined_roots(roots, found)
+        # What was one block is settled.
+        at = _in_mixed(_with_roots(at.where("_blocks > 1").drop("_root"), roots), keys)
     return links, roots
 
 
-def near_duplicate_rows(docs: DataFrame, least: float = SIMILARITY, kmer: int = KMER, ordered: int = ORDERED, n: int = SKETCHES) -> DataFrame:
+def near_duplicate_rows(docs: DataFrame, least: float = SIMILARITY, families: tuple[tuple, ...] = FAMILIES) -> DataFrame:
     """``_row`` (the columns of ``docs``), ``class_id``, ``group_id``, ``class_size``, ``group_size``, ``n_links``, ``kept``.
 
     class_id and group_id are the smallest doc_id of the equal word sequences, and of the group. Of each group the row
     with the smallest doc_id stays (null is the largest; of rows that repeat it, one stays). n_links counts the
-    verified links of the class. Texts without words, null or empty, form one class.
+    verified links of the class that were needed to tie its group together; pairs within a group are not all compared. Texts without words, null or empty, form one class.
     """
-    rows = sketched(docs, kmer, ordered, n)
+    rows = sketched(docs, families)
     names = materialised(rows.groupBy("_key").agg(F.min("_uid").alias("_class")))
     reps = rows.select("_uid", "_len", "_sk").where("_len > 0").join(names.select(F.col("_class").alias("_uid")).hint("merge"), "_uid", "left_semi")
-    spots = materialised(reps.select("_uid", "_len", F.posexplode("_sk").alias("_band", "_bucket")))
-    buckets = materialised(spots.groupBy("_band", "_bucket").agg(F.min("_uid").alias("_first"), F.count("*").alias("_n")).where("_n > 1"))
-    shared = materialised(spots.join(buckets.hint("merge"), ["_band", "_bucket"]).select("_band", "_bucket", "_uid", "_len", "_first"))
-    pairs = materialised(shared.where("_uid != _first").select(F.col("_uid").alias("a"), F.col("_first").alias("b")).distinct())
-    links = verified(rows, pairs, least)
-    links, roots = rest_links(rows, shared.select("_band", "_bucket", "_uid", "_len"), pairs, links, least)
+    spots = materialised(reps.select("_uid", "_len", F.posexplode("_sk").alias("_band", "_bucket")).where("_bucket != 0"))
+    size = length_class(F.col("_len"), least)
+    buckets = spots.groupBy("_band", "_bucket").agg(
+        F.min("_uid").alias("_first"), F.min_by("_len", "_uid").alias("_first_len"), F.count("*").alias("_n"), F.min(size).alias("_lo"), F.max(size).alias("_hi"))
+    # Two texts of unlike lengths that share a sketch, as texts of one language do by chance, are no candidates.
+    buckets = materialised(buckets.where("_n > 2 OR (_n = 2 AND _hi - _lo < 2)").drop("_lo", "_hi"))
+    shared = materialised(spots.join(buckets.hint("merge"), ["_band", "_bucket"]).select("_band", "_bucket", "_uid", "_len", "_first", "_first_len"))
+    pairs = shared.where(F.col("_uid") != F.col("_first")).where(like_lengths(F.col("_len"), F.col("_first_len"), least))
+    pairs = materialised(pairs.select(F.col("_uid").alias("a"), F.col("_first").alias("b")).distinct())
+    links = verified(rows, possible(rows, pairs, least), least).select("a", "b")
+    links, roots = rest_links(rows, shared.select("_band", "_bucket", "_uid", "_len"), links, least)
     ends = links.select(F.col("a").alias("_class")).unionAll(links.select(F.col("b").alias("_class")))
     degree = ends.groupBy("_class").agg(F.count("*").alias("n_links"))
 
