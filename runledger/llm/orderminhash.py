@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from runledger.llm.frames import map_texts, whole_row
+from runledger.llm.frames import map_texts, ship_package, whole_row
 from runledger.session import materialised
 
 KMER = 5
@@ -456,14 +456,40 @@ def _cell_links(dealt: DataFrame, rows: DataFrame, least: float) -> DataFrame:
         for i in at[c["_i"] == y].tolist():
             yield i, at[:i][c["_i"][:i] == x] if x == y else at[c["_i"] == x]
 
-    def sift(key, pdf):
-        c = _columns(pdf)
-        groups, hit = _Groups(c["_root"]), np.zeros(len(pdf), bool)
-        for i, other in places(c, key[3], key[4]):
-            found = _open_pairs(i, other, key[0], c, groups, least)
-            hit[found] = True
-            hit[i] |= len(found) > 0
-        return pdf[hit]
+    def sifted(table: pa.Table, cuts: np.ndarray) -> pa.Table:
+        """Rows of the table, which holds whole cells between ``cuts``, that have a partner in their cell."""
+        c = {n: table[n].to_numpy() for n in ("_uid", "_root", "_len", "_native", "_i", "_band", "_x", "_y")}
+        c["_sk"] = np.concatenate([np.asarray(x.flatten()) for x in table["_sk"].chunks]).reshape(len(table), -1)
+        c["_bag"] = np.frombuffer(b"".join(table["_bag"].to_pylist()), np.uint8).reshape(len(table), BAG)
+        hit = np.zeros(len(table), bool)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            own = {n: v[a:b] for n, v in c.items()}
+            groups = _Groups(own["_root"])
+            for i, other in places(own, own["_x"][0], own["_y"][0]):
+                found = _open_pairs(i, other, own["_band"][0], own, groups, least)
+                if len(found):
+                    hit[a + found] = True
+                    hit[a + i] = True
+        return table.filter(pa.array(hit))
+
+    def sift(batches):
+        # Most cells have two or three classes: many are taken at once, and the last of a batch waits for the next one.
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            if not len(table):
+                continue
+            change = np.zeros(len(table) - 1, bool)
+            for n in cell:
+                v = table[n].to_numpy()
+                change |= v[1:] != v[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            if len(cuts) > 1:
+                yield from sifted(table.slice(0, cuts[-1]), cuts).to_batches()
+            rest = table.slice(cuts[-1])
+        if rest is not None and len(rest):
+            yield from sifted(rest, np.array([0, len(rest)])).to_batches()
 
     def align(key, pdf):
         import pandas as pd
@@ -485,7 +511,8 @@ def _cell_links(dealt: DataFrame, rows: DataFrame, least: float) -> DataFrame:
 
     told = rows.select("_uid", "_sk", "_bag").join(dealt.select("_uid").distinct().hint("merge"), "_uid", "left_semi")
     full = dealt.join(told.hint("merge"), "_uid").select(*kept)
-    some = materialised(full.groupBy(*cell).applyInPandas(sift, full.schema))
+    ship_package(rows.sparkSession)
+    some = materialised(full.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(sift, full.schema))
     texts = rows.select("_uid", F.col("_row.text").alias("text")).join(some.select("_uid").distinct().hint("merge"), "_uid", "left_semi")
     # Tasks by the work there is; by their bytes, few would do.
     tasks = max(MIN_TASKS, some.count() // CELL_ROWS)
