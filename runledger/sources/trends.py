@@ -1,7 +1,8 @@
 """Trends on disk that follow the merged table.
 
 A base of trend rows, and small parts with the rows that upserts have changed since. Each part comes with the identities
-of the rows that it replaces. The manifest says which state of the merged table the trends belong to.
+of the rows that it replaces. Where the frames of the changed runs may cover a whole project, its trends are stated anew, and the part names
+the project in place of its rows. The manifest says which state of the merged table the trends belong to.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ class TrendTable:
         """All trends anew from the table as it is."""
         number = table.number
         rows = metrics.metric_trends(materialised(metrics.series_columns(table.read(), self.cfg)), self.cfg)
-        base = self._stage(rows.repartitionByRange(PROJECT_ID, METRIC).sortWithinPartitions(PROJECT_ID, METRIC, "DateTime"))
+        # A project stands in one file unless it was split. Ranges would be sampled, and all windows computed twice for that.
+        base = self._stage(rows.sortWithinPartitions(PROJECT_ID, METRIC, "DateTime"))
         latest = self.manifests.latest()
         self._publish(latest[0] if latest else 0, {"of": number, "base": base, "parts": []})
 
@@ -60,23 +62,46 @@ class TrendTable:
             return
         number, state = latest
         of = table.number
-        stored = self._stage(changed_trends(metrics.series_columns(table.read(), self.cfg), before, after, self.cfg))
-        parts = [*state["parts"], [stored, self._stage(replaced(before, self._load(stored), self.cfg))]]
-        base = state["base"]
+        parts, base = [*state["parts"], self._stage_changes(table.read(), before, after)], state["base"]
         if len(parts) >= MAX_PARTS:
             base, parts = self._stage(self._rows(base, parts)), []
         self._publish(number, {"of": of, "base": base, "parts": parts})
 
+    def _stage_changes(self, merged: DataFrame, before: DataFrame, after: DataFrame) -> list[str]:
+        """Stage the trend rows that an upsert changes and the IDENTITY of those they replace; then, for projects that are stated whole,
+        all their trend rows and their names."""
+        changes = before.select(PROJECT_ID).unionByName(after.select(PROJECT_ID))
+        touched = materialised(changes.groupBy(PROJECT_ID).agg(F.count("*").alias("_changed")))
+        # Read once for the steps below; small lists of projects are broadcast by their stored size.
+        runs = materialised(metrics.series_columns(merged.join(touched, same(merged, touched, [PROJECT_ID]), "left_semi"), self.cfg))
+        sizes = runs.groupBy(F.col(PROJECT_ID).alias("_project")).agg(F.count("*").alias("_runs"))
+        sized = touched.join(sizes, touched[PROJECT_ID].eqNullSafe(sizes["_project"]), "left")
+        frames = F.col("_changed") * self.cfg.rolling_width
+        whole = self._stage(sized.where(frames >= F.coalesce("_runs", F.lit(0))).select(PROJECT_ID))
+        names = self._load(whole)
+        here = lambda df, kind: df.join(names, same(df, names, [PROJECT_ID]), kind)
+        few = [here(df, "left_anti") for df in (runs, before, after)]
+        rows = self._stage(changed_trends(*few, self.cfg))
+        gone = self._stage(replaced(few[1], self._load(rows), self.cfg))
+        anew = self._stage(metrics.metric_trends(here(runs, "left_semi"), self.cfg))
+        return [rows, gone, anew, whole]
+
     def _rows(self, base: str, parts: list[list[str]]) -> DataFrame:
-        rows = [self._load(p).withColumn(_SEQ, F.lit(i)) for i, p in enumerate([base, *(r for r, _ in parts)])]
+        """The newest rows; parts of earlier manifests have rows and identities only."""
         union = lambda dfs: reduce(lambda a, b: a.unionByName(b), dfs)
-        if not parts:
-            return rows[0].drop(_SEQ)
-        gone = union([self._load(g).withColumn(_LATER, F.lit(i)) for i, (_, g) in enumerate(parts, 1)])
-        gone = gone.groupBy(*IDENTITY).agg(F.max(_LATER).alias(_LATER))
-        every = union(rows)
-        replaced = same(every, gone, IDENTITY) & (every[_SEQ] < gone[_LATER])
-        return every.join(gone, replaced, "left_anti").drop(_SEQ)
+        rows = [self._load(base).withColumn(_SEQ, F.lit(0))]
+        gone: dict[int, list[DataFrame]] = {1: [], 3: []}
+        for i, part in enumerate(parts, 1):
+            rows += [self._load(p).withColumn(_SEQ, F.lit(i)) for p in part[0::2]]
+            for at in range(1, len(part), 2):
+                gone[at].append(self._load(part[at]).withColumn(_LATER, F.lit(i)))
+        left = union(rows)
+        # Whole projects first: their list is short, and little is left to compare row by row.
+        for at, columns in ((3, [PROJECT_ID]), (1, IDENTITY)):
+            if gone[at]:
+                later = union(gone[at]).groupBy(*columns).agg(F.max(_LATER).alias(_LATER))
+                left = left.join(later, same(left, later, columns) & (left[_SEQ] < later[_LATER]), "left_anti")
+        return left.drop(_SEQ)
 
     def read(self) -> DataFrame:
         latest = self.manifests.latest()
