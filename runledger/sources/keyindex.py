@@ -25,16 +25,20 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _places(key: Column) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(F.lit(seed), key), F.lit(BITS)) for seed in (1, 2)])
+def _place(key: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(BITS))
 
 
 def file_index(part: DataFrame, key: str, buckets: int) -> DataFrame:
     """file, bucket, lo, hi, bits of a part as read from its files. A NULL key is in no file."""
     k = F.col(key)
     rows = part.select(F.col("_metadata.file_name").alias("file"), k).where(k.isNotNull())
-    places = rows.select("file", _bucket(k, buckets).alias("bucket"), k, F.explode(_places(k)).alias("_place"))
-    return places.groupBy("file", "bucket").agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.bitmap_construct_agg("_place").alias("bits"))
+    first, second = _place(k, 1), _place(k, 2)
+    each = rows.groupBy("file", _bucket(k, buckets).alias("bucket")).agg(
+        F.min(k).alias("lo"), F.max(k).alias("hi"), F.array(F.bitmap_construct_agg(first), F.bitmap_construct_agg(second)).alias("_two"))
+    # The two bitmaps of a bucket are made one after the keys have been reduced, so that a key is sorted once.
+    both = each.select("file", "bucket", "lo", "hi", F.explode("_two").alias("_bits"))
+    return both.groupBy("file", "bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bitmap_or_agg("_bits").alias("bits"))
 
 
 def _is_set(bits: Column, place: Column) -> Column:
@@ -43,8 +47,13 @@ def _is_set(bits: Column, place: Column) -> Column:
 
 
 def touched_files(index: DataFrame, keys: DataFrame, key: str, buckets: int) -> DataFrame:
-    """file: those that may hold one of the keys; files that hold one are always among them."""
+    """file: those that may hold one of the keys; files that hold one are always among them.
+
+    The join is a semi join of the index, so a bucket of a file is settled by the first key that it may hold, and no pairs are made.
+    """
     k = F.col(key)
-    asked = keys.where(k.isNotNull()).select(k.alias("_key"), _bucket(k, buckets).alias("bucket"), _places(k).alias("_places"))
-    near = index.join(asked, "bucket").where((F.col("_key") >= F.col("lo")) & (F.col("_key") <= F.col("hi")))
-    return near.where(F.forall("_places", lambda p: _is_set(F.col("bits"), p))).select("file").distinct()
+    asked = keys.where(k.isNotNull()).select(
+        k.alias("_key"), _bucket(k, buckets).alias("_bucket"), _place(k, 1).alias("_first"), _place(k, 2).alias("_second"))
+    near = (F.col("bucket") == F.col("_bucket")) & (F.col("_key") >= F.col("lo")) & (F.col("_key") <= F.col("hi"))
+    held = _is_set(F.col("bits"), F.col("_first")) & _is_set(F.col("bits"), F.col("_second"))
+    return index.join(asked, near & held, "left_semi").select("file").distinct()
