@@ -191,7 +191,8 @@ class MergedTable:
         number, state = self._state()
         parts, pending = [*state["parts"], part], state["pending"] + updates
         base, rows = {k: state[k] for k in ("base", "gone", "index")}, state["rows"] + inserted
-        if len(parts) >= MAX_PARTS or pending > self.cfg.compact_rows:
+        # A single part is the newest version of its rows already.
+        if len(parts) > 1 and (len(parts) >= MAX_PARTS or pending > self.cfg.compact_rows):
             parts = [self.stage(self._latest(parts))]
             pending = self._load(parts[0]).count()
         if pending > self.cfg.compact_rows:
